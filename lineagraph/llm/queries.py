@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from lineagraph.llm.bpe import op2_bpe
+from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
+from lineagraph.llm.simhash import op6_simhash
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op5_host_rules": op5_host_rules,
+    "op6_simhash": op6_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_host_rules": OP5_SQL,
+}
