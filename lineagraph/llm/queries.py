@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from lineagraph.llm.bpe import op2_bpe
 from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
+from lineagraph.llm.packing import op10_packing
 from lineagraph.llm.simhash import op6_simhash
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op5_host_rules": op5_host_rules,
     "op6_simhash": op6_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
