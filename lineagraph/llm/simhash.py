@@ -4,9 +4,9 @@ A 64-bit fingerprint is cut into two segments. Of two fingerprints that differ i
 bits, one segment differs in at most one, so the pair shares a variant of that segment with one bit
 left out. Variants are indexed, joined by equality and verified on the whole fingerprint.
 
-A bucket with more members than ``PAIRS_UP_TO`` is not paired: its members get the variants of the
-whole fingerprint with two bits left out, and every such bucket holds only fingerprints that are
-linked, so a star replaces the pairs. No link between fingerprints is lost.
+A bucket with more members than ``PAIRS_UP_TO`` is not paired: its members are indexed by their
+midpoints, all fingerprints at one midpoint are linked, and a star replaces the pairs. No link
+between fingerprints is lost.
 
 A null or empty text has fingerprint zero and is linked like any other. Repeated rows share a
 fingerprint. An empty table gives an empty result. Only the id and the text are used.
@@ -82,14 +82,17 @@ def one_wildcard_variants(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("t")).select(key.alias("key"), "fp")
 
 
-def two_wildcard_stars(nodes: DataFrame) -> DataFrame:
-    """(u, v) between each fingerprint and the least one that differs from it only in the two bits left out."""
-    first = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i"))
-    both = first.select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
-    keyed = both.select("fp", (F.col("i") * 64 + F.col("j")).alias("ij"), F.expr("fp & ~shiftleft(1L, i) & ~shiftleft(1L, j)").alias("rest"))
-    # of the four fingerprints that a bucket can hold the least three bits patterns are enough to link all
-    least = keyed.groupBy("ij", "rest").agg(F.min("fp").alias("v"), F.max("fp").alias("w"), F.collect_set("fp").alias("all")).where("v < w")
-    return least.select(F.explode("all").alias("u"), "v").where("u <> v").distinct()
+def midpoint_stars(nodes: DataFrame) -> DataFrame:
+    """(u, v) between each fingerprint and the least one that shares a midpoint with it.
+
+    The midpoints of a fingerprint are itself and all that differ from it in one bit. Two
+    fingerprints share one exactly if they differ in at most two bits, so all that share one are
+    linked to each other (at most 65), and a star connects them.
+    """
+    moved = F.expr("if(b = 64, fp, fp ^ shiftleft(1L, b))")
+    keyed = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("b")).select("fp", moved.alias("z"))
+    star = keyed.groupBy("z").agg(F.min("fp").alias("v"), F.max("fp").alias("w"), F.collect_set("fp").alias("all")).where("v < w")
+    return star.select(F.explode("all").alias("u"), "v").where("u <> v").distinct()
 
 
 def fingerprint_links(nodes: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
@@ -105,7 +108,7 @@ def fingerprint_links(nodes: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataF
     links = twos.unionByName(pairs)
     if sizes.where(f"n > {pairs_up_to}").limit(1).count():
         hot = variants.join(sizes.where(f"n > {pairs_up_to}").select("key"), "key").select("fp").distinct()
-        links = links.unionByName(two_wildcard_stars(hot))
+        links = links.unionByName(midpoint_stars(hot))
     return links.distinct()
 
 
