@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from lineagraph.llm.bpe import op2_bpe
+from lineagraph.llm.cws import op7_fingerprints
 from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
+from lineagraph.llm.line_dedup import OP9_SQL, op9_line_dedup
 from lineagraph.llm.packing import op10_packing
 from lineagraph.llm.simhash import op6_simhash
 
@@ -11,9 +13,12 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op5_host_rules": op5_host_rules,
     "op6_simhash": op6_simhash,
+    "op7_fingerprints": op7_fingerprints,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_host_rules": OP5_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
