@@ -66,8 +66,12 @@ NEWER_LOWER |= {0x3A3: 0x3C3}
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens of a lower-cased text."""
-    if text.isascii() or not _HAS_NEWER.search(text):
+    """The pre-tokens of a text without special tokens, normalised and lower-cased."""
+    if text.isascii():
+        text = text.lower()
+        return [text] if text.isalpha() else PRE_TOKEN.findall(text)
+    text = unicodedata.normalize("NFC", text).translate(NEWER_LOWER).lower()
+    if not _HAS_NEWER.search(text):
         return PRE_TOKEN.findall(text)
     # newer characters count as symbols: put a plain symbol in their place and take the spans
     return [text[m.start() : m.end()] for m in PRE_TOKEN.finditer(_HAS_NEWER.sub("#", text))]
@@ -176,11 +180,8 @@ class ForcedBoundaryBPE:
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens and white space."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).translate(NEWER_LOWER)
-        text = text.lower()
         out = []
-        for part in [text] if text.isascii() and text.isalpha() else pre_tokens(text):
+        for part in pre_tokens(text):
             ids = self.parts.get(part)
             if ids is None:
                 ids = self._pre_token(part)
