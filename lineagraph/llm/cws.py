@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from lineagraph.llm.common import blocks, documents, materialize
 
-SAMPLES = 64
+SAMPLES = 48
+SAMPLES_AT_ONCE = 16
+#: Above every key.
+NONE = 1e300
 ROWS_PER_BLOCK = 2048
 #: Cut points of ids that the driver holds at most; ranges between them are cut evenly.
 MOST_CUTS = 512
@@ -33,16 +36,15 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(_UNIT)
 
 
-def sample_key(h: Column, weight: Column, log_weight: Column, k: Column | int) -> Column:
-    """The key of a word (hash ``h``) of a text for sample k; null where the weight is zero."""
-    k = F.lit(k) if isinstance(k, int) else k
+def sample_key(h: Column, log_weight: Column, k: Column) -> Column:
+    """The key of a word (hash ``h``) of a text for sample k."""
     x = F.xxhash64(h, k)
     c = -F.ln(_uniform(x, 0) * _uniform(x, 21))
     v = _uniform(x, 42)  # exp(-r * (1 - b))
-    u = -F.ln(_uniform(F.xxhash64(h, k + F.lit(1 << 20)), 0))  # r * b
+    u = -F.ln(_uniform(F.xxhash64(x), 0))  # r * b
     r = u - F.ln(v)
-    t = F.floor(log_weight / r + u / r)
-    return F.when(weight == 1, c * v).when(weight > 1, c * F.exp(u - r * (t + 1)))
+    t = F.floor((log_weight + u) / r)
+    return F.when(log_weight == 0, c * v).otherwise(c * F.exp(u - r * (t + F.lit(1.0))))
 
 
 def next_rows(docs: DataFrame) -> DataFrame:
@@ -91,13 +93,19 @@ def weighted_samples(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sides = texts.select("block", "row", "turn", pair.alias("s")).select("block", "row", "turn", "s.o", "s.e", "s.t")
     words = sides.select("block", "row", "turn", "o", "e", F.explode_outer(F.split("t", SPACE)).alias("w")).where("w <> ''")
     terms = words.select("block", "row", "turn", "o", "e", F.xxhash64("w").alias("h")).groupBy("block", "row", "turn", "h").agg(F.sum("o").alias("wo"), F.sum("e").alias("we"))
-    terms = terms.withColumns({"lo": F.ln(F.greatest(F.col("wo"), F.lit(1)).cast("double")), "le": F.ln(F.greatest(F.col("we"), F.lit(1)).cast("double"))})
-    h = F.col("h")
-    least = terms.groupBy("block", "row", "turn").agg(
-        *(F.min(sample_key(h, F.col("wo"), F.col("lo"), k)).alias(f"o{k}") for k in range(samples)),
-        *(F.min(sample_key(h, F.col("we"), F.col("le"), k)).alias(f"e{k}") for k in range(samples)),
-    )
-    return least.select("block", "row", "turn", F.array(*(f"o{k}" for k in range(samples))).alias("fp"), F.array(*(f"e{k}" for k in range(samples))).alias("edited_fp"))
+    # a word that weighs the same on both sides is sampled once; ``po`` and ``pe`` keep a key off the side that lacks it
+    side = lambda w, po, pe: F.struct(F.ln(w.cast("double")).alias("lw"), F.lit(po).alias("po"), F.lit(pe).alias("pe"))
+    wo, we = F.col("wo"), F.col("we")
+    sides = F.when(wo == we, F.array(side(wo, 0.0, 0.0))).when(we == 0, F.array(side(wo, 0.0, NONE))).when(wo == 0, F.array(side(we, NONE, 0.0))).otherwise(F.array(side(wo, 0.0, NONE), side(we, NONE, 0.0)))
+    weighed = terms.select("block", "row", "turn", "h", F.explode_outer(sides).alias("s")).select("block", "row", "turn", "h", "s.lw", "s.po", "s.pe")
+    # so many samples at a time that the generated code stays small enough to be compiled
+    part = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // SAMPLES_AT_ONCE - 1))).alias("part"))
+    keys = [sample_key(F.col("h"), F.col("lw"), F.col("part") * F.lit(SAMPLES_AT_ONCE) + F.lit(j)) for j in range(SAMPLES_AT_ONCE)]
+    least = part.groupBy("block", "row", "turn", "part").agg(*(F.min(key + F.col(p)).alias(f"{p}{j}") for p in ("po", "pe") for j, key in enumerate(keys)))
+    each = least.select("block", "row", "turn", F.struct("part", *(F.array(*(f"{p}{j}" for j in range(SAMPLES_AT_ONCE))).alias(p) for p in ("po", "pe"))).alias("x"))
+    both = each.groupBy("block", "row", "turn").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    fp = lambda p: F.when(F.get(F.get("x", F.lit(0))[p], F.lit(0)) < NONE, F.flatten(F.transform("x", lambda y: y[p])))
+    return both.select("block", "row", "turn", fp("po").alias("fp"), fp("pe").alias("edited_fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
