@@ -7,11 +7,13 @@ from lineagraph.llm.cws import op7_fingerprints
 from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
 from lineagraph.llm.line_dedup import OP9_SQL, op9_line_dedup
 from lineagraph.llm.packing import op10_packing
+from lineagraph.llm.sharding import op3_sharding
 from lineagraph.llm.simhash import op6_simhash
 from lineagraph.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_sharding": op3_sharding,
     "op5_host_rules": op5_host_rules,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
