@@ -9,9 +9,11 @@ from lineagraph.llm.line_dedup import OP9_SQL, op9_line_dedup
 from lineagraph.llm.packing import op10_packing
 from lineagraph.llm.sharding import op3_sharding
 from lineagraph.llm.simhash import op6_simhash
+from lineagraph.llm.substring_dedup import op1_substring_dedup
 from lineagraph.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op5_host_rules": op5_host_rules,
