@@ -126,3 +126,95 @@ def simhash_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id",
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir), width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near-duplicates at a Jaccard similarity, by the same variants of a wider fingerprint ---
+
+#: Segments of the wide fingerprint and bits of each; three words hold two segments each.
+SEGMENTS, SEGMENT_BITS = 6, 24
+#: Of the 144 bits, pairs that differ in more cannot be expected to be similar enough.
+MOST_BITS = 44
+SIMILARITY = 0.8
+_WIDE_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+
+
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, f0, f1, f2): 48 bits each of three SimHashes over the same shingles."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lineagraph.llm.common import mix64
+
+        for batch in batches:
+            for part in text_passes(batch):
+                hashes, row = shingle_xxh64(*utf8_of(part.column("text")), width)
+                words = [simhash_bits(mix64(hashes ^ np.uint64(s)), row, part.num_rows) & np.uint64(2**48 - 1) for s in _WIDE_SEEDS]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(w.astype(np.int64)) for w in words)], names=["doc_id", "f0", "f1", "f2"])
+
+    return docs.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long")
+
+
+def wide_variants(nodes: DataFrame) -> DataFrame:
+    """(key, node): every segment with each one of its bits left out."""
+    tagged = nodes.select("node", "f0", "f1", "f2", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("t"))
+    word = F.expr(f"case t div {2 * SEGMENT_BITS} when 0 then f0 when 1 then f1 else f2 end")
+    segment = F.when(F.expr(f"(t div {SEGMENT_BITS}) % 2 = 0"), word).otherwise(F.shiftright(word, SEGMENT_BITS)).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+    return tagged.select(F.expr(f"shiftleft(cast(t as bigint), {SEGMENT_BITS})").bitwiseOR(segment.bitwiseAND(F.expr(f"~shiftleft(1L, t % {SEGMENT_BITS})"))).alias("key"), "node")
+
+
+def shingle_sets(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Of the pairs (u, v) of documents, those whose shingle sets have at least this Jaccard similarity."""
+
+    def shingles(text: str | None) -> np.ndarray:
+        flat = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        return np.unique(shingle_xxh64(flat, np.array([0, len(flat)]), width)[0])
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_passes(batch):
+                sets = pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), sets], names=["u", "v", "of_u"])
+
+    def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_passes(batch):
+                keep = []
+                for h, t in zip(part.column("of_u").to_pylist(), part.column("text").to_pylist()):
+                    a, b = np.frombuffer(h, np.uint64), shingles(t)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(both >= similarity * (len(a) + len(b) - both))
+                kept = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column("u"), kept.column("v")], names=["u", "v"])
+
+    texts = docs.select(F.col("doc_id").alias("d"), "text")
+    of_u = pairs.join(texts, F.col("u") == F.col("d")).select("u", "v", "text").mapInArrow(first, "u long, v long, of_u binary")
+    return of_u.join(texts, F.col("v") == F.col("d")).select("u", "v", "of_u", "text").mapInArrow(second, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, group_id) of the documents that are near-duplicates of a document of a smaller id.
+
+    Fingerprints of 144 bits are cut into six segments; documents that share a segment but for one
+    bit are compared, first by all bits, then by their shingle sets. In a bucket all members are
+    compared with the first one (a star), never with each other. A pair of Jaccard similarity 0.9
+    is a candidate with a probability of about 0.96, one of 0.8 of about 0.7.
+    """
+    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    marked = materialize(wide_fingerprints(known, width))
+    nodes = materialize(marked.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node")))
+    variants = wide_variants(nodes)
+    buckets = materialize(variants.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
+    stars = variants.join(buckets.where("n > 2").select("key", "u"), "key").where("node > u").select("u", F.col("node").alias("v"))
+    pairs = buckets.where("n = 2").select("u", "v").unionByName(stars).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f"f{i}").alias(f"{c}{i}") for i in range(3)))
+    apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, 3)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
+    close = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= MOST_BITS).select("u", "v")
+    found = components(shingle_sets(known, materialize(close), similarity, width))
+    owner = nodes.join(found, "node", "left").select("f0", "f1", "f2", F.coalesce("component", "node").alias("group_id"))
+    return marked.join(owner, ["f0", "f1", "f2"]).where("doc_id > group_id").select("doc_id", "group_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The documents of which none earlier is a near-duplicate; rows without id stay, repeated rows of one id too."""
+    gone = near_duplicates(docs, **options).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(options.get("doc_id", "doc_id")) == F.col("_gone"), "left_anti")
