@@ -6,6 +6,7 @@ from lineagraph.llm.bpe import op2_bpe
 from lineagraph.llm.cws import op7_fingerprints
 from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
 from lineagraph.llm.line_dedup import OP9_SQL, op9_line_dedup
+from lineagraph.llm.ngram_lm import op4_lm
 from lineagraph.llm.packing import op10_packing
 from lineagraph.llm.sharding import op3_sharding
 from lineagraph.llm.simhash import op6_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
+    "op4_lm": op4_lm,
     "op5_host_rules": op5_host_rules,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
