@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Bytes of text that one NumPy pass takes at once (a longer document is one pass of its own).
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
+#: Rows that go to a Python worker at once: whole texts are long, so fewer than Spark's own setting.
+ARROW_ROWS = "1000"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,6 +28,8 @@ def prepare(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir("/tmp/lineagraph-checkpoints")  # tests and laptops only
 

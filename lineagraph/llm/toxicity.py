@@ -34,7 +34,7 @@ TRAINING_ROWS = 8000
 LEXICON_ENTRIES = 20_000
 #: A lexicon entry stands in so many toxic training texts at least, and is so many times likelier there.
 LEAST_TOXIC, LEAST_RATIO = 4, 15.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 # Characters that stand for letters in disguised words.
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
