@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lineagraph.llm.common import blocks, documents, materialize
 
 SHARDS = 24
-ROUNDS = 6
+ROUNDS = 10
 ROWS_PER_BLOCK = 8192
 
 
@@ -37,9 +37,11 @@ def propagate(linked: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -
         held = {r.to: r.n for r in state.groupBy("to").agg(F.sum("n").alias("n")).collect()}  # a number a shard
         quota = [max(0, room - held.get(s, 0)) // nb for s in range(shards)]
         here = state.groupBy("grp", "to").agg(F.sum("n").alias("here"))
-        best = here.where((_pick(F.col("to"), quota) > 0) | (F.col("here") > 0)).withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("here"), "to"))).where("place = 1")
+        # a shard with room that holds most of the group; ties go by hash, so that no shard is everyone's choice
+        choice = Window.partitionBy("grp").orderBy((_pick(F.col("to"), quota) == 0), F.desc("here"), F.xxhash64("grp", "to"))
+        best = here.withColumn("place", F.row_number().over(choice)).where("place = 1")
         wanted = state.join(best.select("grp", F.col("to").alias("goal"), F.col("here").alias("there")), "grp").join(here, ["grp", "to"])
-        moving = F.col("goal") != F.col("to")
+        moving = (F.col("goal") != F.col("to")) & (F.col("there") >= F.col("here"))  # never away from where more neighbours are
         # the largest gains first, until a block's quota of the goal is used
         block = F.pmod(F.xxhash64("grp"), F.lit(nb))
         line = Window.partitionBy("goal", "block").orderBy(F.desc("there"), "parcel").rowsBetween(Window.unboundedPreceding, 0)
