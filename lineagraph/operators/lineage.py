@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineagraph.operators.closure import graph_closure
+from lineagraph.operators.closure import graph_closure, settle
 
 
 def members_as_of(member: DataFrame, moment: Column) -> DataFrame:
@@ -39,3 +39,32 @@ def numbered_dependencies(dependency: DataFrame, seeds: DataFrame, evaluation: D
 
     found = derivation(dependency, seeds).where("depth > 0").join(evaluation.select(F.col("id").alias("node"), "repr"), "node")
     return found.select("src", "node", "repr", F.row_number().over(Window.partitionBy("src").orderBy("depth", "node")).alias("number"))
+
+
+def member_intervals(member: DataFrame) -> DataFrame:
+    """Each version of a collection's key with the moment from which and until which it holds."""
+    from pyspark.sql import Window
+
+    until = F.lead("checkpoint").over(Window.partitionBy("collection_id", "key").orderBy("checkpoint", "member_id"))
+    return member.select("collection_id", "member_id", F.col("checkpoint").alias("since"), until.alias("until"))
+
+
+def derivation_through_members(member: DataFrame, seeds: DataFrame, dependency: DataFrame | None = None) -> DataFrame:
+    """(src, node, at): what each context (src, node, at) derives from, a collection by its members as of ``at``.
+
+    The moment travels with the context, so a node is visited once per moment. Dependencies, if
+    given, lead to their source at the same moment.
+    """
+    versions = settle(member_intervals(member))
+    edges = dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node")) if dependency is not None else None
+    seen = settle(seeds.select("src", "node", "at").distinct())
+    frontier = seen
+    while True:
+        inside = frontier.join(versions, F.col("node") == F.col("collection_id")).where("since <= at and (until is null or at < until)")
+        step = inside.select("src", F.col("member_id").alias("node"), "at")
+        if edges is not None:
+            step = step.unionByName(frontier.join(edges, "node").select("src", F.col("next_node").alias("node"), "at"))
+        frontier = settle(step.distinct().join(seen, ["src", "node", "at"], "left_anti"))
+        if not frontier.limit(1).count():
+            return seen
+        seen = settle(seen.unionByName(frontier))

@@ -158,3 +158,21 @@ def checkpoint_order(evaluation: DataFrame) -> DataFrame:
     """Per trial the rank of each distinct checkpoint."""
     points = evaluation.select("trial_id", "activation_id", "checkpoint").distinct()
     return points.select("trial_id", "activation_id", "checkpoint", F.dense_rank().over(Window.partitionBy("trial_id").orderBy("activation_id", "checkpoint")).alias("place"))
+
+
+def subtree_shapes(activation: DataFrame) -> DataFrame:
+    """(id, trial_id, shape): an activation with all below it, as places, lines and names in order."""
+    place = call_tree(activation).select("id", "child")
+    up = ancestors(activation, "id", "caller_id")
+    # the places of a node from the root down, so that its place below any ancestor is a suffix
+    route = up.join(place.withColumnRenamed("id", "ancestor"), "ancestor").groupBy("node").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "child")))), lambda x: F.lpad(x["child"].cast("string"), 6, "0")).alias("route"))
+    named = activation.select(F.col("id").alias("node"), F.concat_ws(":", F.col("line").cast("string"), "name").alias("step"))
+    below = up.join(named, "node").join(route, "node", "left")
+    suffix = F.coalesce(F.array_join(F.slice("route", F.size("route") - F.col("depth") + 1, F.col("depth")), "."), F.lit(""))
+    shape = below.select("ancestor", F.concat(suffix, F.lit("="), "step").alias("part")).groupBy(F.col("ancestor").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("part")), ";").alias("shape"))
+    return shape.join(activation.select("id", "trial_id"), "id")
+
+
+def exact_match(activation: DataFrame) -> DataFrame:
+    """Activations of a trial whose whole subtrees are equal, merged: (trial_id, shape, calls)."""
+    return subtree_shapes(activation).groupBy("trial_id", "shape").agg(F.count("*").alias("calls"))

@@ -156,4 +156,14 @@ query("dif_06_lcs", "cell", None)(lambda s: su.lcs_lengths(s.cell))
 query("his_01_history_edges", "trial", _up("trial", "id", "parent_id") + "SELECT u.node AS id, arg_min(u.ancestor, u.depth) AS ancestor, min(u.depth) AS distance FROM up u JOIN trial a ON a.id = u.ancestor AND a.status = 'finished' JOIN trial n ON n.id = u.node AND n.status = 'finished' WHERE u.depth > 0 GROUP BY 1")(lambda s: su.history_edges(s.trial, s.trial.where("status = 'finished'")))
 query("his_02_distances", "trial", _up("trial", "id", "parent_id") + "SELECT node AS id, ancestor, depth AS distance FROM up WHERE depth > 0")(lambda s: su.trial_distances(s.trial))
 query("his_04_by_version", "tag", "SELECT array_to_string(string_split(name, '.')[1:2], '.') AS version, count(DISTINCT trial_id) AS trials, count(*) AS tags FROM tag WHERE type = 'AUTO' GROUP BY 1")(lambda s: su.history_by_version(s.tag))
-
+query("lin_01_through_members", "member", ", v AS (SELECT collection_id, member_id, checkpoint AS since, lead(checkpoint) OVER (PARTITION BY collection_id, key ORDER BY checkpoint, member_id) AS until FROM member), walk AS (SELECT member_id AS src, collection_id AS node, checkpoint AS at FROM member WHERE key = 'signup' UNION SELECT w.src, v.member_id, w.at FROM walk w JOIN v ON v.collection_id = w.node AND v.since <= w.at AND (v.until IS NULL OR w.at < v.until)) SELECT src, node, \"at\" FROM walk")(
+    lambda s: li.derivation_through_members(s.member, s.member.where("key = 'signup'").select(F.col("member_id").alias("src"), F.col("collection_id").alias("node"), F.col("checkpoint").alias("at")))
+)
+query(
+    "sum_03_exact_match",
+    "activation",
+    TREE + _up("activation", "id", "caller_id")
+    + ", route AS (SELECT u.node, string_agg(lpad(CAST(t.child AS VARCHAR), 6, '0'), '.' ORDER BY u.depth DESC) AS route FROM up u JOIN tree t ON t.id = u.ancestor GROUP BY 1)"
+    + ", part AS (SELECT u.ancestor AS id, CASE WHEN u.depth = 0 THEN '' ELSE right(r.route, 7 * u.depth - 1) END || '=' || a.line || ':' || a.name AS part FROM up u JOIN activation a ON a.id = u.node LEFT JOIN route r ON r.node = u.node)"
+    + ", shape AS (SELECT id, string_agg(part, ';' ORDER BY part) AS shape FROM part GROUP BY 1) SELECT a.trial_id, shape, count(*) AS calls FROM shape JOIN activation a USING (id) GROUP BY 1, 2",
+)(lambda s: su.exact_match(s.activation))
