@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineagraph.llm.common import _SPACE, LOWER, documents, materialize, prepare, text_passes, utf8_of, word_spans
+from lineagraph.llm.common import _SPACE, LOWER, documents, materialize, mix64, prepare, text_passes, utf8_of, word_spans
 from lineagraph.llm.graph import components
 
 PAIRS_UP_TO = 16
@@ -143,8 +143,6 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lineagraph.llm.common import mix64
-
         for batch in batches:
             for part in text_passes(batch):
                 hashes, row = shingle_xxh64(*utf8_of(part.column("text")), width)
