@@ -14,7 +14,7 @@ fingerprint. An empty table gives an empty result. Only the id and the text are
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +135,10 @@ MOST_BITS = 44
 SIMILARITY = 0.8
 #: A pair of Jaccard similarity J shares a band with probability J ** BAND_ROWS.
 BANDS, BAND_ROWS = 20, 5
+#: Orders in which large buckets choose whom to compare the others with, and how many they choose after the first round.
+ORDERS, LEADERS = 8, 16
+#: So few pairs are sent to the texts; of more, the texts are shuffled to them.
+SENT_PAIRS = 200_000
 _WIDE_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 _FACTORS = np.random.default_rng(20240901).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -168,6 +172,61 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, keys array<long>")
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """Of the rows (key, node), those whose key has several nodes, and their number n."""
+    return materialize(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+
+
+def all_pairs(members: DataFrame) -> DataFrame:
+    """(u, v) of all members of each key, u < v."""
+    held = members.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("s"))
+    pairs = "explode(flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as u, y as v))))) as p"
+    return held.selectExpr(pairs).select("p.u", "p.v")
+
+
+def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes and their keys, the pairs (u, v) in all small buckets, and the members (key, node) of the large ones.
+
+    The members of a bucket over ``PAIRS_UP_TO`` are dealt anew by each two of their keys that have
+    such buckets; what is still large then shares ten min-hashes.
+    """
+    members = shared_keys(nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node"))
+    held = members.where(f"n > {PAIRS_UP_TO}").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("k"))
+    twos = "explode(flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y))))) as key"
+    finer = shared_keys(held.selectExpr(twos, "node"))
+    small = all_pairs(members.where(f"n <= {PAIRS_UP_TO}")).unionByName(all_pairs(finer.where(f"n <= {PAIRS_UP_TO}")))
+    return small, materialize(finer.where(f"n > {PAIRS_UP_TO}").select("key", "node"))
+
+
+def leader_pairs(waiting: DataFrame, leaders: int) -> DataFrame:
+    """(key, leader, node) of each bucket's members with one member, or with one of each of so many classes of them."""
+    turn = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))  # like buckets share their order, so that their pairs are the same
+    chosen = waiting.groupBy("key", F.pmod(turn, F.lit(leaders)).alias("class")).agg(F.min_by("node", turn).alias("leader"))
+    return waiting.join(chosen.select("key", "leader"), "key")
+
+
+def similar_pairs(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v) links of the pairs of nodes that share a bucket and that ``verified`` keeps.
+
+    Members of small buckets are all compared. In a large bucket, all are compared with one member,
+    and those that are not similar to it with others from among themselves, until none is left.
+    """
+    pairs, waiting = bucket_pairs(nodes)
+    ordered = (F.least("leader", "node").alias("u"), F.greatest("leader", "node").alias("v"))
+    leaders, links = 1, None
+    while True:
+        asked = materialize(leader_pairs(waiting, leaders))
+        pairs = pairs.unionByName(asked.where("leader <> node").select(*ordered)).distinct()
+        found = verified(pairs)
+        links = found if links is None else links.unionByName(found)
+        # who led or was found similar leaves
+        gone = asked.select("*", *ordered).join(found, ["u", "v"], "left_semi").unionByName(asked.where("leader = node").select("*", *ordered)).select("key", "node").distinct()
+        waiting = materialize(waiting.join(gone, ["key", "node"], "left_anti"))
+        if not waiting.limit(1).count():
+            return links
+        pairs, leaders = links.limit(0), LEADERS
+
+
 def shingle_sets(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
     """Of the pairs (u, v) of documents, those whose shingle sets have at least this Jaccard similarity."""
 
@@ -193,6 +252,8 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, similarity: float, width: in
                 yield pa.RecordBatch.from_arrays([kept.column("u"), kept.column("v")], names=["u", "v"])
 
     texts = docs.select(F.col("doc_id").alias("d"), "text")
+    if pairs.count() <= SENT_PAIRS:
+        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), "d", "left_semi")
     of_u = pairs.join(texts, F.col("u") == F.col("d")).select("u", "v", "text").mapInArrow(first, "u long, v long, of_u binary")
     return of_u.join(texts, F.col("v") == F.col("d")).select("u", "v", "of_u", "text").mapInArrow(second, "u long, v long")
 
@@ -201,21 +262,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """(doc_id, group_id) of the documents that are near-duplicates of a document of a smaller id.
 
     Documents of one fingerprint of 144 bits are one node. Nodes that share a band of five
-    min-hashes, of twenty, are compared, first by all bits, then by their shingle sets. In a bucket
-    all members are compared with the first one (a star), never with each other. A pair of Jaccard
-    similarity 0.8 shares a band with a probability of 0.9996, one of 0.85 or more of 0.99999.
+    min-hashes, of twenty, are compared, first by all bits, then by their shingle sets. A pair of
+    Jaccard similarity 0.8 shares a band with a probability of 0.9996, one of 0.85 of 0.99999.
+    Only in buckets over ``PAIRS_UP_TO`` members that share ten min-hashes not all are compared: a
+    member that is similar to the one it is compared with is not compared with further ones there.
     """
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     marked = materialize(wide_fingerprints(known, width))
     nodes = materialize(marked.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
-    variants = nodes.select(F.explode("keys").alias("key"), "node")
-    buckets = materialize(variants.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
-    stars = variants.join(buckets.where("n > 2").select("key", "u"), "key").where("node > u").select("u", F.col("node").alias("v"))
-    pairs = buckets.where("n = 2").select("u", "v").unionByName(stars).distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f"f{i}").alias(f"{c}{i}") for i in range(3)))
     apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, 3)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
-    close = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= MOST_BITS).select("u", "v")
-    found = components(shingle_sets(known, materialize(close), similarity, width))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        close = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= MOST_BITS).select("u", "v")
+        return materialize(shingle_sets(known, materialize(close), similarity, width))
+
+    found = components(similar_pairs(nodes.select("node", "keys"), verified))
     owner = nodes.join(found, "node", "left").select("f0", "f1", "f2", F.coalesce("component", "node").alias("group_id"))
     return marked.join(owner, ["f0", "f1", "f2"]).where("doc_id > group_id").select("doc_id", "group_id")
 

@@ -2,7 +2,7 @@
 
 import random
 
-from lineagraph.llm.simhash import near_duplicates
+from lineagraph.llm.simhash import near_duplicates, similar_pairs
 
 
 def shingles(words):
@@ -35,3 +35,24 @@ def test_pairs_at_the_threshold_are_found(docs):
         texts += [" ".join(base), " ".join(near)]
     got = {(r.doc_id, r.group_id) for r in near_duplicates(docs(texts)).collect()}
     assert got <= {(i + 1, i) for i in range(0, 160, 2)} and len(got) >= 79
+
+
+def test_pairs_behind_an_unlike_first_member_are_found(docs):
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(220)]
+    texts = []
+    for _ in range(30):  # all share most of their words, but only two each are similar enough
+        own = [f"w{rng.randrange(50_000)}" for _ in range(60)]
+        base = shared + own
+        texts += [" ".join(base), " ".join(edited(rng, base, 0.9))]
+    wanted = {(a, b) for a in range(60) for b in range(a + 1, 60) if alike(texts[a].split(), texts[b].split()) >= 0.8}
+    assert wanted == {(i, i + 1) for i in range(0, 60, 2)}
+    assert {(r.group_id, r.doc_id) for r in near_duplicates(docs(texts)).collect()} == wanted
+
+
+def test_large_buckets_leave_nobody_waiting(spark):
+    """100 nodes in the same buckets, of 25 clusters of four."""
+    nodes = spark.createDataFrame([(i, [1, 2, 3]) for i in range(100)], "node long, keys array<long>")
+    links = similar_pairs(nodes, lambda pairs: pairs.where("u % 25 = v % 25")).collect()
+    assert {(r.u % 25, r.v % 25) for r in links} == {(k, k) for k in range(25)}
+    assert len({n for r in links for n in (r.u, r.v)}) == 100
