@@ -5,8 +5,9 @@ its quantum of tokens, and what a quantum is short of a whole token is carried t
 Written in closed form, a queue with weight w and N tokens has given floor(min(w * v, N)) tokens
 when the round ends at virtual time v, so every partition knows where its tokens go without waiting
 for another, and deficits carry over windows and partitions alike. Queues that run dry leave their
-share to the others, so all tokens are packed. The line of all rounds is cut every ``window``
-tokens: only the last window can be short.
+share to the others, so all tokens are packed. A round gives ``window`` tokens, less or more by what
+is carried, a token a queue at most. The line of all rounds is cut every ``window`` tokens: each
+window has the proportions but for those tokens, and only the last window can be short.
 
 A null or empty text has only the end token. A null source is the queue with the empty name.
 Repeated rows are packed each. An empty table gives an empty result. Only the id, the text and the
@@ -27,10 +28,11 @@ from lineagraph.llm.bpe import byte_letters, pre_tokens, white_space_words
 from lineagraph.llm.common import blocks, documents, materialize, prepare, text_passes
 
 WINDOW_TOKENS = 2048
-#: Windows that one round of the queues fills.
-ROUND_WINDOWS = 64
+#: Windows that one round of the queues fills: each window has the target proportions.
+ROUND_WINDOWS = 1
 END_ID = 1
 ROWS_PER_BLOCK = 4096
+ROUNDS_PER_BLOCK = 1024
 CACHE_WORDS = 400_000
 
 
@@ -155,22 +157,35 @@ def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[st
     for q, r in rate.items():
         per_v = F.when(F.col("queue") == q, F.lit(float(r))).otherwise(per_v)
 
+    step = window * round_windows
+
     def given(k: Column) -> Column:
-        v = _piecewise(k.cast("double") * F.lit(total / max(1, rounds)), [(t, v) for v, t in knots])
+        v = _piecewise(k.cast("double") * F.lit(float(step)), [(t, v) for v, t in knots])
         return F.when(k >= rounds, F.col("total")).otherwise(F.least(F.floor(per_v * v), F.col("total")))
 
-    spans = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 1024))).alias("span"))
-    grid = spans.select("queue", "total", F.explode(F.sequence(F.col("span") * 1024, F.least(F.col("span") * 1024 + 1023, F.lit(rounds - 1)))).alias("k"))
-    grid = grid.select("queue", "k", given(F.col("k")).alias("lo"), given(F.col("k") + 1).alias("hi"))
-    inside = F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("k").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1))
-    before = F.sum("lo").over(Window.partitionBy("k"))
-    grid = grid.select("queue", "k", "lo", "hi", (before + F.coalesce(inside, F.lit(0))).alias("at")).where("hi > lo")
-
-    placed = queue_offsets(rows, count).join(totals, "queue")
-
     def round_of(x: Column) -> Column:
         v = x.cast("double") / F.greatest(per_v, F.lit(1e-9))
-        return F.floor(_piecewise(v, knots) / F.lit(total / max(1, rounds)))
+        return F.floor(_piecewise(v, knots) / F.lit(float(step)))
+
+    def spread(frame: DataFrame, until: Column, name: str) -> DataFrame:
+        """Rows for 0 to ``until``, some a task."""
+        spans = frame.select("queue", "total", until.alias("until")).select("*", F.explode(F.sequence(F.lit(0), F.expr(f"until div {ROUNDS_PER_BLOCK}"))).alias("span"))
+        last = F.least((F.col("span") + 1) * ROUNDS_PER_BLOCK - 1, F.col("until"))
+        return spans.repartition("queue", "span").select("queue", "total", F.explode(F.sequence(F.col("span") * ROUNDS_PER_BLOCK, last)).alias(name))
+
+    # the rounds in which a queue may give: all, or those about its tokens where these are fewer
+    often = spread(totals.where(F.col("total") >= rounds), F.lit(rounds - 1).cast("long"), "k")
+    about = F.sequence(F.greatest(F.lit(0), round_of(F.col("token")) - 1), F.least(F.lit(rounds - 1), round_of(F.col("token")) + 1))
+    seldom = spread(totals.where(F.col("total") < rounds), F.col("total"), "token").select("queue", "total", F.explode(about).alias("k")).distinct()
+    grid = often.unionByName(seldom).select("queue", "k", given(F.col("k")).alias("lo"), given(F.col("k") + 1).alias("hi")).where("hi > lo")
+    grid = grid.withColumn("span", F.expr(f"k div {ROUNDS_PER_BLOCK}"))
+    spans = grid.groupBy("span").agg(F.sum(F.col("hi") - F.col("lo")).alias("given"))
+    earlier = F.sum("given").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))  # a row for 1024 rounds
+    spans = spans.select("span", F.coalesce(earlier, F.lit(0)).alias("before"))
+    inside = F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("span").orderBy("k", "queue").rowsBetween(Window.unboundedPreceding, -1))
+    grid = grid.withColumn("inside", F.coalesce(inside, F.lit(0))).join(spans, "span").select("queue", "k", "lo", "hi", (F.col("before") + F.col("inside")).alias("at"))
+
+    placed = queue_offsets(rows, count).join(totals, "queue")
 
     first, last = F.greatest(F.lit(0), round_of(F.col("a")) - 1), F.least(F.lit(rounds - 1), round_of(F.col("a") + F.col("n")) + 1)
     cut = placed.select("row", "queue", "a", "n", F.explode(F.sequence(first, F.greatest(first, last))).alias("k")).join(grid, ["queue", "k"])
