@@ -5,10 +5,11 @@ the shingles' hashes groups all subsequences of at least ``LEAST`` shingles by t
 least hash: a node with at least so many shingles in its interval is a compact window, and all
 subsequences in it around the node share its min-hash. Windows of two functions are joined where
 their intervals share a subsequence; the two min-hashes together are a key, and texts that share a
-key have a pair of windows on which enough hashes agree. Per key, every later document is linked to
-the first one (a star, so a key that many documents share makes no pairs among them). Linked
-passages are then verified on their shingles: at least ``LEAST`` of them, and a Jaccard similarity
-of 0.8 or more.
+key have a pair of windows on which enough hashes agree. The places of a key are all linked if they
+are ``PAIRS_UP_TO`` or fewer. Of a key with more, every later document is linked to all places in the
+first one (a star, so a key that many documents share makes no pairs among them). Linked passages
+are then verified on their shingles: at least ``LEAST`` of them, and a Jaccard similarity of 0.8 or
+more.
 
 Null and empty texts, and texts of fewer than 50 words, have no window and no repeat. Rows with one
 id are one document; rows without id are not linked. The first document by id keeps a passage.
@@ -22,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineagraph.llm.common import documents, materialize, mix64, prepare, shingle_hashes, span_hashes, text_passes, utf8_of, word_spans
@@ -31,8 +32,10 @@ WIDTH = 5
 #: Shingles of the shortest passage: 50 words.
 LEAST = 46
 SIMILARITY = 0.8
-#: Pairs of the four hash functions whose windows are joined.
-FUNCTION_PAIRS = ((0, 1), (2, 3))
+#: Pairs of the four hash functions whose windows are joined: all.
+FUNCTION_PAIRS = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
+#: Places of a key that are all linked to each other.
+PAIRS_UP_TO = 8
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 
 
@@ -135,13 +138,17 @@ def joined_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def linked_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, rep, spans): per later document and first document of its keys, the places (span, rep_span)."""
-    windows = joined_windows(docs, least)
-    shared = windows.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("other")).where("rep < other").select("key", "rep")
-    members = materialize(windows.join(shared, "key"))
-    reps = members.where("doc = rep").groupBy("key").agg(F.min("span").alias("rep_span"))
-    later = members.where("doc > rep").join(reps, "key")
-    return later.groupBy("doc", "rep").agg(F.collect_set("span").alias("spans"), F.collect_set("rep_span").alias("rep_spans"))
+    """(doc, rep, spans, rep_spans): per later and earlier document the places of the keys that link them."""
+    of_key = Window.partitionBy("key")
+    windows = joined_windows(docs, least).withColumn("rep", F.min("doc").over(of_key)).withColumn("other", F.max("doc").over(of_key)).withColumn("n", F.count("*").over(of_key))
+    members = materialize(windows.where("rep < other").select("key", "doc", "span", "rep", "n"))
+    few, many = members.where(f"n <= {PAIRS_UP_TO}"), members.where(f"n > {PAIRS_UP_TO}")
+    held = few.groupBy("key").agg(F.collect_list(F.struct("doc", "span")).alias("s"))
+    pairs = "explode(flatten(transform(s, x -> transform(filter(s, y -> y.doc < x.doc), y -> struct(x.doc as doc, y.doc as rep, x.span as span, array(y.span) as rep_spans))))) as p"
+    reps = many.where("doc = rep").groupBy("key").agg(F.collect_set("span").alias("rep_spans"))
+    later = many.where("doc > rep").join(reps, "key").select("doc", "rep", "span", "rep_spans")
+    linked = held.selectExpr(pairs).select("p.*").unionByName(later)
+    return linked.groupBy("doc", "rep").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("rep_spans"))).alias("rep_spans"))
 
 
 def _merged(spans: list[int]) -> list[tuple[int, int]]:
@@ -212,6 +219,27 @@ def _counterpart(mine: np.ndarray, rep: np.ndarray, least: int, similarity: floa
     return None
 
 
+def without_covered(passages: DataFrame) -> DataFrame:
+    """The passages but for those that lie within what smaller sources hold of the same document."""
+    columns = passages.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for own in batch.column("own").to_pylist():
+                held: list[tuple[int, int]] = []
+                for p in own:  # by source, then place
+                    first, last = p["start_word"], p["end_word"] - 1
+                    if not any(a <= first and last <= b for a, b in held):
+                        out.append(tuple(p[c] for c in columns))
+                        held = _merged([a << 32 | b for a, b in [*held, (first, last)]])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * len(columns), names=columns)
+
+    order = ["doc_id", "source_doc_id", *(c for c in columns if c not in ("doc_id", "source_doc_id"))]
+    own = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("own"))
+    return own.select("own").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST + WIDTH - 1, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, source_doc_id, start_word, end_word, source_start_word, source_end_word): passages of an earlier document."""
     least = least_words - WIDTH + 1
@@ -251,7 +279,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     side = lambda k: F.max(F.when(F.col("side") == k, F.col("slice")))
     both = slices.groupBy("doc", "rep").agg(side(0).alias("own"), side(1).alias("other"))
     columns = "doc_id long, source_doc_id long, start_word long, end_word long, source_start_word long, source_end_word long"
-    return both.mapInArrow(verify, columns).distinct()
+    return without_covered(both.mapInArrow(verify, columns).distinct())
 
 
 def cut_repeats(docs: DataFrame, repeats: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
