@@ -188,7 +188,7 @@ def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[st
     placed = queue_offsets(rows, count).join(totals, "queue")
 
     first, last = F.greatest(F.lit(0), round_of(F.col("a")) - 1), F.least(F.lit(rounds - 1), round_of(F.col("a") + F.col("n")) + 1)
-    cut = placed.select("row", "queue", "a", "n", F.explode(F.sequence(first, F.greatest(first, last))).alias("k")).join(grid, ["queue", "k"])
+    cut = placed.select("row", "queue", "a", "n", F.explode(F.sequence(first, F.greatest(first, last))).alias("k")).join(grid.hint("merge"), ["queue", "k"])
     begin, end = F.greatest("a", "lo"), F.least(F.col("a") + F.col("n"), F.col("hi"))
     pieces = cut.select("row", (begin - F.col("a")).alias("start"), (end - begin).alias("length"), (F.col("at") + begin - F.col("lo")).alias("g")).where("length > 0")
     each = pieces.select("*", F.explode(F.sequence(F.expr(f"g div {window}"), F.expr(f"(g + length - 1) div {window}"))).alias("sequence_id"))
@@ -218,7 +218,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW_TOKENS, weights: Mappi
                             cols[f].append(p[f])
                 yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), *((f, pa.int64()) for f in fields), ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
 
-    joined = encoded.join(by_row, "row").select("doc_id", "queue", "n", "ids", "pieces")
+    joined = encoded.join(by_row.hint("merge"), "row").select("doc_id", "queue", "n", "ids", "pieces")
     return joined.mapInArrow(slices, "doc_id long, queue string, start long, length long, sequence_id long, offset long, doc_tokens long, ids binary")
 
 
