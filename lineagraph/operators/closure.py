@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_folder(spark))
-    return df.checkpoint(eager=True)
-
-
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lineagraph-checkpoints"  # the latter in tests only
+from lineagraph.checkpoints import settle
 
 
 def graph_closure(seeds: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("node",), most_rounds: int | None = None) -> DataFrame:
