@@ -23,10 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineagraph.llm.common import documents, prepare, text_passes
-
-#: Entries of a worker's cache of whole words before it starts anew.
-CACHE_WORDS = 400_000
+from lineagraph.llm.common import Cache, documents, prepare, text_passes, tidy
 
 # What ends a word's last symbol, and the pre-tokenizer's pattern of the vocabulary file.
 WORD_END = "</w>"
@@ -98,9 +95,9 @@ class ForcedBoundaryBPE:
         self.letters = byte_letters()
         self.inside = self._pairs_inside_tokens()
         self.packed = {s: i.to_bytes(4, "little") for s, i in self.ids.items()}
-        self.fragments: dict[tuple[str, ...], bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.fragments = Cache(self.merge)
+        self.parts = Cache(self._pre_token)
+        self.words = Cache(self.encode_word)
 
     def symbols(self, token: str) -> list[str]:
         end = token.endswith(WORD_END) and len(token) > len(WORD_END)
@@ -168,29 +165,11 @@ class ForcedBoundaryBPE:
     def _pre_token(self, part: str) -> bytes:
         symbols = [self.letters[b] for b in part.encode()]
         symbols[-1] += WORD_END
-        out = []
-        for fragment in self.cut(symbols):
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                ids = self.merge(fragment)
-                if len(fragment) <= 32 and len(self.fragments) < CACHE_WORDS // 2:
-                    self.fragments[fragment] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.fragments.__getitem__, self.cut(symbols)))
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens and white space."""
-        out = []
-        for part in pre_tokens(text):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self._pre_token(part)
-                if len(part) <= 32:
-                    if len(self.parts) >= CACHE_WORDS // 2:
-                        self.parts.clear()
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.parts.__getitem__, pre_tokens(text)))
 
     def encode_word(self, word: str) -> bytes:
         parts = self.special_split.split(word) if self.special_split else [word]
@@ -198,17 +177,7 @@ class ForcedBoundaryBPE:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, words = [], self.words
-        for word in white_space_words(text or ""):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.encode_word(word)
-                if len(words) >= CACHE_WORDS:
-                    words.clear()
-                if len(word) <= 64:
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, white_space_words(text or "")))
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -243,7 +212,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens bigint", "ids binary"])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -258,7 +227,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 yield _put(part, "decoded", decoded=pa.array([decoder.decode(i or b"") for i in part.column(ids).to_pylist()], pa.string()))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "decoded string"])
-    return encoded.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return encoded.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(tidy(run), schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,43 +5,88 @@ The hashing helpers work on whole Arrow batches with NumPy, so that per-word Pyt
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineagraph.checkpoints import settle
+
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Bytes of text that one NumPy pass takes at once (a longer document is one pass of its own).
 PASS_BYTES = 1 << 20
 #: Rows that go to a Python worker at once: whole texts are long, so fewer than Spark's own setting.
 ARROW_ROWS = "1000"
+#: Words, of at most so many characters, that a worker keeps the ids of: some 20 MB.
+CACHE_WORDS, CACHED_LENGTH = 100_000, 64
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and give checkpoints a folder where none is set."""
+    """Let Python workers import this package, and give them fewer rows at once than Spark's own setting."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/lineagraph-checkpoints")  # tests and laptops only
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    prepare(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` by a checkpoint in the shared folder."""
+    prepare(df.sparkSession)
+    return settle(df)
+
+
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system; Spark keeps workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not a GNU C library
+
+
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A worker function over batches that leaves no unused memory behind."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+class Cache(dict):
+    """Values by word, made on demand; started anew when full."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, word: Sequence) -> bytes:
+        out = self.make(word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+
+def fresh(names: Iterable[str], name: str) -> str:
+    """``name``, made longer while it clashes with one of the names (as Spark compares them, without case)."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -122,7 +167,7 @@ def _power(kind: str, n: int) -> np.ndarray:
         have = np.full(max(n, PASS_BYTES + 1), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 4 * PASS_BYTES:
+        if n <= PASS_BYTES + 1:
             _powers[kind] = have
     return have[:n]
 
