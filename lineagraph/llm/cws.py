@@ -5,7 +5,7 @@ r and c are gamma(2, 1) variables and b is uniform, all drawn from the word's ha
 t = floor(ln w / r + b) the word's key is c / exp(r * (t - b) + r), and the least key of a text is
 its sample. Two texts have the same least key with a probability equal to the generalised Jaccard
 similarity of their weights: sum of minima over sum of maxima. r * b and r * (1 - b) are drawn
-first, as two exponential variables u and v; for weight one the key is then simply c * exp(-v).
+first, as two exponential variables u and v; where t = 0, so for weight one always, the key is then c * exp(-v).
 
 A null text is empty. An empty text has no sample: its fingerprint is that of null samples, equal
 to other empty texts' and unlike any other. Rows follow each other by (doc_id, row); a row without
@@ -44,7 +44,8 @@ def sample_key(h: Column, log_weight: Column, k: Column) -> Column:
     u = -F.ln(_uniform(F.xxhash64(x), 0))  # r * b
     r = u - F.ln(v)
     t = F.floor((log_weight + u) / r)
-    return F.when(log_weight == 0, c * v).otherwise(c * F.exp(u - r * (t + F.lit(1.0))))
+    # one number for one (word, t), whatever the weight: with t = 0, the only case of weight one, the exponent is ln v
+    return F.when((log_weight == 0) | (t == 0), c * v).otherwise(c * F.exp(u - r * (t + F.lit(1.0))))
 
 
 def next_rows(docs: DataFrame) -> DataFrame:
