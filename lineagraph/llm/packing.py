@@ -1,17 +1,22 @@
 """Packing documents into fixed windows at target token proportions.
 
-Each source is a queue. Deficit round-robin serves all queues in rounds: in each round a queue gives
-its quantum of tokens, and what a quantum is short of a whole token is carried to the next round.
-Written in closed form, a queue with weight w and N tokens has given floor(min(w * v, N)) tokens
-when the round ends at virtual time v, so every partition knows where its tokens go without waiting
-for another, and deficits carry over windows and partitions alike. Queues that run dry leave their
-share to the others, so all tokens are packed. A round gives ``window`` tokens, less or more by what
-is carried, a token a queue at most. The line of all rounds is cut every ``window`` tokens: each
-window has the proportions but for those tokens, and only the last window can be short.
+Each source is a queue. Deficit round-robin serves all queues in rounds, one a window: in each round
+a queue earns its quantum of tokens. It saves what it earned, as its deficit, until that is enough for
+pieces of ``LEAST_PIECE`` tokens, and gives those. Written in closed form, a queue with weight w and N
+tokens has given all whole pieces in min(w * v, N) tokens when the round ends at virtual time v, so
+every partition knows where its tokens go without waiting for another, and deficits carry over windows
+and partitions alike. Queues that run dry leave their share to the others, so all tokens are packed.
+The target proportions are the weights, or, without weights, the sources' shares of all tokens: the
+only mixture that lasts to the end where every token has to be packed. A window is off the target by
+the pieces that its queues save up or have saved, at most one a queue at each of its ends. The line of
+all rounds is cut every ``window`` tokens, so only the last window can be short, and a rare source's
+documents come in pieces of at least ``LEAST_PIECE`` tokens, but where a document, a queue or a window
+ends.
 
 A null or empty text has only the end token. A null source is the queue with the empty name.
-Repeated rows are packed each. An empty table gives an empty result. Only the id, the text and the
-source are used.
+Repeated rows, rows with one id and rows without id are packed each. Documents of a queue come in the
+order of a hash, so there are no ties. A long text is cut freely. An empty table gives an empty result.
+Only the id, the text and the source are used; other columns do no harm.
 """
 
 from __future__ import annotations
@@ -25,15 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineagraph.llm.bpe import byte_letters, pre_tokens, white_space_words
-from lineagraph.llm.common import blocks, documents, materialize, prepare, text_passes
+from lineagraph.llm.common import Cache, blocks, documents, materialize, prepare, text_passes, tidy
 
 WINDOW_TOKENS = 2048
-#: Windows that one round of the queues fills: each window has the target proportions.
-ROUND_WINDOWS = 1
 END_ID = 1
 ROWS_PER_BLOCK = 4096
-ROUNDS_PER_BLOCK = 1024
-CACHE_WORDS = 400_000
+ROUNDS_PER_BLOCK = 4096
+#: Tokens that a queue saves up, as its deficit, before it gives a piece (but for its last one).
+LEAST_PIECE = 64
 
 
 class WordwiseTokenizer:
@@ -48,8 +52,8 @@ class WordwiseTokenizer:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Cache(self.encode_word)
+        self.parts = Cache(self._part)
 
     def _part(self, part: str) -> bytes:
         found = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
@@ -58,26 +62,11 @@ class WordwiseTokenizer:
     def encode_word(self, word: str) -> bytes:
         if any(s in word for s in self.special):
             return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = []
-        for part in pre_tokens(word):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self._part(part)
-                if len(part) <= 64:
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.parts.__getitem__, pre_tokens(word)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        split, words = white_space_words(text or ""), self.words
-        for word in {*split}.difference(words):
-            words[word] = self.encode_word(word)
-        out = b"".join(map(words.__getitem__, split))
-        for cache in (self.words, self.parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-        return out
+        return b"".join(map(self.words.__getitem__, white_space_words(text or "")))
 
 
 _loaded: dict[str, WordwiseTokenizer] = {}
@@ -108,7 +97,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "queue", "n", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), "text")
-    return source.mapInArrow(run, "doc_id long, queue string, n long, ids binary")
+    return source.mapInArrow(tidy(run), "doc_id long, queue string, n long, ids binary")
 
 
 def unpack(ids: bytes) -> np.ndarray:
@@ -133,10 +122,10 @@ def queue_offsets(rows: DataFrame, count: int) -> DataFrame:
     starts = sums.select("queue", "block", F.coalesce(before, F.lit(0)).alias("block_a"))
     within = F.sum("n").over(Window.partitionBy("queue", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     inside = rows.withColumn("within", F.coalesce(within, F.lit(0)))
-    return inside.join(starts, ["queue", "block"]).select("row", "queue", "n", (F.col("block_a") + F.col("within")).alias("a"))
+    return inside.join(starts.hint("merge"), ["queue", "block"]).select("row", "queue", "n", (F.col("block_a") + F.col("within")).alias("a"))
 
 
-def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[str, float] | None = None, round_windows: int = ROUND_WINDOWS) -> DataFrame:
+def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[str, float] | None = None, least: int = LEAST_PIECE) -> DataFrame:
     """Rows (row, queue, n) -> pieces (row, start, length, sequence_id, offset).
 
     ``weights`` gives token proportions by queue; a queue without one has its share of all tokens.
@@ -151,21 +140,21 @@ def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[st
     rate = {q: weights[q] / scale * (total - others) for q in named}
     ends = sorted({*([1.0] if others else []), *(named[q] / rate[q] for q in named if rate[q] > 0)}) or [1.0]
     knots = [(0.0, 0.0)] + [(v, others * min(1.0, v) + sum(min(rate[q] * v, named[q]) for q in named)) for v in ends]
-    rounds = blocks(total, window * round_windows)
+    rounds = blocks(total, window)
 
     per_v = F.col("total").cast("double")
     for q, r in rate.items():
         per_v = F.when(F.col("queue") == q, F.lit(float(r))).otherwise(per_v)
 
-    step = window * round_windows
-
     def given(k: Column) -> Column:
-        v = _piecewise(k.cast("double") * F.lit(float(step)), [(t, v) for v, t in knots])
-        return F.when(k >= rounds, F.col("total")).otherwise(F.least(F.floor(per_v * v), F.col("total")))
+        """Tokens that the queue has given when round k begins."""
+        earned = per_v * _piecewise(k.cast("double") * F.lit(float(window)), [(t, v) for v, t in knots])
+        return F.when((k >= rounds) | (earned >= F.col("total")), F.col("total")).otherwise(F.floor(earned / least) * least)
 
     def round_of(x: Column) -> Column:
-        v = x.cast("double") / F.greatest(per_v, F.lit(1e-9))
-        return F.floor(_piecewise(v, knots) / F.lit(float(step)))
+        """The round in which the queue has earned x tokens, but for rounding."""
+        v = F.least(x, F.col("total")).cast("double") / F.greatest(per_v, F.lit(1e-9))
+        return F.least(F.lit(rounds - 1), F.floor(_piecewise(v, knots) / F.lit(float(window))))
 
     def spread(frame: DataFrame, until: Column, name: str) -> DataFrame:
         """Rows for 0 to ``until``, some a task."""
@@ -173,23 +162,32 @@ def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[st
         last = F.least((F.col("span") + 1) * ROUNDS_PER_BLOCK - 1, F.col("until"))
         return spans.repartition("queue", "span").select("queue", "total", F.explode(F.sequence(F.col("span") * ROUNDS_PER_BLOCK, last)).alias(name))
 
-    # the rounds in which a queue may give: all, or those about its tokens where these are fewer
-    often = spread(totals.where(F.col("total") >= rounds), F.lit(rounds - 1).cast("long"), "k")
-    about = F.sequence(F.greatest(F.lit(0), round_of(F.col("token")) - 1), F.least(F.lit(rounds - 1), round_of(F.col("token")) + 1))
-    seldom = spread(totals.where(F.col("total") < rounds), F.col("total"), "token").select("queue", "total", F.explode(about).alias("k")).distinct()
-    grid = often.unionByName(seldom).select("queue", "k", given(F.col("k")).alias("lo"), given(F.col("k") + 1).alias("hi")).where("hi > lo")
+    # a frequent queue gives in every round, a rare one in those in which a piece is saved up: no row for the others
+    frequent = F.col("total") >= rounds * least
+    often = spread(totals.where(frequent), F.lit(rounds - 1).cast("long"), "k")
+    saved = round_of((F.col("unit") + 1) * least)
+    about = F.sequence(F.greatest(F.lit(0), saved - 1), F.least(F.lit(rounds - 1), saved + 1))
+    seldom = spread(totals.where(~frequent), F.expr(f"(total - 1) div {least}"), "unit").select("queue", "total", F.explode(about).alias("k")).distinct()
+    grid = often.unionByName(seldom).select("queue", "total", "k", given(F.col("k")).alias("lo"), given(F.col("k") + 1).alias("hi")).where("hi > lo")
     grid = grid.withColumn("span", F.expr(f"k div {ROUNDS_PER_BLOCK}"))
     spans = grid.groupBy("span").agg(F.sum(F.col("hi") - F.col("lo")).alias("given"))
-    earlier = F.sum("given").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))  # a row for 1024 rounds
+    earlier = F.sum("given").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))  # a row for 4096 windows
     spans = spans.select("span", F.coalesce(earlier, F.lit(0)).alias("before"))
     inside = F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("span").orderBy("k", "queue").rowsBetween(Window.unboundedPreceding, -1))
-    grid = grid.withColumn("inside", F.coalesce(inside, F.lit(0))).join(spans, "span").select("queue", "k", "lo", "hi", (F.col("before") + F.col("inside")).alias("at"))
-
-    placed = queue_offsets(rows, count).join(totals, "queue")
-
-    first, last = F.greatest(F.lit(0), round_of(F.col("a")) - 1), F.least(F.lit(rounds - 1), round_of(F.col("a") + F.col("n")) + 1)
-    cut = placed.select("row", "queue", "a", "n", F.explode(F.sequence(first, F.greatest(first, last))).alias("k")).join(grid.hint("merge"), ["queue", "k"])
-    begin, end = F.greatest("a", "lo"), F.least(F.col("a") + F.col("n"), F.col("hi"))
+    grid = grid.withColumn("inside", F.coalesce(inside, F.lit(0))).join(spans.hint("merge"), "span").select("queue", "total", "k", "lo", "hi", (F.col("before") + F.col("inside")).alias("at"))
+
+    # rows meet the frequent queues' servings by round and the rare queues' by piece
+    unit = lambda x: F.floor(x / least)
+    served = F.when(frequent, F.array("k")).otherwise(F.sequence(unit(F.col("lo")), unit(F.col("hi") - 1)))
+    grid = grid.select("queue", "lo", "hi", "at", F.explode(served).alias("key"))
+    placed = queue_offsets(rows, count).join(totals.hint("merge"), "queue")
+    first, last = F.greatest(F.lit(0), round_of(F.col("a")) - 1), F.least(F.lit(rounds - 1), round_of(F.col("a") + F.col("n") + least) + 1)
+    wanted = F.when(frequent, F.sequence(first, F.greatest(first, last))).otherwise(F.sequence(unit(F.col("a")), unit(F.col("a") + F.col("n") - 1)))
+    asked = placed.select("row", "queue", "a", "n", frequent.alias("frequent"), F.explode(wanted).alias("key"))
+    cut = asked.join(grid.hint("merge"), ["queue", "key"])
+    low = F.when(F.col("frequent"), F.col("lo")).otherwise(F.greatest(F.col("lo"), F.col("key") * least))
+    high = F.when(F.col("frequent"), F.col("hi")).otherwise(F.least(F.col("hi"), (F.col("key") + 1) * least))
+    begin, end = F.greatest(F.col("a"), low), F.least(F.col("a") + F.col("n"), high)
     pieces = cut.select("row", (begin - F.col("a")).alias("start"), (end - begin).alias("length"), (F.col("at") + begin - F.col("lo")).alias("g")).where("length > 0")
     each = pieces.select("*", F.explode(F.sequence(F.expr(f"g div {window}"), F.expr(f"(g + length - 1) div {window}"))).alias("sequence_id"))
     begin, end = F.greatest(F.col("g"), F.col("sequence_id") * window), F.least(F.col("g") + F.col("length"), (F.col("sequence_id") + 1) * window)
@@ -219,15 +217,15 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW_TOKENS, weights: Mappi
                 yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), *((f, pa.int64()) for f in fields), ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
 
     joined = encoded.join(by_row.hint("merge"), "row").select("doc_id", "queue", "n", "ids", "pieces")
-    return joined.mapInArrow(slices, "doc_id long, queue string, start long, length long, sequence_id long, offset long, doc_tokens long, ids binary")
+    return joined.mapInArrow(tidy(slices), "doc_id long, queue string, start long, length long, sequence_id long, offset long, doc_tokens long, ids binary")
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack(docs.select("doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", F.col("queue").alias("source"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_digest(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return packed_digest(documents(spark, sf_dir))
