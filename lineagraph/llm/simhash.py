@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineagraph.llm.common import _SPACE, LOWER, documents, materialize, mix64, prepare, text_passes, utf8_of, word_spans
+from lineagraph.llm.common import _SPACE, LOWER, documents, fresh, materialize, mix64, prepare, text_passes, tidy, utf8_of, word_spans
 from lineagraph.llm.graph import components
 
 PAIRS_UP_TO = 16
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
                 fp = simhash_bits(*shingle_xxh64(*utf8_of(part.column("text")), width), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def one_wildcard_variants(nodes: DataFrame) -> DataFrame:
@@ -156,20 +156,41 @@ def band_keys(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def distinct_per_row(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and their rows without repeats, sorted by row and hash."""
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], row[new]
+
+
+def set_digests(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of 64 bits of each row's set of hashes: sum and exclusive or of two mixes."""
+    total, parity = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    if len(hashes):
+        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        total[row[heads]] = np.add.reduceat(mix64(hashes), heads)
+        parity[row[heads]] = np.bitwise_xor.reduceat(mix64(hashes ^ np.uint64(_WIDE_SEEDS[1])), heads)
+    return total, parity
+
+
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, f0, f1, f2, keys): 48 bits each of three SimHashes over the same shingles, and the keys of their bands."""
+    """(doc_id, d0, d1, f0, f1, f2, keys): a digest of the shingle set, 48 bits each of three SimHashes over it, and the keys of its bands."""
     prepare(docs.sparkSession)
+    names = ["doc_id", "d0", "d1", "f0", "f1", "f2", "keys"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_passes(batch):
-                hashes, row = shingle_xxh64(*utf8_of(part.column("text")), width)
+                hashes, row = distinct_per_row(*shingle_xxh64(*utf8_of(part.column("text")), width))
                 words = [simhash_bits(mix64(hashes ^ np.uint64(s)), row, part.num_rows) & np.uint64(2**48 - 1) for s in _WIDE_SEEDS]
+                numbers = [pa.array(w.view(np.int64)) for w in (*set_digests(hashes, row, part.num_rows), *words)]
                 keys = band_keys(mix64(hashes), row, part.num_rows).view(np.int64).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(w.astype(np.int64)) for w in words), lists], names=["doc_id", "f0", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *numbers, lists], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, d0 long, d1 long, f0 long, f1 long, f2 long, keys array<long>")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -228,11 +249,11 @@ def similar_pairs(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame])
 
 
 def shingle_sets(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Of the pairs (u, v) of documents, those whose shingle sets have at least this Jaccard similarity."""
+    """Of the pairs (u, v) of documents, those whose shingle sets (as hashes of 32 bits) have at least this Jaccard similarity."""
 
     def shingles(text: str | None) -> np.ndarray:
         flat = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        return np.unique(shingle_xxh64(flat, np.array([0, len(flat)]), width)[0])
+        return np.unique((shingle_xxh64(flat, np.array([0, len(flat)]), width)[0] >> np.uint64(32)).astype("<u4"))
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +266,7 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, similarity: float, width: in
             for part in text_passes(batch):
                 keep = []
                 for h, t in zip(part.column("of_u").to_pylist(), part.column("text").to_pylist()):
-                    a, b = np.frombuffer(h, np.uint64), shingles(t)
+                    a, b = np.frombuffer(h, "<u4"), shingles(t)
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     keep.append(both >= similarity * (len(a) + len(b) - both))
                 kept = part.filter(pa.array(keep, pa.bool_()))
@@ -254,22 +275,23 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, similarity: float, width: in
     texts = docs.select(F.col("doc_id").alias("d"), "text")
     if pairs.count() <= SENT_PAIRS:
         texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), "d", "left_semi")
-    of_u = pairs.join(texts, F.col("u") == F.col("d")).select("u", "v", "text").mapInArrow(first, "u long, v long, of_u binary")
-    return of_u.join(texts, F.col("v") == F.col("d")).select("u", "v", "of_u", "text").mapInArrow(second, "u long, v long")
+    of_u = pairs.join(texts, F.col("u") == F.col("d")).select("u", "v", "text").mapInArrow(tidy(first), "u long, v long, of_u binary")
+    return of_u.join(texts, F.col("v") == F.col("d")).select("u", "v", "of_u", "text").mapInArrow(tidy(second), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, group_id) of the documents that are near-duplicates of a document of a smaller id.
 
-    Documents of one fingerprint of 144 bits are one node. Nodes that share a band of five
-    min-hashes, of twenty, are compared, first by all bits, then by their shingle sets. A pair of
+    Documents of one set of shingles (by a digest of 128 bits) are one node. Nodes that share a band
+    of five min-hashes, of twenty, are compared, first by the 144 bits of their SimHashes over the
+    set, then by the sets themselves. A pair of
     Jaccard similarity 0.8 shares a band with a probability of 0.9996, one of 0.85 of 0.99999.
     Only in buckets over ``PAIRS_UP_TO`` members that share ten min-hashes not all are compared: a
     member that is similar to the one it is compared with is not compared with further ones there.
     """
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     marked = materialize(wide_fingerprints(known, width))
-    nodes = materialize(marked.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
+    nodes = materialize(marked.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("f0", "f1", "f2", "keys"))))
     side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f"f{i}").alias(f"{c}{i}") for i in range(3)))
     apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, 3)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
 
@@ -278,11 +300,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         return materialize(shingle_sets(known, materialize(close), similarity, width))
 
     found = components(similar_pairs(nodes.select("node", "keys"), verified))
-    owner = nodes.join(found, "node", "left").select("f0", "f1", "f2", F.coalesce("component", "node").alias("group_id"))
-    return marked.join(owner, ["f0", "f1", "f2"]).where("doc_id > group_id").select("doc_id", "group_id")
+    owner = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("group_id"))
+    return marked.select("doc_id", "d0", "d1").join(owner, ["d0", "d1"]).where("doc_id > group_id").select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents of which none earlier is a near-duplicate; rows without id stay, repeated rows of one id too."""
-    gone = near_duplicates(docs, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(options.get("doc_id", "doc_id")) == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "gone")
+    gone = near_duplicates(docs, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(options.get("doc_id", "doc_id")) == F.col(name), "left_anti")
