@@ -1,4 +1,4 @@
-"""Connected components of large graphs by alternating star contractions."""
+"""Pairs within small groups, and connected components of large graphs by alternating star contractions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from lineagraph.llm.common import materialize
 
 
+def all_pairs(members: DataFrame) -> DataFrame:
+    """(u, v) of all members of each key, u < v."""
+    held = members.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("s"))
+    pairs = "explode(flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as u, y as v))))) as p"
+    return held.selectExpr(pairs).select("p.u", "p.v")
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineagraph.llm.common import _SPACE, LOWER, documents, fresh, materialize, mix64, prepare, text_passes, tidy, utf8_of, word_spans
-from lineagraph.llm.graph import components
+from lineagraph.llm.graph import all_pairs, components
 
 PAIRS_UP_TO = 16
 
@@ -198,13 +198,6 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 
-def all_pairs(members: DataFrame) -> DataFrame:
-    """(u, v) of all members of each key, u < v."""
-    held = members.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("s"))
-    pairs = "explode(flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as u, y as v))))) as p"
-    return held.selectExpr(pairs).select("p.u", "p.v")
-
-
 def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of nodes and their keys, the pairs (u, v) in all small buckets, and the members (key, node) of the large ones.
 

@@ -3,39 +3,51 @@
 A text is its sequence of five-word shingles. For each of four hash functions, a Cartesian tree over
 the shingles' hashes groups all subsequences of at least ``LEAST`` shingles by the shingle with the
 least hash: a node with at least so many shingles in its interval is a compact window, and all
-subsequences in it around the node share its min-hash. Windows of two functions are joined where
-their intervals share a subsequence; the two min-hashes together are a key, and texts that share a
-key have a pair of windows on which enough hashes agree. The places of a key are all linked if they
-are ``PAIRS_UP_TO`` or fewer. Of a key with more, every later document is linked to all places in the
-first one (a star, so a key that many documents share makes no pairs among them). Linked passages
-are then verified on their shingles: at least ``LEAST`` of them, and a Jaccard similarity of 0.8 or
-more.
-
-Null and empty texts, and texts of fewer than 50 words, have no window and no repeat. Rows with one
-id are one document; rows without id are not linked. The first document by id keeps a passage.
-An empty table gives an empty result. Only the id and the text are used, except that the texts are
-cut in place by ``cut_repeats``, which keeps all columns.
+subsequences in it around the node share its min-hash. The min-hash is a key.
+
+How many hashes are enough depends on how common they are. Documents that share a key of up to
+``PAIRS_UP_TO`` documents are candidates by that one hash. Windows of more common keys are joined, in
+their own text, with those of the other functions where their intervals share a subsequence that
+holds both nodes; the two min-hashes together are a key, and documents that share a key of up to so
+many documents are candidates. Where a pair of hashes is still common, all its documents are compared
+with the first one, and those in which no passage is found there with others from among themselves,
+in rounds, until none is left; so a passage that many documents share makes no pairs among them.
+
+Candidates are verified on the shingles of all their windows with shared keys: a passage has at
+least ``LEAST`` of them and a Jaccard similarity of 0.8 or more to its counterpart. At that similarity
+two passages of the least length share one of four min-hashes with a probability of 0.998 or more, and
+two with one of 0.97.
+
+Null and empty texts, and texts of fewer than 50 words, have no window and no repeat. Very long texts
+are taken whole. Rows with one id are one document, with the text of one of them; rows without id are
+not linked. The first document by id keeps a passage. An empty table gives an empty result. Only the
+id and the text are used; other columns do no harm, and ``cut_repeats`` keeps them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineagraph.llm.common import documents, materialize, mix64, prepare, shingle_hashes, span_hashes, text_passes, utf8_of, word_spans
+from lineagraph.llm.common import documents, fresh, materialize, mix64, prepare, shingle_hashes, span_hashes, text_passes, tidy, utf8_of, word_spans
+from lineagraph.llm.graph import all_pairs
 
 WIDTH = 5
 #: Shingles of the shortest passage: 50 words.
 LEAST = 46
 SIMILARITY = 0.8
-#: Pairs of the four hash functions whose windows are joined: all.
-FUNCTION_PAIRS = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
-#: Places of a key that are all linked to each other.
+#: Documents of a key that are all compared with each other.
 PAIRS_UP_TO = 8
+#: Documents of a common key that the others are compared with in each round after the first.
+LEADERS = 16
+#: So many document ids are sent to the texts at most; of more, the texts are shuffled to them.
+SENT_IDS = 200_000
+#: A window is kept up to so many shingles to both sides of its node.
+REACH = 255
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 
 
@@ -93,8 +105,10 @@ def compact_windows(hashes: np.ndarray, text_of: np.ndarray, least: int = LEAST)
 
 
 def window_keys(flat: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
-    """(key, row, first, last): joined windows and their common interval, in shingles of the row's text."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+    """(key, row, span) of the compact windows. The last two bits of a key are its function. A span is
+    the node's place in the shingles of the row's text, the reach to both sides (8 bits each), and
+    a bit for the first window of the row with that key."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(3))
     starts, ends, row = word_spans(flat, offsets)
     if len(starts) < WIDTH:
         return none
@@ -110,51 +124,112 @@ def window_keys(flat: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tu
     back[place] = np.arange(len(place))
     first_of = np.searchsorted(text_of, text_of)  # of each shingle: where its text begins
     found = []
-    for turn, (f, g) in enumerate(FUNCTION_PAIRS):
-        (a, left_a, right_a, value_a), (b, left_b, right_b, value_b) = functions[f], functions[g]
-        ok = a >= 0
-        new = ok & np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        x, y = a[new], b[new]
-        low, high = np.maximum(left_a[x], left_b[y]), np.minimum(right_a[x], right_b[y])
-        key = mix64(value_a[x] * np.uint64(0x9E3779B97F4A7C15) + mix64(value_b[y] + np.uint64(turn)))
-        i = back[low]
-        base = first_of[i]
-        found.append((key.view(np.int64), text_of[i], (i - base).astype(np.int32), (back[high] - base).astype(np.int32)))
+    for f, (node, left, right, value) in enumerate(functions):
+        x = np.unique(node[node >= 0])
+        key = (mix64(value[x] + np.uint64(f)) & ~np.uint64(3)) | np.uint64(f)
+        i = back[x]
+        of = text_of[i]
+        order = np.lexsort((x, key, of))
+        head = np.ones(len(x), np.int64)
+        head[order[1:]] = (key[order[1:]] != key[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+        before, after = np.minimum(x - left[x], REACH), np.minimum(right[x] - x, REACH)
+        found.append((key.view(np.int64), of, (i - first_of[i]) << 17 | before << 9 | after << 1 | head))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def joined_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key, doc, span): a row for each joined pair of windows; span is first << 32 | last."""
+def compact_window_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(key, doc, span): a row for each compact window."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_passes(batch):
-                key, row, first, last = window_keys(*utf8_of(part.column("text")), least)
+                key, row, span = window_keys(*utf8_of(part.column("text")), least)
                 doc = part.column("doc").to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc.astype(np.int64)), pa.array((first.astype(np.int64) << 32) | last)], names=["key", "doc", "span"])
-
-    return docs.mapInArrow(run, "key long, doc long, span long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc.astype(np.int64)), pa.array(span)], names=["key", "doc", "span"])
+
+    return docs.mapInArrow(tidy(run), "key long, doc long, span long")
+
+
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """The windows whose key stands in several documents, and their number n."""
+    counted = windows.withColumn("n", F.sum(F.col("span").bitwiseAND(F.lit(1))).over(Window.partitionBy("key")))
+    return counted.where("n > 1")
+
+
+def interval_pairs(key: np.ndarray, span: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(key, doc, place) of the pairs of windows of two functions, in one document, whose intervals share
+    a run of ``least`` shingles that holds both nodes. Documents are numbered from 0, in order."""
+    place, before, after, function = span >> 17, span >> 9 & REACH, span >> 1 & REACH, key & 3
+    longest = np.zeros(int(doc[-1]) + 1 if len(doc) else 1, np.int64)
+    np.maximum.at(longest, doc, place + 2 * least)
+    at = place + (np.cumsum(longest) - longest)[doc]
+    of = [order[np.argsort(at[order])] for order in (np.flatnonzero(function == f) for f in range(4))]
+    found = [tuple(np.zeros(0, np.int64) for _ in range(3))]
+    for f in range(4):
+        for g in range(f + 1, 4):
+            x, y = of[f], of[g]
+            low, high = np.searchsorted(at[y], at[x] - least + 1), np.searchsorted(at[y], at[x] + least - 1, "right")
+            n = high - low
+            a = np.repeat(x, n)
+            b = y[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            left, right = np.maximum(at[a] - before[a], at[b] - before[b]), np.minimum(at[a] + after[a], at[b] + after[b])
+            ok = (doc[a] == doc[b]) & (right - left + 1 >= least) & (left <= np.minimum(at[a], at[b])) & (np.maximum(at[a], at[b]) <= right)
+            a, b = a[ok], b[ok]
+            joined = mix64(key[a].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(key[b].view(np.uint64)))
+            found.append((joined.view(np.int64), doc[a], place[a]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
-def linked_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, rep, spans, rep_spans): per later and earlier document the places of the keys that link them."""
-    of_key = Window.partitionBy("key")
-    windows = joined_windows(docs, least).withColumn("rep", F.min("doc").over(of_key)).withColumn("other", F.max("doc").over(of_key)).withColumn("n", F.count("*").over(of_key))
-    members = materialize(windows.where("rep < other").select("key", "doc", "span", "rep", "n"))
-    few, many = members.where(f"n <= {PAIRS_UP_TO}"), members.where(f"n > {PAIRS_UP_TO}")
-    held = few.groupBy("key").agg(F.collect_list(F.struct("doc", "span")).alias("s"))
-    pairs = "explode(flatten(transform(s, x -> transform(filter(s, y -> y.doc < x.doc), y -> struct(x.doc as doc, y.doc as rep, x.span as span, array(y.span) as rep_spans))))) as p"
-    reps = many.where("doc = rep").groupBy("key").agg(F.collect_set("span").alias("rep_spans"))
-    later = many.where("doc > rep").join(reps, "key").select("doc", "rep", "span", "rep_spans")
-    linked = held.selectExpr(pairs).select("p.*").unionByName(later)
-    return linked.groupBy("doc", "rep").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("rep_spans"))).alias("rep_spans"))
 
+def joined_windows(windows: DataFrame, least: int = LEAST) -> DataFrame:
+    """(key, doc, place): pairs of windows (key, doc, span) of one document that share a subsequence."""
 
-def _merged(spans: list[int]) -> list[tuple[int, int]]:
-    """Disjoint intervals that cover all spans."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, names = batch.column("own"), batch.column("doc").to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(names)), np.diff(own.offsets.to_numpy()))
+            flat = own.flatten()
+            key, row, place = interval_pairs(flat.field("key").to_numpy(zero_copy_only=False), flat.field("span").to_numpy(zero_copy_only=False), doc, least)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(names[row] if len(row) else row), pa.array(place)], names=["key", "doc", "place"])
+
+    own = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "span")).alias("own"))
+    return own.mapInArrow(tidy(run), "key long, doc long, place long").distinct()
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """(doc, rep) of all documents of each key (columns key, doc), rep before doc."""
+    return all_pairs(members.select("key", F.col("doc").alias("node"))).select(F.col("v").alias("doc"), F.col("u").alias("rep"))
+
+
+def linked_passages(members: DataFrame, verified: Callable[[DataFrame], DataFrame], least: int = LEAST) -> DataFrame:
+    """What ``verified`` finds for the pairs (doc, rep) of documents that the shared windows make candidates."""
+    joined = materialize(joined_windows(members.where(f"n > {PAIRS_UP_TO}"), least))
+    sizes = joined.select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    joined = materialize(joined.join(sizes, "key"))
+    pairs = _pairs(members.where(f"n <= {PAIRS_UP_TO}")).unionByName(_pairs(joined.where(f"n <= {PAIRS_UP_TO}")))
+    waiting, leaders, found = joined.where(f"n > {PAIRS_UP_TO}").select("key", "doc", "place"), 1, None
+    while True:
+        part = F.pmod(F.xxhash64("doc"), F.lit(leaders))
+        chosen = waiting.groupBy("key", part.alias("part")).agg(F.min("doc").alias("rep")).select("key", "rep")
+        asked = materialize(waiting.join(chosen, "key"))
+        ordered = (F.greatest("doc", "rep").alias("doc"), F.least("doc", "rep").alias("rep"))
+        pairs = pairs.unionByName(asked.where("doc <> rep").select(*ordered)).distinct()
+        now = materialize(verified(pairs))
+        found = now if found is None else found.unionByName(now)
+        # who led leaves, and who has a passage there
+        waiting = waiting.join(chosen.withColumnRenamed("rep", "doc"), ["key", "doc"], "left_anti")
+        held = now.select(F.col("doc_id").alias("doc"), "start_word", "end_word").unionByName(now.select(F.col("source_doc_id").alias("doc"), F.col("source_start_word").alias("start_word"), F.col("source_end_word").alias("end_word")))
+        inside = waiting.join(held, "doc").where("start_word <= place and place < end_word").select("key", "doc", "place").distinct()
+        waiting = materialize(waiting.join(inside, ["key", "doc", "place"], "left_anti"))
+        if not waiting.limit(1).count():
+            return found
+        pairs, leaders = pairs.limit(0), LEADERS
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint intervals (first, last) that cover all of them."""
     out: list[list[int]] = []
-    for first, last in sorted((s >> 32, s & 0xFFFFFFFF) for s in spans):
+    for first, last in sorted(spans):
         if out and first <= out[-1][1] + 1:
             out[-1][1] = max(out[-1][1], last)
         else:
@@ -163,25 +238,31 @@ def _merged(spans: list[int]) -> list[tuple[int, int]]:
 
 
 def best_segments(match: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches of at least ``least`` places in which matches outweigh the rest four to one."""
+    """The longest stretches, from left to right, of at least ``least`` places of which four in five match.
+
+    Passages of a Jaccard similarity of 0.8 have at least so many matches. A stretch begins and ends with a match,
+    unless it is too short without the places beside it.
+    """
     edges = np.flatnonzero(np.diff(np.concatenate([[0], match.astype(np.int8), [0]])))
-    out, start, total, top, top_end = [], -1, 0, 0, -1
-    previous = 0
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        if start >= 0:
-            total -= 4 * (a - previous)
-            if total <= 0:
-                out.append((start, top_end))
-                start = -1
-        if start < 0:
-            start, total, top = a, 0, 0
-        total += b - a
-        previous = b
-        if total >= top:
-            top, top_end = total, b
-    if start >= 0:
-        out.append((start, top_end))
-    return [(a, b) for a, b in out if b - a >= least]
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return []
+    running = np.concatenate([[0], np.cumsum(np.where(match, 1, -4))])
+    furthest = np.maximum.accumulate(running[ends][::-1])  # of the last runs: the greatest sum at an end among them
+    out, i = [], 0
+    while i < len(starts):
+        # the last run that ends with a sum no less than at this start
+        j = len(ends) - 1 - int(np.searchsorted(furthest, running[starts[i]]))
+        first, end = int(starts[i]), int(ends[j])
+        lacking = max(0, least - (end - first))
+        right = min(lacking, len(match) - end)
+        left = min(lacking - right, first)
+        if left + right == lacking and 4 * lacking <= running[end] - running[first]:
+            out.append((first - left, end + right))
+            i = j + 1
+        else:
+            i += 1
+    return out
 
 
 def text_shingles(text: str | None) -> np.ndarray:
@@ -232,31 +313,35 @@ def without_covered(passages: DataFrame) -> DataFrame:
                     first, last = p["start_word"], p["end_word"] - 1
                     if not any(a <= first and last <= b for a, b in held):
                         out.append(tuple(p[c] for c in columns))
-                        held = _merged([a << 32 | b for a, b in [*held, (first, last)]])
+                        held = _merged([*held, (first, last)])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * len(columns), names=columns)
 
     order = ["doc_id", "source_doc_id", *(c for c in columns if c not in ("doc_id", "source_doc_id"))]
     own = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("own"))
-    return own.select("own").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return own.select("own").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in columns))
+
+
+PASSAGE = ["doc_id", "source_doc_id", "start_word", "end_word", "source_start_word", "source_end_word"]
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST + WIDTH - 1, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, source_doc_id, start_word, end_word, source_start_word, source_end_word): passages of an earlier document."""
     least = least_words - WIDTH + 1
     known = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    links = materialize(linked_passages(known, least))
+    members = materialize(shared_windows(compact_window_rows(known, least)))
 
     def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Replace a text by the runs of its linked places (their number, first places and lengths) and 32 bits of each shingle's hash."""
+        """Replace a text by the runs of its windows (their number, first places and lengths) and 32 bits of each shingle's hash."""
         for batch in batches:
             for part in text_passes(batch):
                 out = []
                 for t, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                     all_of = text_shingles(t)
-                    runs = [(a, min(b + 1, len(all_of)) - a) for a, b in _merged(spans) if a < len(all_of)]
+                    intervals = _merged({((s >> 17) - (s >> 9 & REACH), (s >> 17) + (s >> 1 & REACH)) for s in spans})
+                    runs = [(a, min(b + 1, len(all_of)) - a) for a, b in intervals if a < len(all_of)]
                     parts = [(all_of[a : a + n] >> np.uint64(32)).astype("<u4") for a, n in runs]
                     out.append(np.array([len(runs), *(x for r in runs for x in r)], "<i4").tobytes() + b"".join(x.tobytes() for x in parts))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "rep", "side")), pa.array(out, pa.binary())], names=["doc", "rep", "side", "slice"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(out, pa.binary())], names=["doc", "slice"])
 
     def opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         n = int(np.frombuffer(data, "<i4", 1)[0])
@@ -269,30 +354,35 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             out: list[tuple] = []
             for doc, rep, own, other in zip(*(batch.column(c).to_pylist() for c in ("doc", "rep", "own", "other"))):
                 out += [(doc, rep, *x) for x in verified(*opened(own), *opened(other), least, similarity)]
-            names = ["doc_id", "source_doc_id", "start_word", "end_word", "source_start_word", "source_end_word"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, names=PASSAGE)
+
+    # each text meets its windows once, and only the shingles in them go on
+    asked = members.groupBy("doc").agg(F.collect_set(F.col("span").bitwiseAND(F.lit(~1))).alias("spans"))
+    texts = known.groupBy("doc").agg(F.first("text").alias("text")) if known.groupBy("doc").count().where("count > 1").limit(1).count() else known
+    if (ids := members.select("doc").distinct()).count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(ids), "doc", "left_semi")
+    slices = materialize(asked.join(texts, "doc").select("doc", "spans", "text").mapInArrow(tidy(sliced), "doc long, slice binary"))
+
+    def found(pairs: DataFrame) -> DataFrame:
+        own = pairs.join(slices.withColumnRenamed("slice", "own"), "doc")
+        both = own.join(slices.select(F.col("doc").alias("rep"), F.col("slice").alias("other")), "rep").select("doc", "rep", "own", "other")
+        return both.mapInArrow(tidy(verify), ", ".join(f"{c} long" for c in PASSAGE))
 
-    # both documents of a pair ask for their slice of text in one join, so the texts are shuffled once
-    asked = links.select("doc", "rep", F.lit(0).alias("side"), F.col("doc").alias("of"), "spans").unionByName(links.select("doc", "rep", F.lit(1).alias("side"), F.col("rep").alias("of"), F.col("rep_spans").alias("spans")))
-    texts = known.select(F.col("doc").alias("of"), "text")
-    slices = asked.join(texts, "of").select("doc", "rep", "side", "spans", "text").mapInArrow(sliced, "doc long, rep long, side int, slice binary")
-    side = lambda k: F.max(F.when(F.col("side") == k, F.col("slice")))
-    both = slices.groupBy("doc", "rep").agg(side(0).alias("own"), side(1).alias("other"))
-    columns = "doc_id long, source_doc_id long, start_word long, end_word long, source_start_word long, source_end_word long"
-    return without_covered(both.mapInArrow(verify, columns).distinct())
+    return without_covered(linked_passages(members, found, least).distinct())
 
 
 def cut_repeats(docs: DataFrame, repeats: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the words of their repeated passages; white space before a cut stays."""
-    fields = [f for f in docs.schema.fields if f.name != "_spans"]
-    spans = repeats.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
+    fields = docs.schema.fields
+    own, doc = fresh(docs.columns, "own"), fresh(docs.columns, "doc")
+    spans = repeats.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(own))
 
-    def without(t: str, own: list[dict]) -> str:
+    def without(t: str, passages: list[dict]) -> str:
         flat = np.frombuffer(t.encode(), dtype=np.uint8)
         starts, _, _ = word_spans(flat, np.array([0, len(flat)]))
         gone = np.zeros(len(flat) + 1, np.int64)
         stops = np.append(starts, len(flat))
-        for s in own:
+        for s in passages:
             gone[stops[min(s["start_word"], len(starts))]] += 1
             gone[stops[min(s["end_word"], len(starts))]] -= 1
         return flat[np.cumsum(gone)[:-1] == 0].tobytes().decode()
@@ -300,11 +390,11 @@ def cut_repeats(docs: DataFrame, repeats: DataFrame, doc_id: str = "doc_id", tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_passes(batch, text):
-                cut = [t if t is None or not own else without(t, own) for t, own in zip(part.column(text).to_pylist(), part.column("_spans").to_pylist())]
+                cut = [t if t is None or not p else without(t, p) for t, p in zip(part.column(text).to_pylist(), part.column(own).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()) if f.name == text else part.column(f.name) for f in fields], names=[f.name for f in fields])
 
-    joined = docs.join(spans, F.col(doc_id) == F.col("_doc"), "left").select(*(F.col(f"`{f.name}`") for f in fields), "_spans")
-    return joined.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    joined = docs.join(spans, F.col(f"`{doc_id}`") == F.col(doc), "left").select(*(F.col(f"`{f.name}`") for f in fields), own)
+    return joined.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,92 @@
 
 import random
 
-from lineagraph.llm.substring_dedup import repeated_passages
+import numpy as np
+import pytest
+from lineagraph.llm.substring_dedup import best_segments, compact_windows, interval_pairs, repeated_passages, window_keys
+
+
+def shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def similar(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("length", [54, 80, 200])
+def test_near_passages_are_found(docs, length):
+    """Passages with one word changed, each in two documents of unlike words: brute force finds all at Jaccard 0.8 or more."""
+    rng = random.Random(length)
+    words = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    texts, wanted = [], set()
+    for k in range(120):
+        passage = words(length)
+        near = passage.copy()
+        near[rng.randrange(length)] = "other"
+        if similar(passage, near) >= 0.8:
+            wanted.add(2 * k + 1)
+        texts += [" ".join([*words(30), *p, *words(30)]) for p in (passage, near)]
+    got = {r.doc_id: r for r in repeated_passages(docs(texts)).collect()}
+    assert len(wanted) >= 100 and len(wanted & set(got)) >= 0.95 * len(wanted)
+    for i, r in got.items():
+        assert r.source_doc_id == i - 1
+        a, b = texts[i].split()[r.start_word : r.end_word], texts[i - 1].split()[r.source_start_word : r.source_end_word]
+        assert similar(a, b) >= 0.8 and r.end_word - r.start_word >= 50
+
+
+def test_common_passages_with_unlike_first_holders(docs):
+    """Forty documents share 30 words around which two halves of them share further ones: every one but the first of a half is linked."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    line, halves = words(30), [(words(15), words(15)) for _ in range(2)]
+    texts = [" ".join([*words(20), *halves[i % 2][0], *line, *halves[i % 2][1], *words(20)]) for i in range(40)]
+    got = {(r.doc_id, r.source_doc_id) for r in repeated_passages(docs(texts)).collect()}
+    assert {a for a, _ in got} == set(range(2, 40)) and all(a % 2 == b % 2 for a, b in got)
+
+
+def test_stretches_are_the_longest():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        match = rng.random(60) < rng.choice([0.5, 0.8, 0.95])
+        good = [(a, b) for a in range(60) for b in range(a + 20, 61) if 5 * match[a:b].sum() >= 4 * (b - a)]
+        found = best_segments(match, 20)
+        assert bool(good) == bool(found)
+        for a, b in found:
+            assert (a, b) in good and (b - a == 20 or not any(c == a and d > b and match[d - 1] for c, d in good))
+
+
+def test_interval_pairs_match_brute_force():
+    rng = random.Random(8)
+    text = " ".join(rng.choice("abcdef") + rng.choice("ghij") for _ in range(400)).encode()
+    flat, offsets = np.frombuffer(text, np.uint8), np.array([0, 600, len(text)])
+    key, row, span = window_keys(flat, offsets)
+    order = np.argsort(row, kind="stable")
+    got = set(zip(*(x.tolist() for x in interval_pairs(key[order], span[order], row[order]))))
+    wanted = 0
+    for f, g in ((i, j) for i in range(len(key)) for j in range(len(key))):
+        if row[f] == row[g] and key[f] & 3 < key[g] & 3:
+            x, y = int(span[f] >> 17), int(span[g] >> 17)
+            left = max(x - int(span[f] >> 9 & 255), y - int(span[g] >> 9 & 255))
+            right = min(x + int(span[f] >> 1 & 255), y + int(span[g] >> 1 & 255))
+            wanted += right - left + 1 >= 46 and left <= min(x, y) and max(x, y) <= right and abs(x - y) < 46
+    assert len(got) and wanted >= len(got)
+    assert len(compact_windows(np.arange(50, dtype=np.uint64), np.zeros(50, np.int64))[1]) == 4
+
+
+def test_odd_tables(spark, docs):
+    """Null and repeated ids, repeated rows, clashing and further columns, a very long text and none."""
+    from lineagraph.llm.substring_dedup import cut_repeats
+
+    rng = random.Random(9)
+    passage = " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
+    rows = [(None, passage, 1), (None, passage, 2), (3, passage, 3), (3, passage, 4), (7, f"x {passage} y", 5), (9, None, 6), (10, " ".join(f"v{i}" for i in range(60_000)) + " " + passage, 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, doc int").withColumnRenamed("doc", "own")
+    found = repeated_passages(table)
+    assert {(r.doc_id, r.source_doc_id) for r in found.collect()} == {(7, 3), (10, 3)}
+    cut = {r.own: r.text for r in cut_repeats(table, found).collect()}
+    assert len(cut) == 7 and cut[5].split() == ["x", "y"] and cut[1] == passage and cut[6] is None
 
 
 def test_passages_behind_a_shorter_first_holder_are_found(docs):

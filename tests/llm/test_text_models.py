@@ -46,8 +46,9 @@ def test_windows_are_compact():
     assert (first[1:4].tolist(), last[1:4].tolist()) == ([1, 1, 3], [1, 3, 3])
     text = " ".join(words(random.Random(3), 300)).encode()
     flat = np.frombuffer(text, np.uint8)
-    key, row, first, last = window_keys(flat, np.array([0, len(flat)]))
-    assert len(key) and (last - first + 1 >= 46).all() and first.min() == 0 and last.max() == 295 and (row == 0).all()
+    key, row, span = window_keys(flat, np.array([0, len(flat)]))
+    place, before, after = span >> 17, span >> 9 & 255, span >> 1 & 255
+    assert len(key) and (before + after + 1 >= 46).all() and (place - before).min() == 0 and (place + after).max() == 295 and (row == 0).all()
 
 
 def test_elias_fano_and_trie_round_trip(tmp_path):
