@@ -24,8 +24,8 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 PASS_BYTES = 1 << 20
 #: Rows that go to a Python worker at once: whole texts are long, so fewer than Spark's own setting.
 ARROW_ROWS = "1000"
-#: Words, of at most so many characters, that a worker keeps the ids of: some 20 MB.
-CACHE_WORDS, CACHED_LENGTH = 100_000, 64
+#: Words, of at most so many characters, that a generation of a worker's cache holds; there are two: some 80 MB.
+CACHE_WORDS, CACHED_LENGTH = 200_000, 64
 
 
 def prepare(spark: SparkSession) -> None:
@@ -67,15 +67,19 @@ def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
 
 
 class Cache(dict):
-    """Values by word, made on demand; started anew when full."""
+    """Values by word, made on demand. When full, it becomes the older generation and a new one begins."""
 
     def __init__(self, make: Callable):
         self.make = make
+        self.older: dict = {}
 
     def __missing__(self, word: Sequence) -> bytes:
-        out = self.make(word)
+        out = self.older.get(word)
+        if out is None:
+            out = self.make(word)
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out

@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,17 +51,20 @@ class WordwiseTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
+        self.signed = not any(map(str.isalnum, special))  # a word of letters and digits alone then holds none
         self.letters = dict(enumerate(byte_letters()))
         self.words = Cache(self.encode_word)
         self.parts = Cache(self._part)
 
     def _part(self, part: str) -> bytes:
-        found = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        plain = part.isascii() and part.isprintable()
+        found = self.model.tokenize(part if plain else part.encode().decode("latin-1").translate(self.letters))
         return b"".join([t.id.to_bytes(4, "little") for t in found])
 
     def encode_word(self, word: str) -> bytes:
-        if any(s in word for s in self.special):
+        if not (self.signed and word.isalnum()) and self.special.search(word):
             return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.parts.__getitem__, pre_tokens(word)))
 
@@ -113,16 +117,16 @@ def _piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
     return out
 
 
-def queue_offsets(rows: DataFrame, count: int) -> DataFrame:
-    """Rows (row, queue, n) with ``a``: the tokens before the row in its queue, by blocks of rows."""
+def queue_offsets(rows: DataFrame, count: int, totals: DataFrame) -> DataFrame:
+    """Rows (row, queue, n) with ``a``, the tokens before the row in its queue, by blocks of rows, and the queue's total."""
     nb = blocks(count, ROWS_PER_BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(nb)))
     sums = rows.groupBy("queue", "block").agg(F.sum("n").alias("block_n"))
     before = F.sum("block_n").over(Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("queue", "block", F.coalesce(before, F.lit(0)).alias("block_a"))
+    starts = sums.select("queue", "block", F.coalesce(before, F.lit(0)).alias("block_a")).join(totals, "queue")
     within = F.sum("n").over(Window.partitionBy("queue", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     inside = rows.withColumn("within", F.coalesce(within, F.lit(0)))
-    return inside.join(starts.hint("merge"), ["queue", "block"]).select("row", "queue", "n", (F.col("block_a") + F.col("within")).alias("a"))
+    return inside.join(starts.hint("merge"), ["queue", "block"]).select("row", "queue", "n", (F.col("block_a") + F.col("within")).alias("a"), "total")
 
 
 def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[str, float] | None = None, least: int = LEAST_PIECE) -> DataFrame:
@@ -180,7 +184,7 @@ def placements(rows: DataFrame, window: int = WINDOW_TOKENS, weights: Mapping[st
     unit = lambda x: F.floor(x / least)
     served = F.when(frequent, F.array("k")).otherwise(F.sequence(unit(F.col("lo")), unit(F.col("hi") - 1)))
     grid = grid.select("queue", "lo", "hi", "at", F.explode(served).alias("key"))
-    placed = queue_offsets(rows, count).join(totals.hint("merge"), "queue")
+    placed = queue_offsets(rows, count, totals)
     first, last = F.greatest(F.lit(0), round_of(F.col("a")) - 1), F.least(F.lit(rounds - 1), round_of(F.col("a") + F.col("n") + least) + 1)
     wanted = F.when(frequent, F.sequence(first, F.greatest(first, last))).otherwise(F.sequence(unit(F.col("a")), unit(F.col("a") + F.col("n") - 1)))
     asked = placed.select("row", "queue", "a", "n", frequent.alias("frequent"), F.explode(wanted).alias("key"))
@@ -204,20 +208,20 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW_TOKENS, weights: Mappi
     def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_passes(batch, "ids"):
-                cols: dict[str, list] = {c: [] for c in ("doc_id", "queue", *fields, "doc_tokens", "ids")}
-                for doc_id, queue, n, ids, own in zip(*(part.column(c).to_pylist() for c in ("doc_id", "queue", "n", "ids", "pieces"))):
-                    wide = unpack(ids)
-                    for p in own:
-                        cols["doc_id"].append(doc_id)
-                        cols["queue"].append(queue)
-                        cols["doc_tokens"].append(n)
-                        cols["ids"].append(wide[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes())
-                        for f in fields:
-                            cols[f].append(p[f])
-                yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), *((f, pa.int64()) for f in fields), ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
+                own = part.column("pieces")
+                cuts = own.offsets.to_numpy() - own.offsets[0].as_py()
+                each = own.flatten()
+                row = pa.array(np.repeat(np.arange(part.num_rows), np.diff(cuts)))
+                start, length = (each.field(f).to_numpy(zero_copy_only=False) * 4 for f in ("start", "length"))
+                out: list[bytes] = []
+                for ids, low, high in zip(part.column("ids").to_pylist(), cuts.tolist(), cuts[1:].tolist()):
+                    data = unpack(ids).astype("<u4").tobytes()
+                    out += [data[a : a + n] for a, n in zip(start[low:high].tolist(), length[low:high].tolist())]
+                taken = [part.column(c).take(row) for c in ("doc_id", "queue", "n")]
+                yield pa.RecordBatch.from_arrays([*taken, *(each.field(f) for f in fields), pa.array(out, pa.binary())], names=["doc_id", "queue", "doc_tokens", *fields, "ids"])
 
     joined = encoded.join(by_row.hint("merge"), "row").select("doc_id", "queue", "n", "ids", "pieces")
-    return joined.mapInArrow(tidy(slices), "doc_id long, queue string, start long, length long, sequence_id long, offset long, doc_tokens long, ids binary")
+    return joined.mapInArrow(tidy(slices), "doc_id long, queue string, doc_tokens long, start long, length long, sequence_id long, offset long, ids binary")
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
