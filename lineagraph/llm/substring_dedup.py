@@ -8,10 +8,13 @@ subsequences in it around the node share its min-hash. The min-hash is a key.
 How many hashes are enough depends on how common they are. Documents that share a key of up to
 ``PAIRS_UP_TO`` documents are candidates by that one hash. Windows of more common keys are joined, in
 their own text, with those of the other functions where their intervals share a subsequence that
-holds both nodes; the two min-hashes together are a key, and documents that share a key of up to so
-many documents are candidates. Where a pair of hashes is still common, all its documents are compared
-with the first one, and those in which no passage is found there with others from among themselves,
-in rounds, until none is left; so a passage that many documents share makes no pairs among them.
+holds both nodes; the two min-hashes together are a key. Of each key, all documents are compared with
+the first one. Where no passage covers a document's window then, it is compared with all documents of
+a key of up to ``PAIRS_UP_TO``. Of more, a pair that is similar around this window either shares a
+shingle that stands in no more than so many of the documents that still wait, and is compared for
+that, or at least four in five of its shingles there are common ones: those documents are compared
+with further ones of the key in rounds, until none waits. So a passage that many documents share
+makes no pairs among them.
 
 Candidates are verified on the shingles of all their windows with shared keys: a passage has at
 least ``LEAST`` of them and a Jaccard similarity of 0.8 or more to its counterpart. At that similarity
@@ -26,6 +29,7 @@ id and the text are used; other columns do no harm, and ``cut_repeats`` keeps th
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -33,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineagraph.llm.common import documents, fresh, materialize, mix64, prepare, shingle_hashes, span_hashes, text_passes, tidy, utf8_of, word_spans
+from lineagraph.checkpoints import stored
+from lineagraph.llm.common import documents, fresh, mix64, prepare, shingle_hashes, span_hashes, text_passes, tidy, utf8_of, word_spans
 from lineagraph.llm.graph import all_pairs
 
 WIDTH = 5
@@ -46,8 +51,8 @@ PAIRS_UP_TO = 8
 LEADERS = 16
 #: So many document ids are sent to the texts at most; of more, the texts are shuffled to them.
 SENT_IDS = 200_000
-#: A window is kept up to so many shingles to both sides of its node.
-REACH = 255
+#: A window is kept up to so many shingles to both sides of its node; runs of the least length that hold it lie within.
+REACH = 127
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 
 
@@ -106,7 +111,7 @@ def compact_windows(hashes: np.ndarray, text_of: np.ndarray, least: int = LEAST)
 
 def window_keys(flat: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
     """(key, row, span) of the compact windows. The last two bits of a key are its function. A span is
-    the node's place in the shingles of the row's text, the reach to both sides (8 bits each), and
+    the node's place in the shingles of the row's text, the reach to both sides (8 bits each, 127 at most), and
     a bit for the first window of the row with that key."""
     none = tuple(np.zeros(0, np.int64) for _ in range(3))
     starts, ends, row = word_spans(flat, offsets)
@@ -152,8 +157,9 @@ def compact_window_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def shared_windows(windows: DataFrame) -> DataFrame:
-    """The windows whose key stands in several documents, and their number n."""
-    counted = windows.withColumn("n", F.sum(F.col("span").bitwiseAND(F.lit(1))).over(Window.partitionBy("key")))
+    """The windows whose key stands in several documents, their number n and the first of them."""
+    of_key = Window.partitionBy("key")
+    counted = windows.withColumn("n", F.sum(F.col("span").bitwiseAND(F.lit(1))).over(of_key)).withColumn("rep", F.min("doc").over(of_key))
     return counted.where("n > 1")
 
 
@@ -196,34 +202,68 @@ def joined_windows(windows: DataFrame, least: int = LEAST) -> DataFrame:
     return own.mapInArrow(tidy(run), "key long, doc long, place long").distinct()
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """(doc, rep) of all documents of each key (columns key, doc), rep before doc."""
-    return all_pairs(members.select("key", F.col("doc").alias("node"))).select(F.col("v").alias("doc"), F.col("u").alias("rep"))
+def _in_order(pairs: DataFrame, other: str) -> DataFrame:
+    """(doc, rep), rep before doc, of pairs (doc, other), once each."""
+    return pairs.where(F.col("doc") != F.col(other)).select(F.greatest("doc", other).alias("doc"), F.least("doc", other).alias("rep")).distinct()
 
 
-def linked_passages(members: DataFrame, verified: Callable[[DataFrame], DataFrame], least: int = LEAST) -> DataFrame:
-    """What ``verified`` finds for the pairs (doc, rep) of documents that the shared windows make candidates."""
-    joined = materialize(joined_windows(members.where(f"n > {PAIRS_UP_TO}"), least))
-    sizes = joined.select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    joined = materialize(joined.join(sizes, "key"))
-    pairs = _pairs(members.where(f"n <= {PAIRS_UP_TO}")).unionByName(_pairs(joined.where(f"n <= {PAIRS_UP_TO}")))
-    waiting, leaders, found = joined.where(f"n > {PAIRS_UP_TO}").select("key", "doc", "place"), 1, None
-    while True:
-        part = F.pmod(F.xxhash64("doc"), F.lit(leaders))
+def uncovered(waiting: DataFrame, passages: DataFrame) -> DataFrame:
+    """The windows (key, doc, place, ...) whose node lies in no passage of their document, here or as a source."""
+    here = passages.select(F.col("doc_id").alias("doc"), "start_word", "end_word")
+    there = passages.select(F.col("source_doc_id").alias("doc"), F.col("source_start_word").alias("start_word"), F.col("source_end_word").alias("end_word"))
+    nodes = waiting.select("doc", "place").distinct()
+    inside = nodes.join(here.unionByName(there), "doc").where("start_word <= place and place < end_word").select("doc", "place").distinct()
+    return waiting.join(inside, ["doc", "place"], "left_anti")
+
+
+def shingles_around(waiting: DataFrame, slices: DataFrame, least: int) -> DataFrame:
+    """(doc, place, h): the shingles in reach of a run of ``least`` that holds a waiting window's node."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, data, nodes in zip(*(batch.column(c).to_pylist() for c in ("doc", "slice", "nodes"))):
+                hashes, places = opened(data)
+                near = np.zeros(int(places[-1]) + least + 1 if len(places) else 1, np.int64)
+                for x in nodes:
+                    near[max(0, x - least + 1)] += 1
+                    near[min(x + least, len(near) - 1)] -= 1
+                ok = np.cumsum(near)[places] > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), doc)), pa.array(places[ok].astype(np.int64)), pa.array(hashes[ok].astype(np.int64))], names=["doc", "place", "h"])
+
+    asked = waiting.groupBy("doc").agg(F.collect_set("place").alias("nodes"))
+    return asked.join(slices, "doc").select("doc", "slice", "nodes").mapInArrow(tidy(run), "doc long, place long, h long")
+
+
+def linked_passages(members: DataFrame, slices: DataFrame, verify: Callable[[DataFrame], DataFrame], least: int = LEAST) -> DataFrame:
+    """What ``verify`` finds for the pairs (doc, rep) of documents that the shared windows make candidates."""
+    joined = stored(joined_windows(members.where(f"n > {PAIRS_UP_TO}"), least))
+    sizes = joined.select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("rep")).where("n > 1")
+    cold = members.where(f"n <= {PAIRS_UP_TO}").select("key", "doc", F.shiftright("span", 17).alias("place"), "n", "rep")
+    keyed = stored(cold.unionByName(joined.join(sizes, "key").select("key", "doc", "place", "n", "rep")))
+    found = [stored(verify(_in_order(keyed, "rep")))]
+    waiting = stored(uncovered(keyed.where("doc <> rep"), found[0]).select("key", "doc", "place", "n"))
+
+    few = waiting.where(f"n <= {PAIRS_UP_TO}").select("key", "doc").distinct().join(keyed.where(f"n <= {PAIRS_UP_TO}").select("key", F.col("doc").alias("other")), "key")
+    waiting = waiting.where(f"n > {PAIRS_UP_TO}").select("key", "doc", "place")
+    around = stored(shingles_around(waiting, slices, least))
+    holders = around.select("h", "doc").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    rare = around.join(holders.where(f"n > 1 and n <= {PAIRS_UP_TO}"), "h").select(F.col("h").alias("key"), F.col("doc").alias("node"))
+    pairs = few.select("doc", "other").unionByName(all_pairs(rare).select(F.col("v").alias("doc"), F.col("u").alias("other")))
+    found.append(stored(verify(_in_order(pairs, "other").join(_in_order(keyed, "rep"), ["doc", "rep"], "left_anti"))))
+
+    # common shingles by place, met by cells of ``least`` places
+    cell = lambda c, d: F.expr(f"{c} div {least} + {d}").alias("cell")
+    common = around.join(holders.where(f"n > {PAIRS_UP_TO}").select("h"), "h").select("doc", cell("place", 0), F.col("place").alias("at"))
+    cells = waiting.select("key", "doc", "place", F.explode(F.array(*(cell("place", d) for d in (-1, 0, 1)))).alias("cell"))
+    beside = cells.join(common, ["doc", "cell"]).where(f"abs(at - place) < {least}").groupBy("key", "doc", "place").agg(F.count("*").alias("n"))
+    waiting = stored(uncovered(beside.where(f"n >= {SIMILARITY} * {least}").select("key", "doc", "place"), found[1]))
+    while waiting.limit(1).count():
+        part = F.pmod(F.xxhash64("doc"), F.lit(LEADERS))
         chosen = waiting.groupBy("key", part.alias("part")).agg(F.min("doc").alias("rep")).select("key", "rep")
-        asked = materialize(waiting.join(chosen, "key"))
-        ordered = (F.greatest("doc", "rep").alias("doc"), F.least("doc", "rep").alias("rep"))
-        pairs = pairs.unionByName(asked.where("doc <> rep").select(*ordered)).distinct()
-        now = materialize(verified(pairs))
-        found = now if found is None else found.unionByName(now)
-        # who led leaves, and who has a passage there
-        waiting = waiting.join(chosen.withColumnRenamed("rep", "doc"), ["key", "doc"], "left_anti")
-        held = now.select(F.col("doc_id").alias("doc"), "start_word", "end_word").unionByName(now.select(F.col("source_doc_id").alias("doc"), F.col("source_start_word").alias("start_word"), F.col("source_end_word").alias("end_word")))
-        inside = waiting.join(held, "doc").where("start_word <= place and place < end_word").select("key", "doc", "place").distinct()
-        waiting = materialize(waiting.join(inside, ["key", "doc", "place"], "left_anti"))
-        if not waiting.limit(1).count():
-            return found
-        pairs, leaders = pairs.limit(0), LEADERS
+        found.append(stored(verify(_in_order(waiting.select("key", "doc").distinct().join(chosen, "key"), "rep"))))
+        followers = waiting.join(chosen.withColumnRenamed("rep", "doc"), ["key", "doc"], "left_anti")  # who led leaves
+        waiting = stored(uncovered(followers, found[-1]))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -271,12 +311,21 @@ def text_shingles(text: str | None) -> np.ndarray:
     return shingle_hashes(span_hashes(flat, starts, ends), WIDTH)
 
 
+def _holds(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values stand among the sorted ones."""
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
 def verified(own: np.ndarray, own_at: np.ndarray, rep: np.ndarray, rep_at: np.ndarray, least: int, similarity: float) -> Iterator[tuple[int, int, int, int]]:
     """Passages (first and end word here, first and end word there) of the linked places that are near-duplicates."""
+    all_match = _holds(np.sort(rep), own)
+    if all_match.sum() < similarity * least:
+        return
     breaks = np.flatnonzero(np.diff(own_at) != 1) + 1
     for low, high in zip(np.append(0, breaks).tolist(), np.append(breaks, len(own_at)).tolist()):
-        here = own[low:high]
-        match = np.isin(here, rep)
+        here, match = own[low:high], all_match[low:high]
         todo = best_segments(match, least)
         while todo:
             a, b = todo.pop()
@@ -292,14 +341,22 @@ def verified(own: np.ndarray, own_at: np.ndarray, rep: np.ndarray, rep_at: np.nd
 def _counterpart(mine: np.ndarray, rep: np.ndarray, least: int, similarity: float) -> tuple[int, int] | None:
     """The stretch of ``rep`` that is similar enough to these shingles, if there is one."""
     mine = np.unique(mine)
-    for c, d in best_segments(np.isin(rep, mine), least // 2):
+    for c, d in best_segments(_holds(mine, rep), least // 2):
         other = np.unique(rep[c:d])
-        both = len(np.intersect1d(mine, other, assume_unique=True))
+        both = int(_holds(mine, other).sum())
         if both >= similarity * (len(mine) + len(other) - both):
             return c, d
     return None
 
 
+def opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of a slice, and their places."""
+    n = int(np.frombuffer(data, "<i4", 1)[0])
+    runs = np.frombuffer(data, "<i4", 2 * n, 4).reshape(n, 2)
+    places = np.concatenate([np.arange(a, a + k) for a, k in runs.tolist()]) if n else np.zeros(0, np.int64)
+    return np.frombuffer(data, "<u4", offset=4 + 8 * n), places
+
+
 def without_covered(passages: DataFrame) -> DataFrame:
     """The passages but for those that lie within what smaller sources hold of the same document."""
     columns = passages.columns
@@ -328,7 +385,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, source_doc_id, start_word, end_word, source_start_word, source_end_word): passages of an earlier document."""
     least = least_words - WIDTH + 1
     known = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    members = materialize(shared_windows(compact_window_rows(known, least)))
+    members = stored(shared_windows(compact_window_rows(known, least)))
 
     def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Replace a text by the runs of its windows (their number, first places and lengths) and 32 bits of each shingle's hash."""
@@ -343,12 +400,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     out.append(np.array([len(runs), *(x for r in runs for x in r)], "<i4").tobytes() + b"".join(x.tobytes() for x in parts))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(out, pa.binary())], names=["doc", "slice"])
 
-    def opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = int(np.frombuffer(data, "<i4", 1)[0])
-        runs = np.frombuffer(data, "<i4", 2 * n, 4).reshape(n, 2)
-        places = np.concatenate([np.arange(a, a + k) for a, k in runs.tolist()]) if n else np.zeros(0, np.int64)
-        return np.frombuffer(data, "<u4", offset=4 + 8 * n), places
-
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -361,14 +412,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     texts = known.groupBy("doc").agg(F.first("text").alias("text")) if known.groupBy("doc").count().where("count > 1").limit(1).count() else known
     if (ids := members.select("doc").distinct()).count() <= SENT_IDS:
         texts = texts.join(F.broadcast(ids), "doc", "left_semi")
-    slices = materialize(asked.join(texts, "doc").select("doc", "spans", "text").mapInArrow(tidy(sliced), "doc long, slice binary"))
+    slices = stored(asked.join(texts, "doc").select("doc", "spans", "text").mapInArrow(tidy(sliced), "doc long, slice binary"))
 
     def found(pairs: DataFrame) -> DataFrame:
         own = pairs.join(slices.withColumnRenamed("slice", "own"), "doc")
         both = own.join(slices.select(F.col("doc").alias("rep"), F.col("slice").alias("other")), "rep").select("doc", "rep", "own", "other")
         return both.mapInArrow(tidy(verify), ", ".join(f"{c} long" for c in PASSAGE))
 
-    return without_covered(linked_passages(members, found, least).distinct())
+    return without_covered(linked_passages(members, slices, found, least).distinct())
 
 
 def cut_repeats(docs: DataFrame, repeats: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
