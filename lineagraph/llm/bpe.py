@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,9 @@ from lineagraph.llm.common import Cache, documents, prepare, text_passes, tidy
 # What ends a word's last symbol, and the pre-tokenizer's pattern of the vocabulary file.
 WORD_END = "</w>"
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same for lower-case ASCII, and for lower-case Latin letters below U+0250.
+ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+LATIN_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^ \t-\r\x85\xa0a-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
 #: Separators that str.split takes as white space though Unicode doesn't.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 WHITE_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -62,12 +66,20 @@ NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for
 NEWER_LOWER |= {0x3A3: 0x3C3}
 
 
+def latin_pre_tokens(text: str) -> list[str] | None:
+    """The same of a text of Latin letters, white space and all; None for other texts."""
+    lowered = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+    if lowered.isascii():
+        return ASCII_PRE_TOKEN.findall(lowered)
+    return LATIN_PRE_TOKEN.findall(lowered) if max(lowered) < "\u0250" else None
+
+
 def pre_tokens(text: str) -> list[str]:
     """The pre-tokens of a text without special tokens, normalised and lower-cased."""
-    if text.isascii():
-        text = text.lower()
-        return [text] if text.isalpha() else PRE_TOKEN.findall(text)
-    text = unicodedata.normalize("NFC", text).translate(NEWER_LOWER).lower()
+    if (parts := latin_pre_tokens(text)) is not None:
+        return parts
+    text = unicodedata.normalize("NFC", text)
+    text = text.translate(NEWER_LOWER).lower()
     if not _HAS_NEWER.search(text):
         return PRE_TOKEN.findall(text)
     # newer characters count as symbols: put a plain symbol in their place and take the spans
@@ -177,7 +189,10 @@ class ForcedBoundaryBPE:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, white_space_words(text or "")))
+        text = text or ""
+        if not (self.special_split and self.special_split.search(text)) and (parts := latin_pre_tokens(text)) is not None:
+            return b"".join(map(self.parts.__getitem__, parts))
+        return b"".join(map(self.words.__getitem__, white_space_words(text)))
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineagraph.llm.bpe import byte_letters, pre_tokens, white_space_words
+from lineagraph.llm.bpe import byte_letters, latin_pre_tokens, pre_tokens, white_space_words
 from lineagraph.llm.common import Cache, blocks, documents, materialize, prepare, text_passes, tidy
 
 WINDOW_TOKENS = 2048
@@ -53,7 +53,6 @@ class WordwiseTokenizer:
         self.model = self.library.model
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
-        self.signed = not any(map(str.isalnum, special))  # a word of letters and digits alone then holds none
         self.letters = dict(enumerate(byte_letters()))
         self.words = Cache(self.encode_word)
         self.parts = Cache(self._part)
@@ -64,13 +63,16 @@ class WordwiseTokenizer:
         return b"".join([t.id.to_bytes(4, "little") for t in found])
 
     def encode_word(self, word: str) -> bytes:
-        if not (self.signed and word.isalnum()) and self.special.search(word):
+        if self.special.search(word):
             return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.parts.__getitem__, pre_tokens(word)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, white_space_words(text or "")))
+        text = text or ""
+        if not self.special.search(text) and (parts := latin_pre_tokens(text)) is not None:
+            return b"".join(map(self.parts.__getitem__, parts))
+        return b"".join(map(self.words.__getitem__, white_space_words(text)))
 
 
 _loaded: dict[str, WordwiseTokenizer] = {}
