@@ -22,8 +22,8 @@ two passages of the least length share one of four min-hashes with a probability
 two with one of 0.97.
 
 Null and empty texts, and texts of fewer than 50 words, have no window and no repeat. Very long texts
-are taken whole. Rows with one id are one document, with the text of one of them; rows without id are
-not linked. The first document by id keeps a passage. An empty table gives an empty result. Only the
+are taken whole. Rows with one id and one text are one document; rows with one id and several texts, and
+rows without id, are not linked. Equal texts are found by their digests: a copy has one passage, all of it. The first document by id keeps a passage. An empty table gives an empty result. Only the
 id and the text are used; other columns do no harm, and ``cut_repeats`` keeps them.
 """
 
@@ -188,7 +188,7 @@ def interval_pairs(key: np.ndarray, span: np.ndarray, doc: np.ndarray, least: in
 
 
 def joined_windows(windows: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key, doc, place): pairs of windows (key, doc, span) of one document that share a subsequence."""
+    """(key, doc, place): pairs of windows (key, doc, span) of one document that share a subsequence, the first place of each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +199,7 @@ def joined_windows(windows: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(names[row] if len(row) else row), pa.array(place)], names=["key", "doc", "place"])
 
     own = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "span")).alias("own"))
-    return own.mapInArrow(tidy(run), "key long, doc long, place long").distinct()
+    return own.mapInArrow(tidy(run), "key long, doc long, place long").groupBy("key", "doc").agg(F.min("place").alias("place"))
 
 
 def _in_order(pairs: DataFrame, other: str) -> DataFrame:
@@ -211,9 +211,10 @@ def uncovered(waiting: DataFrame, passages: DataFrame) -> DataFrame:
     """The windows (key, doc, place, ...) whose node lies in no passage of their document, here or as a source."""
     here = passages.select(F.col("doc_id").alias("doc"), "start_word", "end_word")
     there = passages.select(F.col("source_doc_id").alias("doc"), F.col("source_start_word").alias("start_word"), F.col("source_end_word").alias("end_word"))
-    nodes = waiting.select("doc", "place").distinct()
-    inside = nodes.join(here.unionByName(there), "doc").where("start_word <= place and place < end_word").select("doc", "place").distinct()
-    return waiting.join(inside, ["doc", "place"], "left_anti")
+    longest = here.unionByName(there).groupBy("doc", "start_word").agg(F.max("end_word").alias("end_word"))  # one a place, however many share it
+    held = longest.groupBy("doc").agg(F.collect_list(F.struct("start_word", "end_word")).alias("held"))
+    inside = "held is not null and exists(held, x -> x.start_word <= place and place < x.end_word)"
+    return waiting.join(held, "doc", "left").where(f"not ({inside})").select(*waiting.columns)
 
 
 def shingles_around(waiting: DataFrame, slices: DataFrame, least: int) -> DataFrame:
@@ -237,8 +238,8 @@ def shingles_around(waiting: DataFrame, slices: DataFrame, least: int) -> DataFr
 def linked_passages(members: DataFrame, slices: DataFrame, verify: Callable[[DataFrame], DataFrame], least: int = LEAST) -> DataFrame:
     """What ``verify`` finds for the pairs (doc, rep) of documents that the shared windows make candidates."""
     joined = stored(joined_windows(members.where(f"n > {PAIRS_UP_TO}"), least))
-    sizes = joined.select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("rep")).where("n > 1")
-    cold = members.where(f"n <= {PAIRS_UP_TO}").select("key", "doc", F.shiftright("span", 17).alias("place"), "n", "rep")
+    sizes = joined.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("rep")).where("n > 1")
+    cold = members.where(f"n <= {PAIRS_UP_TO} and span % 2 = 1").select("key", "doc", F.shiftright("span", 17).alias("place"), "n", "rep")
     keyed = stored(cold.unionByName(joined.join(sizes, "key").select("key", "doc", "place", "n", "rep")))
     found = [stored(verify(_in_order(keyed, "rep")))]
     waiting = stored(uncovered(keyed.where("doc <> rep"), found[0]).select("key", "doc", "place", "n"))
@@ -378,6 +379,18 @@ def without_covered(passages: DataFrame) -> DataFrame:
     return own.select("own").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in columns))
 
 
+def set_aside(known: DataFrame) -> DataFrame:
+    """(doc, rep, words) of the documents whose text an earlier one has, with the words of the text;
+    and of those with several texts, without rep."""
+    words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+    hashed = known.select("doc", F.md5(F.coalesce("text", F.lit(""))).alias("m"), words.alias("words"))
+    each = hashed.groupBy("doc").agg(F.min("m").alias("m"), F.max("m").alias("other"), F.first("words").alias("words"))
+    clear = each.where("m = other").select("m", "doc", "words")
+    firsts = clear.groupBy("m").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").select("m", "rep")
+    copies = clear.join(firsts, "m").where("doc > rep").select("doc", "rep", "words")
+    return copies.unionByName(each.where("m <> other").select("doc", F.lit(None).cast("long").alias("rep"), "words"))
+
+
 PASSAGE = ["doc_id", "source_doc_id", "start_word", "end_word", "source_start_word", "source_end_word"]
 
 
@@ -385,6 +398,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, source_doc_id, start_word, end_word, source_start_word, source_end_word): passages of an earlier document."""
     least = least_words - WIDTH + 1
     known = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
+    copies = stored(set_aside(known))
+    few = copies.count() <= SENT_IDS
+    later = copies.select("doc")
+    known = known.join(F.broadcast(later) if few else later, "doc", "left_anti")
     members = stored(shared_windows(compact_window_rows(known, least)))
 
     def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +426,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     # each text meets its windows once, and only the shingles in them go on
     asked = members.groupBy("doc").agg(F.collect_set(F.col("span").bitwiseAND(F.lit(~1))).alias("spans"))
-    texts = known.groupBy("doc").agg(F.first("text").alias("text")) if known.groupBy("doc").count().where("count > 1").limit(1).count() else known
+    texts = known
     if (ids := members.select("doc").distinct()).count() <= SENT_IDS:
         texts = texts.join(F.broadcast(ids), "doc", "left_semi")
     slices = stored(asked.join(texts, "doc").select("doc", "spans", "text").mapInArrow(tidy(sliced), "doc long, slice binary"))
@@ -419,7 +436,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         both = own.join(slices.select(F.col("doc").alias("rep"), F.col("slice").alias("other")), "rep").select("doc", "rep", "own", "other")
         return both.mapInArrow(tidy(verify), ", ".join(f"{c} long" for c in PASSAGE))
 
-    return without_covered(linked_passages(members, slices, found, least).distinct())
+    whole = copies.where(f"rep is not null and words >= {least_words}").select(F.col("doc").alias("doc_id"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.lit(0).cast("long").alias("source_start_word"), F.col("words").alias("source_end_word"))
+    return without_covered(linked_passages(members, slices, found, least).distinct()).unionByName(whole)
 
 
 def cut_repeats(docs: DataFrame, repeats: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

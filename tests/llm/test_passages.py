@@ -82,12 +82,12 @@ def test_odd_tables(spark, docs):
 
     rng = random.Random(9)
     passage = " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
-    rows = [(None, passage, 1), (None, passage, 2), (3, passage, 3), (3, passage, 4), (7, f"x {passage} y", 5), (9, None, 6), (10, " ".join(f"v{i}" for i in range(60_000)) + " " + passage, 7)]
+    rows = [(None, passage, 1), (None, passage, 2), (3, passage, 3), (3, passage, 4), (7, f"x {passage} y", 5), (9, None, 6), (10, " ".join(f"v{i}" for i in range(60_000)) + " " + passage, 7), (11, passage, 8), (11, f"{passage} z", 9), (12, passage, 10)]
     table = spark.createDataFrame(rows, "doc_id long, text string, doc int").withColumnRenamed("doc", "own")
     found = repeated_passages(table)
-    assert {(r.doc_id, r.source_doc_id) for r in found.collect()} == {(7, 3), (10, 3)}
+    assert {(r.doc_id, r.source_doc_id) for r in found.collect()} == {(7, 3), (10, 3), (12, 3)}
     cut = {r.own: r.text for r in cut_repeats(table, found).collect()}
-    assert len(cut) == 7 and cut[5].split() == ["x", "y"] and cut[1] == passage and cut[6] is None
+    assert len(cut) == 10 and cut[9] == f"{passage} z" and cut[10] == "" and cut[5].split() == ["x", "y"] and cut[1] == passage and cut[6] is None
 
 
 def test_passages_behind_a_shorter_first_holder_are_found(docs):
