@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from lineagraph.llm import toxicity as tox
-from lineagraph.llm.ngram_lm import BigramTrie, EliasFano, lm_scores
+from lineagraph.llm.ngram_lm import PRIOR, EliasFano, NgramTrie, lm_scores
 from lineagraph.llm.simhash import drop_near_duplicates
 from lineagraph.llm.substring_dedup import cut_repeats, repeated_passages, tree_intervals, window_keys
 from pyspark.sql import functions as F
@@ -53,17 +53,57 @@ def test_windows_are_compact():
 
 def test_elias_fano_and_trie_round_trip(tmp_path):
     rng = np.random.default_rng(4)
-    for values in (np.zeros(0, np.uint64), np.array([0, 0, 5], np.uint64), np.sort(rng.integers(0, 2**40, 1000).astype(np.uint64))):
-        assert (EliasFano.of(values).decode() == values).all()
+    for values in (np.array([7], np.uint64), np.array([0, 0, 5], np.uint64), np.sort(rng.integers(0, 2**40, 1000).astype(np.uint64)), np.arange(500, dtype=np.uint64)):
+        coded = EliasFano.of(values)
+        assert (coded.get(np.arange(len(values))) == values).all()
+        asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 2**41, 200).astype(np.uint64)])
+        low = rng.integers(0, len(values) + 1, len(asked))
+        high = rng.integers(low, len(values) + 1)
+        wanted = [next((i for i in range(a, b) if values[i] >= v), b) for v, a, b in zip(asked, low, high)]
+        assert coded.successor(asked, low, high).tolist() == wanted
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 50, (300, 2))})
     c, s = (np.array(x, np.uint64) for x in zip(*pairs))
-    trie = BigramTrie.of(c, s, np.arange(1, len(c) + 1))
+    trie = NgramTrie.of(c, s, np.arange(1, len(c) + 1), {int(c[0]): 999})
     trie.write(f"{tmp_path}/t")
-    other = BigramTrie.open(f"{tmp_path}/t")
+    other = NgramTrie.open(f"{tmp_path}/t")
     asked = np.repeat(np.arange(60, dtype=np.uint64), 60), np.tile(np.arange(60, dtype=np.uint64), 60)
     for a, b in zip(trie.find(*asked), other.find(*asked)):
         assert (a == b).all()
     assert ((trie.find(*asked)[0] != 65535) == np.array([(int(a), int(b)) in set(pairs) for a, b in zip(*asked)])).all()
+    assert NgramTrie.of(c[:0], s[:0], s[:0].astype(np.int64)).find(*asked)[1].max() == 0
+
+
+def test_lm_scores_match_brute_force_for_any_chunks(spark):
+    rng = random.Random(16)
+    texts = [" ".join(rng.choices("alpha Beta gamma delta eps zeta".split(), weights=[9, 5, 3, 2, 1, 1], k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "alpha"]
+    table = spark.createDataFrame([(None if i == 70 else 3 if i in (4, 5) else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, chunk int")
+    ids = [None if i == 70 else 3 if i in (4, 5) else i for i in range(len(texts))]
+    tokens = [(t or "").lower().split() + ["</s>"] for t in texts]
+    counts = [Counter(), Counter(), Counter()]
+    totals = Counter()
+    for i, ws in zip(ids, tokens):
+        if zlib.crc32(str("" if i is None else i).encode()) % 10:
+            line = ["<s>", "<s>", *ws]
+            for k in range(2, len(line)):
+                for n in range(3):
+                    counts[n][tuple(line[k - n : k + 1])] += 1
+                    totals[tuple(line[k - n : k])] += n > 0
+    total, kinds = sum(counts[0].values()), len(counts[0])
+
+    def score(ws):
+        out, line = 0.0, ["<s>", "<s>", *ws]
+        for k in range(2, len(line)):
+            p = (counts[0][line[k],] + 0.1) / (total + 0.1 * (kinds + 1))
+            for n in (1, 2):
+                p = (counts[n][tuple(line[k - n : k + 1])] + PRIOR * p) / (totals[tuple(line[k - n : k])] + PRIOR)
+            out += math.log10(p)
+        return out
+
+    wanted = sorted((-1 if i is None else i, round(score(ws), 2)) for i, ws in zip(ids, tokens))
+    for chunk_bytes in (1 << 20, 1500, 200):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm_scores(table, chunk_bytes=chunk_bytes).collect())
+        assert [i for i, _ in got] == [i for i, _ in wanted]
+        assert all(abs(a - b) < 0.006 + 0.002 * abs(b) for (_, a), (_, b) in zip(got, wanted)), chunk_bytes
 
 
 def test_lm_counts_and_base_match_brute_force(docs, odd_texts):
