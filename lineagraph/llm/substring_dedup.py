@@ -9,7 +9,7 @@ How many hashes are enough depends on how common they are. Documents that share
 ``PAIRS_UP_TO`` documents are candidates by that one hash. Windows of more common keys are joined, in
 their own text, with those of the other functions where their intervals share a subsequence that
 holds both nodes; the two min-hashes together are a key. Of each key, all documents are compared with
-the first one. Where no passage covers a document's window then, it is compared with all documents of
+the first one, a stretch of a document with the least of its firsts before all others. Where no passage covers a document's window then, it is compared with all documents of
 a key of up to ``PAIRS_UP_TO``. Of more, a pair that is similar around this window either shares a
 shingle that stands in no more than so many of the documents that still wait, and is compared for
 that, or at least four in five of its shingles there are common ones: those documents are compared
@@ -47,8 +47,10 @@ LEAST = 46
 SIMILARITY = 0.8
 #: Documents of a key that are all compared with each other.
 PAIRS_UP_TO = 8
-#: Documents of a common key that the others are compared with in each round after the first.
+#: Documents of a common key that the others are compared with in the first of these rounds; twice as many in each further one.
 LEADERS = 16
+#: Shingles of a document that are first compared with one document, the first of all that share a key there.
+STRETCH = 256
 #: So many document ids are sent to the texts at most; of more, the texts are shuffled to them.
 SENT_IDS = 200_000
 #: A window is kept up to so many shingles to both sides of its node; runs of the least length that hold it lie within.
@@ -241,8 +243,15 @@ def linked_passages(members: DataFrame, slices: DataFrame, verify: Callable[[Dat
     sizes = joined.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("rep")).where("n > 1")
     cold = members.where(f"n <= {PAIRS_UP_TO} and span % 2 = 1").select("key", "doc", F.shiftright("span", 17).alias("place"), "n", "rep")
     keyed = stored(cold.unionByName(joined.join(sizes, "key").select("key", "doc", "place", "n", "rep")))
-    found = [stored(verify(_in_order(keyed, "rep")))]
-    waiting = stored(uncovered(keyed.where("doc <> rep"), found[0]).select("key", "doc", "place", "n"))
+    # each stretch of a document with one of its firsts, then what is left with all of them
+    nearest = keyed.where("doc <> rep").groupBy("doc", F.expr(f"place div {STRETCH}").alias("stretch")).agg(F.min("rep").alias("rep"))
+    asked = stored(_in_order(nearest, "rep"))
+    found = [stored(verify(asked))]
+    waiting = stored(uncovered(keyed.where("doc <> rep"), found[0]))
+    further = stored(_in_order(waiting, "rep").join(asked, ["doc", "rep"], "left_anti"))
+    found.append(stored(verify(further)))
+    asked = asked.unionByName(further)
+    waiting = stored(uncovered(waiting, found[1]).select("key", "doc", "place", "n"))
 
     few = waiting.where(f"n <= {PAIRS_UP_TO}").select("key", "doc").distinct().join(keyed.where(f"n <= {PAIRS_UP_TO}").select("key", F.col("doc").alias("other")), "key")
     waiting = waiting.where(f"n > {PAIRS_UP_TO}").select("key", "doc", "place")
@@ -250,20 +259,22 @@ def linked_passages(members: DataFrame, slices: DataFrame, verify: Callable[[Dat
     holders = around.select("h", "doc").distinct().groupBy("h").agg(F.count("*").alias("n"))
     rare = around.join(holders.where(f"n > 1 and n <= {PAIRS_UP_TO}"), "h").select(F.col("h").alias("key"), F.col("doc").alias("node"))
     pairs = few.select("doc", "other").unionByName(all_pairs(rare).select(F.col("v").alias("doc"), F.col("u").alias("other")))
-    found.append(stored(verify(_in_order(pairs, "other").join(_in_order(keyed, "rep"), ["doc", "rep"], "left_anti"))))
+    found.append(stored(verify(_in_order(pairs, "other").join(asked, ["doc", "rep"], "left_anti"))))
 
     # common shingles by place, met by cells of ``least`` places
     cell = lambda c, d: F.expr(f"{c} div {least} + {d}").alias("cell")
     common = around.join(holders.where(f"n > {PAIRS_UP_TO}").select("h"), "h").select("doc", cell("place", 0), F.col("place").alias("at"))
     cells = waiting.select("key", "doc", "place", F.explode(F.array(*(cell("place", d) for d in (-1, 0, 1)))).alias("cell"))
     beside = cells.join(common, ["doc", "cell"]).where(f"abs(at - place) < {least}").groupBy("key", "doc", "place").agg(F.count("*").alias("n"))
-    waiting = stored(uncovered(beside.where(f"n >= {SIMILARITY} * {least}").select("key", "doc", "place"), found[1]))
+    waiting = stored(uncovered(beside.where(f"n >= {SIMILARITY} * {least}").select("key", "doc", "place"), found[2]))
+    leaders = LEADERS
     while waiting.limit(1).count():
-        part = F.pmod(F.xxhash64("doc"), F.lit(LEADERS))
+        part = F.pmod(F.xxhash64("doc"), F.lit(leaders))
         chosen = waiting.groupBy("key", part.alias("part")).agg(F.min("doc").alias("rep")).select("key", "rep")
         found.append(stored(verify(_in_order(waiting.select("key", "doc").distinct().join(chosen, "key"), "rep"))))
         followers = waiting.join(chosen.withColumnRenamed("rep", "doc"), ["key", "doc"], "left_anti")  # who led leaves
         waiting = stored(uncovered(followers, found[-1]))
+        leaders *= 2
     return functools.reduce(DataFrame.unionByName, found)
 
 
