@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineagraph.llm.common import _SPACE, LOWER, documents, fresh, materialize, mix64, prepare, text_passes, tidy, utf8_of, word_spans
-from lineagraph.llm.graph import all_pairs, components
+from lineagraph.llm.graph import components
 
 PAIRS_UP_TO = 16
 
@@ -135,8 +135,8 @@ MOST_BITS = 44
 SIMILARITY = 0.8
 #: A pair of Jaccard similarity J shares a band with probability J ** BAND_ROWS.
 BANDS, BAND_ROWS = 20, 5
-#: Orders in which large buckets choose whom to compare the others with, and how many they choose after the first round.
-ORDERS, LEADERS = 8, 16
+#: Members of a large bucket that the others are compared with in each round after the first.
+LEADERS = 16
 #: So few pairs are sent to the texts; of more, the texts are shuffled to them.
 SENT_PAIRS = 200_000
 _WIDE_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
@@ -198,8 +198,8 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 
-def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of nodes and their keys, the pairs (u, v) in all small buckets, and the members (key, node) of the large ones.
+def buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes and their keys, the members (key, node) of the small buckets, and of the large ones.
 
     The members of a bucket over ``PAIRS_UP_TO`` are dealt anew by each two of their keys that have
     such buckets; what is still large then shares ten min-hashes.
@@ -208,37 +208,55 @@ def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = members.where(f"n > {PAIRS_UP_TO}").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("k"))
     twos = "explode(flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y))))) as key"
     finer = shared_keys(held.selectExpr(twos, "node"))
-    small = all_pairs(members.where(f"n <= {PAIRS_UP_TO}")).unionByName(all_pairs(finer.where(f"n <= {PAIRS_UP_TO}")))
-    return small, materialize(finer.where(f"n > {PAIRS_UP_TO}").select("key", "node"))
+    small = members.where(f"n <= {PAIRS_UP_TO}").select("key", "node").unionByName(finer.where(f"n <= {PAIRS_UP_TO}").select("key", "node"))
+    return small, finer.where(f"n > {PAIRS_UP_TO}").select("key", "node")
 
 
-def leader_pairs(waiting: DataFrame, leaders: int) -> DataFrame:
-    """(key, leader, node) of each bucket's members with one member, or with one of each of so many classes of them."""
-    turn = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))  # like buckets share their order, so that their pairs are the same
-    chosen = waiting.groupBy("key", F.pmod(turn, F.lit(leaders)).alias("class")).agg(F.min_by("node", turn).alias("leader"))
-    return waiting.join(chosen.select("key", "leader"), "key")
+def classed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with ``c``, the component that the links put them in."""
+    found = components(links)
+    return members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+
+
+def led(members: DataFrame, leaders: int) -> DataFrame:
+    """(key, node, leader): each bucket's members with its least one, or with those of so many classes of them."""
+    chosen = members.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("class")).agg(F.min("node").alias("leader"))
+    return members.join(chosen.select("key", "leader"), "key")
 
 
 def similar_pairs(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(u, v) links of the pairs of nodes that share a bucket and that ``verified`` keeps.
+    """(u, v) links that connect what pairs of nodes in one bucket do that ``verified`` keeps.
 
-    Members of small buckets are all compared. In a large bucket, all are compared with one member,
-    and those that are not similar to it with others from among themselves, until none is left.
+    In each bucket all are compared with the least node first, so that a group of near copies makes a
+    star. In small buckets, those are compared then that no link connects yet. In large ones, those not
+    connected with a node they were compared with are compared with others from among themselves, until
+    none is left.
     """
-    pairs, waiting = bucket_pairs(nodes)
+    small, large = (materialize(x) for x in buckets(nodes))
     ordered = (F.least("leader", "node").alias("u"), F.greatest("leader", "node").alias("v"))
-    leaders, links = 1, None
+    stars = led(small, 1).select(*ordered).unionByName(led(large, 1).select(*ordered)).where("u <> v").distinct()
+    links = materialize(verified(materialize(stars)))
+
+    apart = classed(small, links)
+    mixed = apart.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
+    held = apart.join(mixed, "key").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "c"))).alias("s"))
+    crossed = "explode(flatten(transform(s, (x, i) -> transform(filter(slice(s, i + 2, size(s)), y -> y.c <> x.c), y -> struct(x.node as u, y.node as v))))) as p"
+    pairs = held.selectExpr(crossed).select("p.u", "p.v").distinct().join(stars, ["u", "v"], "left_anti")
+    links = materialize(links.unionByName(verified(materialize(pairs))))
+
+    leaders = 1
     while True:
-        asked = materialize(leader_pairs(waiting, leaders))
-        pairs = pairs.unionByName(asked.where("leader <> node").select(*ordered)).distinct()
-        found = verified(pairs)
-        links = found if links is None else links.unionByName(found)
-        # who led or was found similar leaves
-        gone = asked.select("*", *ordered).join(found, ["u", "v"], "left_semi").unionByName(asked.where("leader = node").select("*", *ordered)).select("key", "node").distinct()
-        waiting = materialize(waiting.join(gone, ["key", "node"], "left_anti"))
-        if not waiting.limit(1).count():
+        # who is connected with a leader, or led, leaves
+        waiting = classed(large, links)
+        first = led(waiting, leaders)
+        leading = waiting.select(F.col("node").alias("leader"), "key", F.col("c").alias("with"))
+        gone = first.join(leading, ["key", "leader"]).where("c = with").select("key", "node").distinct()
+        large = materialize(waiting.join(gone, ["key", "node"], "left_anti").select("key", "node"))
+        if not large.limit(1).count():
             return links
-        pairs, leaders = links.limit(0), LEADERS
+        leaders = LEADERS
+        asked = led(large, leaders).select(*ordered).where("u <> v").distinct()
+        links = materialize(links.unionByName(verified(materialize(asked))))
 
 
 def shingle_sets(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -279,8 +297,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     of five min-hashes, of twenty, are compared, first by the 144 bits of their SimHashes over the
     set, then by the sets themselves. A pair of
     Jaccard similarity 0.8 shares a band with a probability of 0.9996, one of 0.85 of 0.99999.
-    Only in buckets over ``PAIRS_UP_TO`` members that share ten min-hashes not all are compared: a
-    member that is similar to the one it is compared with is not compared with further ones there.
+    A member of a bucket is not compared with those that other links connect it with already. In
+    buckets over ``PAIRS_UP_TO`` members that share ten min-hashes, one that is connected with the
+    member that it is compared with is not compared with further ones there.
     """
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     marked = materialize(wide_fingerprints(known, width))
