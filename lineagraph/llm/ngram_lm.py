@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from lineagraph.llm.common import blocks, documents, mix64, prepare, release, span_hashes, text_passes, tidy, utf8_of, word_spans
 
 CHUNK_BYTES = 8 << 20
+#: The pairs after a word of more training tokens are dealt to shards each on its own.
+COMMON_TOKENS = CHUNK_BYTES // 8
 #: The prior's weight, in tokens.
 PRIOR = 8.0
 _BEGIN, _END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
@@ -392,10 +394,10 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk
     chunks = shards = blocks(size, chunk_bytes)
     # the text spreads rows without id and rows of one id
     dealt = known.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    words = word_counts(known)
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # words that are more than a shard's share of the tokens: fewer than there are shards; before the first word of a text stands what is counted after its last
-    most = {int(r.word) & (2**64 - 1): r.n for r in words.where(F.col("n") * shards > tokens).collect()} if shards > 1 else {}
+    # the words of more tokens than a shard should hold are fewer than the shards; before the first word of a text stands what is counted after its last
+    often = F.collect_list(F.when(F.col("n") > COMMON_TOKENS, F.struct("word", "n")))
+    tokens, distinct, listed = word_counts(known).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), often).first()
+    most = {int(r.word) & (2**64 - 1): r.n for r in listed} if shards > 1 else {}
     if int(_END) in most:
         most[int(_BEGIN)] = most.pop(int(_END))
     common = mix64(np.array(list(most), np.uint64)) if most else np.zeros(0, np.uint64)

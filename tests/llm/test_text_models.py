@@ -73,7 +73,7 @@ def test_elias_fano_and_trie_round_trip(tmp_path):
     assert NgramTrie.of(c[:0], s[:0], s[:0].astype(np.int64)).find(*asked)[1].max() == 0
 
 
-def test_lm_scores_match_brute_force_for_any_chunks(spark):
+def test_lm_scores_match_brute_force_for_any_chunks(spark, monkeypatch):
     rng = random.Random(16)
     texts = [" ".join(rng.choices("alpha Beta gamma delta eps zeta".split(), weights=[9, 5, 3, 2, 1, 1], k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "alpha"]
     table = spark.createDataFrame([(None if i == 70 else 3 if i in (4, 5) else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, chunk int")
@@ -100,6 +100,7 @@ def test_lm_scores_match_brute_force_for_any_chunks(spark):
         return out
 
     wanted = sorted((-1 if i is None else i, round(score(ws), 2)) for i, ws in zip(ids, tokens))
+    monkeypatch.setattr("lineagraph.llm.ngram_lm.COMMON_TOKENS", 100)
     for chunk_bytes in (1 << 20, 1500, 200):
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm_scores(table, chunk_bytes=chunk_bytes).collect())
         assert [i for i, _ in got] == [i for i, _ in wanted]
