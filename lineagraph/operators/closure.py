@@ -28,19 +28,33 @@ def graph_closure(seeds: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("
     return seen
 
 
+#: Deeper paths may be endless: from there on, pairs are kept once, and no new ones end the rounds.
+DEEP = 64
+
+
 def ancestors(tree: DataFrame, node: str, parent: str) -> DataFrame:
-    """(node, ancestor, depth) of a forest, each node its own ancestor at depth 0; paths double each round."""
+    """(node, ancestor, depth) of a forest, each node its own ancestor at depth 0; paths double each round.
+
+    Cycles end: an ancestor has its least depth, and a node on a cycle is its own ancestor at depth 0 only.
+    """
     pairs = settle(tree.select(F.col(node).alias("node"), F.col(parent).alias("up")).distinct())
     out = pairs.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     jump = pairs.where("up is not null").select("node", F.col("up").alias("ancestor"), F.lit(1).alias("depth"))
-    reach, width = jump, 1
+    reach, width, known = jump, 1, None
     while True:  # reach holds all ancestors at depths 1 to width, jump those at exactly width
+        if width > DEEP:
+            reach = reach.where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
         reach, jump = settle(reach), settle(jump)
         if not jump.limit(1).count():
             break
+        if width > DEEP:
+            now = reach.count()
+            if now == known:
+                break
+            known = now
         mid = jump.select("node", F.col("ancestor").alias("mid"))
         up = reach.select(F.col("node").alias("mid"), "ancestor", "depth")
         reach = reach.unionByName(mid.join(up, "mid").select("node", "ancestor", (F.col("depth") + width).alias("depth")))
-        jump = mid.join(jump.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").withColumn("depth", F.lit(2 * width))
+        jump = mid.join(jump.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").distinct().withColumn("depth", F.lit(2 * width))
         width *= 2
     return out.unionByName(reach)

@@ -37,9 +37,10 @@ def assignment_sources(dependency: DataFrame) -> DataFrame:
 
 
 def reference_roots(dependency: DataFrame) -> DataFrame:
-    """Per evaluation the last one along its reference edges (the least target of each)."""
+    """Per evaluation the last one along its reference edges (the least target of each), the last before a cycle closes."""
     step = dependency.where("reference").groupBy(F.col("dependent_id").alias("node")).agg(F.min("dependency_id").alias("up"))
-    return ancestors(step, "node", "up").where("depth > 0").groupBy("node").agg(F.max_by("ancestor", "depth").alias("root"))
+    up = ancestors(step, "node", "up").where("depth > 0 or ancestor = node").groupBy("node").agg(F.max_by("ancestor", "depth").alias("root"), F.max("depth").alias("depth"))
+    return up.where("depth > 0").select("node", "root")
 
 
 def inner_activations(activation: DataFrame) -> DataFrame:

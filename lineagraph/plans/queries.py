@@ -167,3 +167,5 @@ query(
     + ", part AS (SELECT u.ancestor AS id, CASE WHEN u.depth = 0 THEN '' ELSE right(r.route, 7 * u.depth - 1) END || '=' || a.line || ':' || a.name AS part FROM up u JOIN activation a ON a.id = u.node LEFT JOIN route r ON r.node = u.node)"
     + ", shape AS (SELECT id, string_agg(part, ';' ORDER BY part) AS shape FROM part GROUP BY 1) SELECT a.trial_id, shape, count(*) AS calls FROM shape JOIN activation a USING (id) GROUP BY 1, 2",
 )(lambda s: su.exact_match(s.activation))
+
+from lineagraph.plans import lookups  # noqa: E402, F401  (registers its queries)
