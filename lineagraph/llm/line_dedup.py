@@ -9,7 +9,8 @@ hash occurs more than once are compared byte by byte; of each that is equal, the
 A null text stays null, an empty one empty; texts of one line have no multi-line chunk and stay.
 Repeated rows are texts like others: the later copy loses its chunks. Ties of the rolling hash go to
 the left line. Rows without id come first in the order. An empty table gives an empty result. The
-columns of the input are kept; working columns are prefixed, so clashing names do no harm.
+columns of the input are kept, in a struct on the way, so clashing names do no harm; a very long text
+is taken whole.
 """
 
 from __future__ import annotations
@@ -71,16 +72,20 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input with repeated chunks cut from the text, and ``n_lines`` and ``n_removed_lines``."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "_row")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn("_row", F.monotonically_increasing_id())
-    removed = repeated_chunks(rows, doc_id, text)
-    cut = chunked(rows.join(removed, "_row", "left"), text)
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    # the other columns travel in a struct, so that no working column has their name
+    others = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text))
+    rows = docs.select(others.alias("others"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("_row"))
+    removed = repeated_chunks(rows)
+    cut = chunked(rows.join(removed, "_row", "left"))
     left = F.filter("_chunks", lambda c, i: ~F.array_contains("_removed", i))
     lines = lambda t: F.coalesce(F.size(_lines(t)), F.lit(0))
     gone = F.aggregate(F.filter("_chunks", lambda c, i: F.array_contains("_removed", i)), F.lit(0), lambda n, c: n + F.size(_lines(c)))
     some = F.col("_removed").isNotNull()
-    out = {c: F.col(f"`{c}`") for c in kept} | {text: F.when(some, F.array_join(left, "\n")).otherwise(F.col(text))}
-    return cut.select(*(e.alias(c) for c, e in out.items()), F.when(F.col(text).isNull(), 0).otherwise(lines(F.col(text))).cast("long").alias("n_lines"), F.when(some, gone).otherwise(0).cast("long").alias("n_removed_lines"))
+    known = F.when(F.col("text").isNull(), 0).otherwise(lines(F.col("text"))).cast("long")
+    done = cut.select("others", F.when(some, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text"), known.alias("known"), F.when(some, gone).otherwise(0).cast("long").alias("gone"))
+    out = [(F.col("text") if c == text else F.col("others")[f"c{i}"]).alias(c) for i, c in enumerate(kept)]
+    return done.select(*out, F.col("known").alias("n_lines"), F.col("gone").alias("n_removed_lines"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

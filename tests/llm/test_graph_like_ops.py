@@ -11,6 +11,7 @@ from lineagraph.llm.cws import edited_fingerprints, weighted_samples
 from lineagraph.llm.line_dedup import line_dedup
 from lineagraph.llm.packing import pack
 from lineagraph.llm.sharding import shard_documents
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -83,6 +84,17 @@ def test_shared_chunks_go_and_the_first_stays(docs):
     assert line_dedup(docs([])).count() == 0
 
 
+def test_line_dedup_of_odd_tables(spark):
+    """Clashing columns, null and repeated ids, repeated rows, ties of the rolling hash and a very long text."""
+    text, long = "\n".join(f"line {i}" for i in range(12)), "\n".join(f"long {i}" for i in range(30_000))
+    rows = [(None, text, 1, 0), (None, text, 2, 0), (3, text, 3, 0), (3, "a\n" * 40 + "b", 4, 0), (5, long, 5, 0), (5, None, 6, 0), (6, "", 7, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _lines int, _removed int").withColumn("_row", F.col("_lines")).withColumn("others", F.lit(1))
+    got = {r._lines: r for r in line_dedup(table).collect()}
+    assert len(got) == 7 and got[5].text == long and got[6].text is None and got[7].text == ""
+    assert [got[i].text for i in (1, 2, 3)].count(text) == 1 and [got[i].text for i in (1, 2, 3)].count("") == 2
+    assert got[3]._row == 3 and got[3].others == 1 and got[3]._removed == 0
+
+
 def test_packing_is_whole_and_tight(docs, odd_texts):
     texts = [*odd_texts, *(f"word{i} and more " * (20 * i) for i in range(12))]
     sources = [f"s{i % 3}" if i % 5 else None for i in range(len(texts))]
