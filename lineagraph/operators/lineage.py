@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagraph.operators.closure import graph_closure, settle
@@ -14,10 +14,17 @@ def members_as_of(member: DataFrame, moment: Column) -> DataFrame:
 
 
 def members_at(member: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Per context (collection_id, checkpoint) the state of its collection: (collection_id, at, key, member_id)."""
+    """Per context (collection_id, checkpoint) the state of its collection: (collection_id, at, key, member_id).
+
+    Contexts and versions of one key are put in one order and the last version before is carried on,
+    so the work grows with versions and result, not with versions times contexts.
+    """
     at = contexts.select("collection_id", F.col("checkpoint").alias("at")).distinct()
-    joined = member.join(at, "collection_id").where("checkpoint <= at")
-    return joined.groupBy("collection_id", "at", "key").agg(F.max_by("member_id", F.struct("checkpoint", "member_id")).alias("member_id"))
+    asked = at.join(member.select("collection_id", "key").distinct(), "collection_id").select("collection_id", "key", "at", F.lit(True).alias("asks"), F.lit(None).cast(member.schema["member_id"].dataType).alias("member_id"))
+    versions = member.select("collection_id", "key", F.col("checkpoint").alias("at"), F.lit(False).alias("asks"), "member_id")
+    before = Window.partitionBy("collection_id", "key").orderBy("at", "asks", "member_id").rowsBetween(Window.unboundedPreceding, 0)
+    carried = asked.unionByName(versions).withColumn("member_id", F.last("member_id", ignorenulls=True).over(before))
+    return carried.where("asks and member_id is not null").select("collection_id", "at", "key", "member_id")
 
 
 def derivation(dependency: DataFrame, seeds: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -35,16 +42,12 @@ def was_derived_from(dependency: DataFrame, seeds: DataFrame, targets: DataFrame
 
 def numbered_dependencies(dependency: DataFrame, seeds: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Backward dependencies of each seed, numbered by distance and id."""
-    from pyspark.sql import Window
-
     found = derivation(dependency, seeds).where("depth > 0").join(evaluation.select(F.col("id").alias("node"), "repr"), "node")
     return found.select("src", "node", "repr", F.row_number().over(Window.partitionBy("src").orderBy("depth", "node")).alias("number"))
 
 
 def member_intervals(member: DataFrame) -> DataFrame:
     """Each version of a collection's key with the moment from which and until which it holds."""
-    from pyspark.sql import Window
-
     until = F.lead("checkpoint").over(Window.partitionBy("collection_id", "key").orderBy("checkpoint", "member_id"))
     return member.select("collection_id", "member_id", F.col("checkpoint").alias("since"), until.alias("until"))
 

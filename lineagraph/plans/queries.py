@@ -83,7 +83,7 @@ query("trl_14_access_versions", "file_access", "SELECT trial_id, id, name, 0 AS
 query("trl_16_report", "trial tag", "SELECT t.id, t.script, t.status, coalesce(g.tags, '') AS tags, coalesce(g.n, 0) AS n_tags FROM trial t LEFT JOIN (SELECT trial_id, string_agg(DISTINCT name, ',' ORDER BY name) AS tags, count(*) AS n FROM tag GROUP BY trial_id) g ON g.trial_id = t.id")(lambda s: tr.report(s.trial, s.tag))
 query("tag_02_next_tags", "tag", "SELECT trial_id, name, p[1] || '.' || p[2] || '.' || (p[3] + 1) AS patch, p[1] || '.' || (p[2] + 1) || '.1' AS minor, (p[1] + 1) || '.1.1' AS major FROM (SELECT trial_id, arg_max(name, list_transform(string_split(name, '.'), lambda x: CAST(x AS INT))) AS name, max(list_transform(string_split(name, '.'), lambda x: CAST(x AS INT))) AS p FROM tag WHERE type = 'AUTO' GROUP BY trial_id)")(lambda s: tr.next_tags(s.tag))
 query("tag_03_auto_tags", "tag", "SELECT id, trial_id, name FROM tag WHERE type = 'AUTO'")(lambda s: s.tag.where("type = 'AUTO'").select("id", "trial_id", "name"))
-query("rst_02_differing_files", "file_access", "SELECT path, stored, found FROM (SELECT name AS path, max(content_hash_before) AS stored FROM file_access WHERE trial_id % 2 = 0 GROUP BY name) FULL JOIN (SELECT name AS path, max(content_hash_after) AS found FROM file_access GROUP BY name) USING (path) WHERE stored IS DISTINCT FROM found")(lambda s: tr.differing_files(s.file_access.where("trial_id % 2 = 0").groupBy(F.col("name").alias("path")).agg(F.max("content_hash_before").alias("hash")), s.file_access.groupBy(F.col("name").alias("path")).agg(F.max("content_hash_after").alias("hash"))))
+query("rst_02_differing_files", "file_access", "SELECT path, stored, found FROM (SELECT name AS path, max(content_hash_before) AS stored FROM file_access GROUP BY name) FULL JOIN (SELECT name AS path, max(content_hash_after) AS found FROM file_access GROUP BY name) USING (path) WHERE stored IS DISTINCT FROM found")(lambda s: tr.differing_files(s.file_access.groupBy(F.col("name").alias("path")).agg(F.max("content_hash_before").alias("hash")), s.file_access.groupBy(F.col("name").alias("path")).agg(F.max("content_hash_after").alias("hash"))))
 
 # --- evaluations, activations, components ---
 EC = "FROM evaluation e JOIN code_component c ON c.id = e.code_component_id"
@@ -133,7 +133,7 @@ query("rul_31_slice_lines", "evaluation dependency code_component", DEP + ", " +
 # --- lineage ---
 query("lin_01_derivation", "evaluation dependency", DEP + ", walk AS (SELECT id AS src, id AS node, 0 AS depth FROM evaluation UNION SELECT w.src, d.dependency_id, w.depth + 1 FROM walk w JOIN dep d ON w.node = d.dependent_id) SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node")(lambda s: li.derivation(s.dependency, s.evaluation))
 query("lin_02_members_as_of", "member", f"SELECT collection_id, key, arg_max(member_id, (checkpoint, member_id)) AS member_id FROM member WHERE checkpoint <= TIMESTAMP '{MOMENT}' GROUP BY 1, 2")(lambda s: li.members_as_of(s.member, F.lit(MOMENT).cast("timestamp_ntz")))
-query("lin_02_members_at", "member", "SELECT c.collection_id, c.checkpoint AS at, m.key, arg_max(m.member_id, (m.checkpoint, m.member_id)) AS member_id FROM (SELECT DISTINCT collection_id, checkpoint FROM member WHERE key = 'purchase') c JOIN member m ON m.collection_id = c.collection_id AND m.checkpoint <= c.checkpoint GROUP BY 1, 2, 3")(lambda s: li.members_at(s.member, s.member.where("key = 'purchase'")))
+query("lin_02_members_at", "member", "SELECT c.collection_id, c.checkpoint AS at, m.key, arg_max(m.member_id, (m.checkpoint, m.member_id)) AS member_id FROM (SELECT DISTINCT collection_id, checkpoint FROM member) c JOIN member m ON m.collection_id = c.collection_id AND m.checkpoint <= c.checkpoint GROUP BY 1, 2, 3")(lambda s: li.members_at(s.member, s.member))
 query("lin_03_was_derived_from", "evaluation dependency", DEP + ", " + SLICE.format(cond="") + "SELECT e.id, count(w.node) AS targets FROM evaluation e LEFT JOIN (SELECT src, node FROM walk WHERE node % 100 = 1) w ON w.src = e.id GROUP BY e.id")(lambda s: li.was_derived_from(s.dependency, s.evaluation, s.evaluation.where("checkpoint = 1")))
 query("lin_07_numbered_dependencies", "evaluation dependency", DEP + ", walk AS (SELECT id AS src, id AS node, 0 AS depth FROM evaluation UNION SELECT w.src, d.dependency_id, w.depth + 1 FROM walk w JOIN dep d ON w.node = d.dependent_id) SELECT w.src, w.node, e.repr, row_number() OVER (PARTITION BY w.src ORDER BY w.depth, w.node) AS number FROM walk w JOIN evaluation e ON e.id = w.node WHERE w.depth > 0")(lambda s: li.numbered_dependencies(s.dependency, s.evaluation, s.evaluation))
 
@@ -156,8 +156,8 @@ query("dif_06_lcs", "cell", None)(lambda s: su.lcs_lengths(s.cell))
 query("his_01_history_edges", "trial", _up("trial", "id", "parent_id") + "SELECT u.node AS id, arg_min(u.ancestor, u.depth) AS ancestor, min(u.depth) AS distance FROM up u JOIN trial a ON a.id = u.ancestor AND a.status = 'finished' JOIN trial n ON n.id = u.node AND n.status = 'finished' WHERE u.depth > 0 GROUP BY 1")(lambda s: su.history_edges(s.trial, s.trial.where("status = 'finished'")))
 query("his_02_distances", "trial", _up("trial", "id", "parent_id") + "SELECT node AS id, ancestor, depth AS distance FROM up WHERE depth > 0")(lambda s: su.trial_distances(s.trial))
 query("his_04_by_version", "tag", "SELECT array_to_string(string_split(name, '.')[1:2], '.') AS version, count(DISTINCT trial_id) AS trials, count(*) AS tags FROM tag WHERE type = 'AUTO' GROUP BY 1")(lambda s: su.history_by_version(s.tag))
-query("lin_01_through_members", "member", ", v AS (SELECT collection_id, member_id, checkpoint AS since, lead(checkpoint) OVER (PARTITION BY collection_id, key ORDER BY checkpoint, member_id) AS until FROM member), walk AS (SELECT member_id AS src, collection_id AS node, checkpoint AS at FROM member WHERE key = 'signup' UNION SELECT w.src, v.member_id, w.at FROM walk w JOIN v ON v.collection_id = w.node AND v.since <= w.at AND (v.until IS NULL OR w.at < v.until)) SELECT src, node, \"at\" FROM walk")(
-    lambda s: li.derivation_through_members(s.member, s.member.where("key = 'signup'").select(F.col("member_id").alias("src"), F.col("collection_id").alias("node"), F.col("checkpoint").alias("at")))
+query("lin_01_through_members", "member evaluation dependency", DEP + ", v AS (SELECT collection_id, member_id, checkpoint AS since, lead(checkpoint) OVER (PARTITION BY collection_id, key ORDER BY checkpoint, member_id) AS until FROM member), walk AS (SELECT member_id AS src, collection_id AS node, checkpoint AS at FROM member UNION (SELECT w.src, v.member_id, w.at FROM walk w JOIN v ON v.collection_id = w.node AND v.since <= w.at AND (v.until IS NULL OR w.at < v.until) UNION ALL SELECT w.src, d.dependency_id, w.at FROM walk w JOIN dep d ON d.dependent_id = w.node)) SELECT src, node, \"at\" FROM walk")(
+    lambda s: li.derivation_through_members(s.member, s.member.select(F.col("member_id").alias("src"), F.col("collection_id").alias("node"), F.col("checkpoint").alias("at")), s.dependency)
 )
 query(
     "sum_03_exact_match",
