@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from lineagraph.llm import sharding
 from lineagraph.llm.cws import edited_fingerprints, weighted_samples
 from lineagraph.llm.line_dedup import line_dedup
 from lineagraph.llm.packing import pack
@@ -34,6 +35,28 @@ def test_shards_are_even_and_keep_groups(docs, odd_texts):
     assert [(r.shard, r.slot) for r in shard_documents(docs(["one"]), shards=5).collect()] == [(0, 0)]
 
 
+def test_a_group_of_a_third_and_pairs_move_under_quotas_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BLOCK", 16)
+    texts = ["hot copy"] * 2000 + [f"pair {i // 2}" for i in range(3000)] + [f"text {i}" for i in range(1000)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=12).collect()
+    assert Counter(r.shard for r in got) == {s: 500 for s in range(12)}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(500)) for s in range(12))
+    of = {}
+    for r in got:
+        of.setdefault(r.text_crc32, Counter())[r.shard] += 1
+    hot = of[zlib.crc32(b"hot copy")]
+    assert sum(n for _, n in hot.most_common(6)) >= 1600  # 1000 by hash alone
+    assert sum(len(of[zlib.crc32(f"pair {k}".encode())]) > 1 for k in range(1500)) <= 75
+
+
+def test_pairs_move_where_no_shard_has_room(docs):
+    got = shard_documents(docs([f"pair {i // 2}" for i in range(2400)]), shards=8).collect()
+    assert Counter(r.shard for r in got) == {s: 300 for s in range(8)}
+    of = {r.doc_id: r.shard for r in got}
+    assert sum(of[2 * k] != of[2 * k + 1] for k in range(1200)) <= 120  # 1050 by hash alone
+
+
 def jaccard(a, b):
     a, b = Counter((a or "").split()), Counter((b or "").split())
     return sum((a & b).values()) / max(1, sum((a | b).values()))
