@@ -14,9 +14,10 @@ def graph_closure(seeds: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("
     Each round joins the last frontier with the edges and keeps what was not seen; all seeds run
     together. Cycles end because visited rows are taken out.
     """
+    edges = settle(edges)
     nexts = [f"next_{k}" for k in keys]
-    seen = settle(seeds.select("src", *keys).distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    frontier = settle(seeds.select("src", *keys).distinct().withColumn("depth", F.lit(0)))
+    seen, depth = frontier, 0  # the settled frontiers of all rounds; none is written twice
     while most_rounds is None or depth < most_rounds:
         depth += 1
         step = frontier.select("src", *keys).join(edges, list(keys)).select("src", *(F.col(n).alias(k) for n, k in zip(nexts, keys))).distinct()
@@ -24,10 +25,15 @@ def graph_closure(seeds: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("
         frontier = settle(step)
         if not frontier.limit(1).count():
             break
-        seen = settle(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if depth % UNIONED == 0:
+            seen = settle(seen)
     return seen
 
 
+#: Long walks: after so many rounds the frontiers become one table, so that plans stay small.
+UNIONED = 16
+
 #: Deeper paths may be endless: from there on, pairs are kept once, and no new ones end the rounds.
 DEEP = 64
 

@@ -40,6 +40,16 @@ def was_derived_from(dependency: DataFrame, seeds: DataFrame, targets: DataFrame
     return seeds.select("id").join(hits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("targets"))
 
 
+def derived_pairs(dependency: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, target_id): each seed with each target that it derives from, found by walking, not by pairing all."""
+    return derivation(dependency, seeds).join(targets.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("src").alias("id"), F.col("node").alias("target_id"))
+
+
+def only_derived(evaluation: DataFrame, dependency: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The evaluations that a seed (column id) derives from, the seeds included."""
+    return evaluation.join(derivation(dependency, seeds).select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+
+
 def numbered_dependencies(dependency: DataFrame, seeds: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Backward dependencies of each seed, numbered by distance and id."""
     found = derivation(dependency, seeds).where("depth > 0").join(evaluation.select(F.col("id").alias("node"), "repr"), "node")
@@ -59,7 +69,7 @@ def derivation_through_members(member: DataFrame, seeds: DataFrame, dependency:
     given, lead to their source at the same moment.
     """
     versions = settle(member_intervals(member))
-    edges = dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node")) if dependency is not None else None
+    edges = settle(dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node"))) if dependency is not None else None
     seen = settle(seeds.select("src", "node", "at").distinct())
     frontier = seen
     while True:
