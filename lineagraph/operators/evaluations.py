@@ -91,9 +91,10 @@ def in_lines(component: DataFrame, first: int, last: int) -> DataFrame:
     return component.where((F.col("first_char_line") >= first) & (F.col("last_char_line") <= last))
 
 
-def definition_members(component: DataFrame, name: str) -> DataFrame:
-    """Components within the lines of the first one of that name."""
-    span = component.where(F.col("name") == name).agg(F.min(F.struct("first_char_line", "last_char_line")).alias("s")).select("s.*").withColumnsRenamed({"first_char_line": "a", "last_char_line": "b"})
+def definition_members(component: DataFrame, name: str | None = None) -> DataFrame:
+    """Components within the lines of the first one of that name, or of the least name."""
+    named = component.where(F.col("name").isNotNull() if name is None else F.col("name") == name)
+    span = named.agg(F.min(F.struct("name", "first_char_line", "last_char_line")).alias("s")).select(F.col("s.first_char_line").alias("a"), F.col("s.last_char_line").alias("b"))  # one row
     return component.join(F.broadcast(span), (F.col("first_char_line") >= F.col("a")) & (F.col("last_char_line") <= F.col("b"))).drop("a", "b")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagraph.operators.closure import graph_closure, settle
+from lineagraph.operators.closure import UNIONED, ancestors, graph_closure, settle
 
 
 def members_as_of(member: DataFrame, moment: Column) -> DataFrame:
@@ -81,3 +81,74 @@ def derivation_through_members(member: DataFrame, seeds: DataFrame, dependency:
         if not frontier.limit(1).count():
             return seen
         seen = settle(seen.unionByName(frontier))
+
+
+def navigate(
+    evaluation: DataFrame,
+    dependency: DataFrame,
+    seeds: DataFrame,
+    member: DataFrame | None = None,
+    called: DataFrame | None = None,
+    arguments: bool = True,
+    stop_on: DataFrame | None = None,
+) -> DataFrame:
+    """(src, node, at, is_call): the contexts that each seed (src, node) reaches along dependencies and members.
+
+    A dependency leads to its source at that evaluation's own moment, a member of a collection keeps the
+    moment of the context, as which the collection is read. ``called`` (id, call_id) adds the calls that
+    evaluations made, from which no step goes on. Argument dependencies are left out without ``arguments``.
+    A source leaves the walk once it has reached all it has in ``stop_on`` (src, node); its other contexts
+    are then those of the rounds so far.
+    """
+    own = settle(evaluation.select("id", F.col("checkpoint").alias("own")))
+    kept = dependency if arguments else dependency.where("type <> 'argument'")
+    edges = kept.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("id")).distinct().join(own, "id")
+    edges = settle(edges.select("node", F.col("id").alias("next_node"), F.col("own").alias("next_at")))
+    versions = None if member is None else settle(member_intervals(member))
+    calls = None if called is None else settle(called.select(F.col("id").alias("node"), "call_id").join(own.withColumnRenamed("id", "call_id"), "call_id"))
+    keys = ["src", "node", "at", "is_call"]
+    frontier = settle(seeds.select("src", F.col("node").alias("id")).distinct().join(own, "id").select("src", F.col("id").alias("node"), F.col("own").alias("at"), F.lit(False).alias("is_call")))
+    seen, rounds = frontier, 0
+    wanted = None if stop_on is None else settle(stop_on.select("src", "node").distinct())
+    while True:
+        walk = frontier.where("not is_call")
+        if wanted is not None:
+            found = seen.join(wanted, ["src", "node"], "left_semi").select("src", "node").distinct().groupBy("src").agg(F.count("*").alias("n"))
+            done = found.join(wanted.groupBy("src").agg(F.count("*").alias("n")), ["src", "n"]).select("src")
+            walk = walk.join(done, "src", "left_anti")
+        step = walk.join(edges, "node").select("src", F.col("next_node").alias("node"), F.col("next_at").alias("at"), F.lit(False).alias("is_call"))
+        if calls is not None:
+            step = step.unionByName(walk.join(calls, "node").select("src", F.col("call_id").alias("node"), F.col("own").alias("at"), F.lit(True).alias("is_call")))
+        if versions is not None:
+            inside = walk.join(versions, F.col("node") == F.col("collection_id")).where("since <= at and (until is null or at < until)")
+            step = step.unionByName(inside.select("src", F.col("member_id").alias("node"), "at", "is_call"))
+        frontier = settle(step.distinct().join(seen, keys, "left_anti"))
+        if not frontier.limit(1).count():
+            return seen
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % UNIONED == 0:
+            seen = settle(seen)
+
+
+def marked_edges(dependency: DataFrame, visited: DataFrame) -> DataFrame:
+    """(source_id, target_id, type, visited): all dependencies, and whether a walk (column node) came by their source."""
+    by = visited.select(F.col("node").alias("source_id")).distinct().withColumn("by", F.lit(True))
+    edges = dependency.select(F.col("dependent_id").alias("source_id"), F.col("dependency_id").alias("target_id"), "type")
+    return edges.join(by, "source_id", "left").select("source_id", "target_id", "type", F.col("by").isNotNull().alias("visited"))
+
+
+def contributing_cells(evaluation: DataFrame, dependency: DataFrame, component: DataFrame, seeds: DataFrame, cell_type: str) -> DataFrame:
+    """(trial_id, cell_id): the cells that contribute to the seeds (column id).
+
+    A seed's lineage leads to cells, all evaluations of a cell in the trial count as well, and so on. A
+    component's cell is the nearest component of the cell type around it or itself.
+    """
+    cell = ancestors(component, "id", "container_id").join(component.where(F.col("type") == cell_type).select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
+    cell = cell.groupBy(F.col("node").alias("code_component_id")).agg(F.min_by("ancestor", "depth").alias("cell_id"))
+    inside = settle(evaluation.select("trial_id", "id", "code_component_id").join(cell, "code_component_id").select("trial_id", "id", "cell_id"))
+    step = lambda kind, node, to, next_: (F.col("trial_id"), F.lit(kind).alias("kind"), F.col(node).cast("long").alias("node"), F.col("trial_id").alias("next_trial_id"), F.lit(to).alias("next_kind"), F.col(next_).cast("long").alias("next_node"))
+    to_cell, back = inside.select(*step("value", "id", "cell", "cell_id")), inside.select(*step("cell", "cell_id", "value", "id"))
+    derived = dependency.join(evaluation.select("trial_id", F.col("id").alias("dependent_id")), ["trial_id", "dependent_id"], "left_semi").select(*step("value", "dependent_id", "value", "dependency_id"))
+    start = evaluation.join(seeds.select("id"), "id", "left_semi").select(F.col("trial_id").alias("src"), "trial_id", F.lit("value").alias("kind"), F.col("id").cast("long").alias("node"))
+    reached = graph_closure(start, to_cell.unionByName(back).unionByName(derived), ("trial_id", "kind", "node"))
+    return reached.where("kind = 'cell'").select("trial_id", F.col("node").alias("cell_id"))

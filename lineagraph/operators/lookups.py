@@ -185,6 +185,25 @@ def codes_in_lines(component: DataFrame, first: int, last: int | None = None) ->
     return kept.select("id", "first_char_line") if last is None else kept.where(F.col("last_char_line") <= last).select("id", "first_char_line")
 
 
+def handlers(component: DataFrame, tries: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """(try_id, handler_id): handlers at the column of a try statement that begin after it and within its lines."""
+    outer = component.where(F.col("type").isin(list(tries))).select(F.col("id").alias("try_id"), "first_char_column", F.col("first_char_line").alias("begin"), F.col("last_char_line").alias("end"))
+    inner = component.where(F.col("type").isin(list(kinds))).select(F.col("id").alias("handler_id"), "first_char_column", F.col("first_char_line").alias("line"))
+    return outer.join(inner, "first_char_column").where("line > begin and line <= end").select("try_id", "handler_id")
+
+
+def called_definitions(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(call_id, definition_id): calls (id, name) whose text contains a definition's name (id, name).
+
+    A call's parts of the lengths that names have are joined with the names, so no pairs are tried; a
+    text gives as many rows as it has characters times lengths. Empty and null names are in no text.
+    """
+    lengths = definitions.where("name <> ''").agg(F.collect_set(F.length("name")).alias("lengths"))  # one row, one entry a length
+    sized = calls.where("name <> ''").crossJoin(F.broadcast(lengths)).select(F.col("id").alias("call_id"), F.col("name").alias("text"), F.explode("lengths").alias("n")).where("n <= length(text)")
+    parts = sized.select("call_id", F.explode(F.expr("transform(sequence(1, length(text) - n + 1), i -> substring(text, i, n))")).alias("name")).distinct()
+    return parts.join(definitions.where("name <> ''").select(F.col("id").alias("definition_id"), "name"), "name").select("call_id", "definition_id")
+
+
 # --- rules ---
 
 

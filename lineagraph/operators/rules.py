@@ -45,10 +45,20 @@ def names(**models: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (t.select(F.lit(m).alias("model"), "id", "name") for m, t in models.items()))
 
 
-def timestamps(activation: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(id, moment, at): activation starts and finishes and evaluation finishes."""
-    both = activation.select("id", F.explode(F.array(F.struct(F.lit("start").alias("moment"), F.col("start_checkpoint").alias("at")), F.struct(F.lit("finish").alias("moment"), F.col("finish_checkpoint").alias("at")))).alias("x")).select("id", "x.moment", "x.at")
-    return both.unionByName(evaluation.select("id", F.lit("finish").alias("moment"), F.col("checkpoint").cast("long").alias("at")))
+def timestamps(activation: DataFrame, evaluation: DataFrame | None = None, trial: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
+    """(trial_id, id, moment, at): starts and finishes of trials (as id 0) and activations, finishes of evaluations, and accesses.
+
+    Moments of the clock are seconds since 1970, checkpoints are as they are.
+    """
+    ends = lambda t, i, a, b: t.select("trial_id", i.cast("long").alias("id"), F.explode(F.array(F.struct(F.lit("start").alias("moment"), a.cast("long").alias("at")), F.struct(F.lit("finish").alias("moment"), b.cast("long").alias("at")))).alias("x")).select("trial_id", "id", "x.moment", "x.at")
+    out = ends(activation, F.col("id"), F.col("start_checkpoint"), F.col("finish_checkpoint"))
+    if evaluation is not None:
+        out = out.unionByName(evaluation.select("trial_id", "id", F.lit("finish").alias("moment"), F.col("checkpoint").cast("long").alias("at")))
+    if trial is not None:
+        out = out.unionByName(ends(trial.where("start is not null").withColumn("trial_id", F.col("id")), F.lit(0), F.unix_timestamp("start"), F.unix_timestamp("finish")))
+    if access is not None:
+        out = out.unionByName(access.select("trial_id", "id", F.lit("access").alias("moment"), F.unix_timestamp("checkpoint").alias("at")))
+    return out
 
 
 def durations(activation: DataFrame) -> DataFrame:
@@ -129,13 +139,16 @@ def indirect_accesses(activation: DataFrame, access: DataFrame) -> DataFrame:
     return access.select(F.col("id").alias("access"), "activation_id").join(inner, "activation_id").select("activation", "access")
 
 
-def access_influence(access: DataFrame) -> DataFrame:
-    """(read, written) in one trial: the least later written access of each read."""
-    r = access.where(reads(F.col("mode"))).select("trial_id", F.col("id").alias("read"), F.col("checkpoint").alias("at"))
-    w = access.where(writes(F.col("mode"))).select("trial_id", F.col("id").alias("written"), F.col("checkpoint").alias("then"))
-    rows = r.select("trial_id", "at", "read", F.lit(None).cast("long").alias("written")).unionByName(w.select("trial_id", F.col("then").alias("at"), F.lit(None).cast("long").alias("read"), "written"))
-    coming = F.first("written", ignorenulls=True).over(Window.partitionBy("trial_id").orderBy("at", F.coalesce("read", "written"), F.col("written").isNull()).rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn("next", coming).where("read is not null and next is not null").select("trial_id", "read", F.col("next").alias("written"))
+def access_influence(access: DataFrame, activation: DataFrame) -> DataFrame:
+    """(trial_id, read, written): each access that reads with each one of the trial that writes at the same time or
+    later, where the reading activation starts no later than the writing one finishes.
+
+    Every such pair is asked for, so the result is quadratic in a trial's accesses.
+    """
+    starts, ends = activation.select(F.col("id").alias("activation_id"), "start_checkpoint"), activation.select(F.col("id").alias("activation_id"), "finish_checkpoint")
+    r = access.where(reads(F.col("mode"))).join(starts, "activation_id").select("trial_id", F.col("id").alias("read"), F.col("checkpoint").alias("at"), "start_checkpoint")
+    w = access.where(writes(F.col("mode"))).join(ends, "activation_id").select("trial_id", F.col("id").alias("written"), F.col("checkpoint").alias("then"), "finish_checkpoint")
+    return r.join(w, "trial_id").where("at <= then and start_checkpoint <= finish_checkpoint").select("trial_id", "read", "written")
 
 
 def slice_edges(dependency: DataFrame) -> DataFrame:

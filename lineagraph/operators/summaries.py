@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,24 +73,50 @@ def diff_sets(table: DataFrame, first: int, second: int, name: str, key: list[st
     return both.select("name", F.explode(kinds).alias("x")).select("name", "x.kind", "x.n").where("n > 0")
 
 
-def lcs_lengths(cells: DataFrame) -> DataFrame:
-    """(notebook_id, other_id, common): longest common subsequence of roles of each notebook and the next one."""
-    rows = cells.groupBy("notebook_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "role"))), lambda x: x["role"]).alias("roles"))
-    pairs = rows.join(rows.select((F.col("notebook_id") - 1).alias("notebook_id"), F.col("roles").alias("other_roles")), "notebook_id")
+def common_subsequences(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, other_id, place, other_place): a longest common subsequence of two lists each, as places from 0.
+
+    ``lists`` has (id, place, value), ``pairs`` (id, other_id). Of equally long ones the places come early
+    in the first list. A pair's lists are compared in one task, in time and memory of their product.
+    """
+    rows = lists.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+    both = pairs.join(rows, "id").join(rows.select(F.col("id").alias("other_id"), F.col("values").alias("other_values")), "other_id")
+
+    @F.pandas_udf("array<struct<place:int,other_place:int>>")
+    def matches(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y) -> list[dict]:
+            best = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)  # of what is left from two places on
+            for i in range(len(x) - 1, -1, -1):
+                for j in range(len(y) - 1, -1, -1):
+                    best[i, j] = best[i + 1, j + 1] + 1 if x[i] == y[j] else max(best[i + 1, j], best[i, j + 1])
+            i = j = 0
+            out = []
+            while i < len(x) and j < len(y):
+                if x[i] == y[j]:
+                    out.append({"place": i, "other_place": j})
+                    i, j = i + 1, j + 1
+                elif best[i, j + 1] >= best[i + 1, j]:
+                    j += 1
+                else:
+                    i += 1
+            return out
+
+        return pd.Series([one(list(x), list(y)) for x, y in zip(a, b)])
 
-    @F.pandas_udf("long")
-    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        def length(x, y) -> int:
-            row = [0] * (len(y) + 1)
-            for u in x:
-                last = 0
-                for j, v in enumerate(y, 1):
-                    last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
-            return row[-1]
+    return both.select("id", "other_id", F.explode(matches("values", "other_values")).alias("m")).select("id", "other_id", "m.place", "m.other_place")
 
-        return pd.Series([length(list(x), list(y)) for x, y in zip(a, b)])
 
-    return pairs.select("notebook_id", lcs("roles", "other_roles").alias("common"))
+def next_notebooks(cells: DataFrame) -> DataFrame:
+    """(id, other_id): each notebook and the next one."""
+    ids = cells.select(F.col("notebook_id").alias("id")).distinct()
+    return ids.join(ids.select((F.col("id") - 1).alias("id"), F.col("id").alias("other_id")), "id")
+
+
+def lcs_lengths(cells: DataFrame) -> DataFrame:
+    """(notebook_id, common): length of the longest common subsequence of roles of each notebook and the next one."""
+    pairs = next_notebooks(cells)
+    found = common_subsequences(cells.select(F.col("notebook_id").alias("id"), F.col("position").alias("place"), F.col("role").alias("value")), pairs)
+    return pairs.join(found.groupBy("id").agg(F.count("*").alias("n")), "id", "left").select(F.col("id").alias("notebook_id"), F.coalesce("n", F.lit(0)).cast("long").alias("common"))
 
 
 def history_edges(trial: DataFrame, kept: DataFrame) -> DataFrame:
@@ -154,10 +183,10 @@ def prov_derivations(dependency: DataFrame) -> DataFrame:
     return dependency.select(F.concat(F.lit("wasDerivedFrom(e"), F.col("dependent_id").cast("string"), F.lit(", e"), F.col("dependency_id").cast("string"), F.lit(", [type='"), F.col("type"), F.lit("'])")).alias("statement"))
 
 
-def checkpoint_order(evaluation: DataFrame) -> DataFrame:
-    """Per trial the rank of each distinct checkpoint."""
-    points = evaluation.select("trial_id", "activation_id", "checkpoint").distinct()
-    return points.select("trial_id", "activation_id", "checkpoint", F.dense_rank().over(Window.partitionBy("trial_id").orderBy("activation_id", "checkpoint")).alias("place"))
+def checkpoint_order(*points: DataFrame) -> DataFrame:
+    """Per trial the rank of each distinct checkpoint of the tables (trial_id, checkpoint)."""
+    distinct = reduce(DataFrame.unionByName, (p.select("trial_id", F.col("checkpoint").cast("long").alias("checkpoint")) for p in points)).distinct()
+    return distinct.withColumn("place", F.dense_rank().over(Window.partitionBy("trial_id").orderBy("checkpoint")))
 
 
 def subtree_shapes(activation: DataFrame) -> DataFrame:
@@ -165,7 +194,7 @@ def subtree_shapes(activation: DataFrame) -> DataFrame:
     place = call_tree(activation).select("id", "child")
     up = ancestors(activation, "id", "caller_id")
     # the places of a node from the root down, so that its place below any ancestor is a suffix
-    route = up.join(place.withColumnRenamed("id", "ancestor"), "ancestor").groupBy("node").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "child")))), lambda x: F.lpad(x["child"].cast("string"), 6, "0")).alias("route"))
+    route = up.join(place.withColumnRenamed("id", "ancestor"), "ancestor").groupBy("node").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "child")))), lambda x: F.lpad(x["child"].cast("string"), 12, "0")).alias("route"))
     named = activation.select(F.col("id").alias("node"), F.concat_ws(":", F.col("line").cast("string"), "name").alias("step"))
     below = up.join(named, "node").join(route, "node", "left")
     suffix = F.coalesce(F.array_join(F.slice("route", F.size("route") - F.col("depth") + 1, F.col("depth")), "."), F.lit(""))
@@ -174,5 +203,48 @@ def subtree_shapes(activation: DataFrame) -> DataFrame:
 
 
 def exact_match(activation: DataFrame) -> DataFrame:
-    """Activations of a trial whose whole subtrees are equal, merged: (trial_id, shape, calls)."""
-    return subtree_shapes(activation).groupBy("trial_id", "shape").agg(F.count("*").alias("calls"))
+    """Siblings with equal subtrees merged, from the roots down: (trial_id, path, shape, calls, duration).
+
+    The path is the digest of the merged node's own shape and those of the nodes above it.
+    """
+    shapes = subtree_shapes(activation).select("id", F.md5("shape").alias("shape"))
+    up = ancestors(activation, "id", "caller_id").join(shapes.select(F.col("id").alias("ancestor"), F.col("shape").alias("above")), "ancestor")
+    paths = up.groupBy(F.col("node").alias("id")).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "above"))), lambda x: x["above"]), "/")).alias("path"))
+    timed = activation.select("id", "trial_id", (F.col("finish_checkpoint") - F.col("start_checkpoint")).alias("duration"))
+    return timed.join(shapes, "id").join(paths, "id").groupBy("trial_id", "path", "shape").agg(F.count("*").alias("calls"), F.sum("duration").alias("duration"))
+
+
+def definition_tree(component: DataFrame, syntax: list[str]) -> DataFrame:
+    """(id, parent_id): each component but those of syntax types under the nearest such one around it."""
+    kept = component.where(~F.col("type").isin(syntax))
+    around = ancestors(component, "id", "container_id").where("depth > 0").join(kept.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
+    nearest = around.groupBy(F.col("node").alias("id")).agg(F.min_by("ancestor", "depth").alias("parent_id"))
+    return kept.select("id").join(nearest, "id", "left")
+
+
+def history_group_distances(trial: DataFrame, tag: DataFrame) -> DataFrame:
+    """(version, above, distance): the least number of steps from a trial of one version group up to one of another."""
+    group = F.array_join(F.slice(F.split("name", "\\."), 1, 2), ".")
+    groups = tag.where("type = 'AUTO'").select("trial_id", group.alias("version")).distinct()
+    far = trial_distances(trial).join(groups.withColumnRenamed("trial_id", "id"), "id").join(groups.select(F.col("trial_id").alias("ancestor"), F.col("version").alias("above")), "ancestor")
+    return far.where("version <> above").groupBy("version", "above").agg(F.min("distance").alias("distance"))
+
+
+def diff_activations(pairs: DataFrame, report: DataFrame) -> DataFrame:
+    """(id, other_id, attribute, before, after): what differs in the reports (id, ...) of two activations each."""
+    columns = [c for c in report.columns if c != "id"]
+    tall = lambda i, v: report.select(F.col("id").alias(i), F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias(v)) for c in columns))).alias("x")).select(i, "x.*")
+    both = pairs.join(tall("other_id", "before"), "other_id").join(tall("id", "after"), ["id", "attribute"])
+    return both.where("not (before <=> after)").select("id", "other_id", "attribute", "before", "after")
+
+
+def side_by_side_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(trial_id, other_id, place, mark, before, after): two trials' values (trial_id, place, value) line by line.
+
+    The mark is ``=`` for equal lines, ``|`` for different ones, ``<`` and ``>`` where only the other
+    or only the trial has one.
+    """
+    after = pairs.join(values, "trial_id").select("trial_id", "other_id", "place", F.col("value").alias("after"), F.lit(True).alias("in_a"))
+    before = pairs.join(values.select(F.col("trial_id").alias("other_id"), "place", F.col("value").alias("before"), F.lit(True).alias("in_b")), "other_id").select("trial_id", "other_id", "place", "before", "in_b")
+    mark = F.when(F.col("in_a").isNull(), "<").when(F.col("in_b").isNull(), ">").when(F.col("before").eqNullSafe(F.col("after")), "=").otherwise("|")
+    return before.join(after, ["trial_id", "other_id", "place"], "full").select("trial_id", "other_id", "place", mark.alias("mark"), "before", "after")

@@ -91,7 +91,7 @@ query(
     "rul_09_timestamp_by_name",
     "activation",
     "SELECT name, 'start' AS moment, start_checkpoint AS at FROM activation UNION ALL SELECT name, 'finish', finish_checkpoint FROM activation",
-)(lambda s: lo.with_name(ru.timestamps(s.activation, s.evaluation.limit(0)), s.activation).select("name", "moment", "at"))
+)(lambda s: lo.with_name(ru.timestamps(s.activation), s.activation).select("name", "moment", "at"))
 SUCC = "SELECT DISTINCT a.name AS before, b.name AS after FROM activation a JOIN activation b ON a.trial_id = b.trial_id AND a.start_checkpoint <= b.finish_checkpoint AND a.id <> b.id"
 query("rul_09_successor_by_name", "activation", SUCC)(lambda s: lo.successor_names(ru.successors(s.activation), s.activation))
 query("rul_15_is_activation", "activation evaluation", "SELECT id FROM evaluation WHERE id IN (SELECT id FROM activation)")(lambda s: lo.once(s.evaluation, s.activation, "id").select("id"))

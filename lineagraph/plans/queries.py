@@ -63,7 +63,11 @@ query("scl_04_is_internal", "file_access", f"SELECT id, NOT starts_with(name, '/
 query("scl_06_relative_path", "file_access", f"SELECT id, CASE WHEN NOT starts_with(name, '/') THEN name WHEN starts_with(name, '/tmp/') THEN substr(name, 6) END AS path {ACC}")(lambda s: s.file_access.select("id", sc.relative_path(F.col("name"), "/tmp").alias("path")))
 query("scl_07_duration", "trial", "SELECT id, coalesce(epoch_us(finish) - epoch_us(start), 0)::BIGINT AS micros FROM trial")(lambda s: tr.durations(s.trial))
 query("scl_08_status", "trial", "SELECT id, CASE status WHEN 'finished' THEN '' WHEN 'backup' THEN 'b' ELSE '*' END AS letter FROM trial WHERE script LIKE 'B%'")(lambda s: s.trial.where(sc.like_wildcard(F.col("script"), "B*")).select("id", sc.status_letter(F.col("status")).alias("letter")))
-query("scl_11_checkpoint_order", "evaluation", "SELECT trial_id, activation_id, checkpoint, dense_rank() OVER (PARTITION BY trial_id ORDER BY activation_id, checkpoint) AS place FROM (SELECT DISTINCT trial_id, activation_id, checkpoint FROM evaluation)")(lambda s: su.checkpoint_order(s.evaluation))
+query(
+    "scl_11_checkpoint_order",
+    "activation evaluation member",
+    "SELECT trial_id, checkpoint, dense_rank() OVER (PARTITION BY trial_id ORDER BY checkpoint) AS place FROM (SELECT trial_id, start_checkpoint::BIGINT AS checkpoint FROM activation UNION SELECT trial_id, checkpoint::BIGINT FROM evaluation UNION SELECT collection_id, epoch_us(checkpoint) // 1000000 FROM member)",
+)(lambda s: su.checkpoint_order(s.activation.select("trial_id", F.col("start_checkpoint").alias("checkpoint")), s.evaluation, s.member.select(F.col("collection_id").alias("trial_id"), F.unix_timestamp("checkpoint").alias("checkpoint"))))
 query("scl_12_brief", "file_access", f"SELECT id, '(' || mode || ') ' || name || CASE WHEN content_hash_before IS NULL THEN ' (new)' ELSE '' END AS brief {ACC}")(lambda s: s.file_access.select("id", sc.brief_access(F.col("mode"), F.col("name"), F.col("content_hash_before")).alias("brief")))
 query("scl_14_version_parts", "tag", "SELECT trial_id, arg_max(name, list_transform(string_split(name, '.'), lambda x: CAST(x AS INT))) AS name FROM tag WHERE type = 'AUTO' GROUP BY trial_id")(lambda s: tr.latest_tag(s.tag))
 query("scl_17_basename", "file_access", f"SELECT id, regexp_extract(name, '[^/]*$') AS base {ACC}")(lambda s: s.file_access.select("id", sc.basename(F.col("name")).alias("base")))
@@ -102,7 +106,11 @@ query("act_07_report", "activation evaluation", "SELECT a.id, a.name, a.line, fi
 query("cbk_02_contained", "code_component", _up("code_component", "id", "container_id") + "SELECT ancestor AS container, node AS id FROM up WHERE depth > 0")(lambda s: ev.contained(s.code_component))
 query("cbk_03_contained_evaluations", "code_component evaluation", _up("code_component", "id", "container_id") + "SELECT ancestor AS container, count(*) AS evaluations FROM up JOIN evaluation e ON e.code_component_id = node GROUP BY 1")(lambda s: ev.contained_evaluations(s.code_component, s.evaluation))
 query("cbk_05_in_lines", "code_component", "SELECT id, name FROM code_component WHERE first_char_line >= 5 AND last_char_line <= 15")(lambda s: ev.in_lines(s.code_component, 5, 15).select("id", "name"))
-query("psp_04_definition_members", "code_component", "SELECT c.id FROM code_component c, (SELECT first_char_line AS a, last_char_line AS b FROM code_component WHERE id = 7) s WHERE c.first_char_line >= a AND c.last_char_line <= b".replace("WHERE id = 7", "WHERE name = (SELECT min(name) FROM code_component) ORDER BY 1, 2 LIMIT 1"))(lambda s: ev.definition_members(s.code_component, s.code_component.agg(F.min("name")).first()[0]).select("id"))
+query(
+    "psp_04_definition_members",
+    "code_component",
+    "SELECT c.id FROM code_component c, (SELECT first_char_line AS a, last_char_line AS b FROM code_component WHERE name = (SELECT min(name) FROM code_component) ORDER BY 1, 2 LIMIT 1) s WHERE c.first_char_line >= a AND c.last_char_line <= b",
+)(lambda s: ev.definition_members(s.code_component).select("id"))
 query("psp_05_variable_contents", "evaluation code_component", f"SELECT c.first_char_line, c.name, e.id, e.repr {EC} WHERE c.mode = 'w'")(lambda s: ev.variable_contents(s.evaluation, s.code_component))
 query("psp_08_innermost", "code_component", "SELECT id, block_id FROM (SELECT c.id, b.id AS block_id, row_number() OVER (PARTITION BY c.id ORDER BY b.last_char_line - b.first_char_line, b.id) AS r FROM code_component c JOIN code_component b ON c.first_char_line BETWEEN b.first_char_line AND b.last_char_line AND b.last_char_line > b.first_char_line) WHERE r = 1")(lambda s: ev.innermost_container(s.code_component))
 
@@ -110,7 +118,12 @@ query("psp_08_innermost", "code_component", "SELECT id, block_id FROM (SELECT c.
 query("pat_03_conjunction", "evaluation code_component", f"SELECT DISTINCT c.name, e.repr {EC} WHERE e.flag = 'A'")(lambda s: ru.conjunction(ru.pattern(s.evaluation, code_component_id="?_c", repr="?repr", flag="A"), ru.pattern(s.code_component, id="?_c", name="?name")))
 query("rul_03_evaluation_name", "evaluation code_component", f"SELECT e.id, c.name {EC}")(lambda s: ev.query_evaluations(s.evaluation, s.code_component).select("id", "name"))
 query("rul_05_names", "activation code_component file_access", "SELECT 'activation' AS model, id, name FROM activation UNION ALL SELECT 'code', id, name FROM code_component UNION ALL SELECT 'access', id, name FROM file_access")(lambda s: ru.names(activation=s.activation, code=s.code_component, access=s.file_access))
-query("rul_06_timestamps", "activation evaluation", "SELECT id, 'start' AS moment, start_checkpoint AS at FROM activation UNION ALL SELECT id, 'finish', finish_checkpoint FROM activation UNION ALL SELECT id, 'finish', checkpoint FROM evaluation")(lambda s: ru.timestamps(s.activation, s.evaluation))
+query(
+    "rul_06_timestamps",
+    "activation evaluation trial file_access",
+    "SELECT trial_id, id, 'start' AS moment, start_checkpoint::BIGINT AS at FROM activation UNION ALL SELECT trial_id, id, 'finish', finish_checkpoint FROM activation UNION ALL SELECT trial_id, id, 'finish', checkpoint FROM evaluation "
+    "UNION ALL SELECT id, 0, 'start', epoch_us(start) // 1000000 FROM trial WHERE start IS NOT NULL UNION ALL SELECT id, 0, 'finish', epoch_us(finish) // 1000000 FROM trial WHERE start IS NOT NULL UNION ALL SELECT trial_id, id, 'access', epoch_us(checkpoint) // 1000000 FROM file_access",
+)(lambda s: ru.timestamps(s.activation, s.evaluation, s.trial, s.file_access))
 query("rul_07_durations", "activation", "SELECT id, finish_checkpoint - start_checkpoint AS duration FROM activation")(lambda s: ru.durations(s.activation))
 query("rul_08_successors", "activation", "SELECT a.trial_id, a.id AS before, b.id AS after FROM activation a JOIN activation b ON a.trial_id = b.trial_id AND a.start_checkpoint <= b.finish_checkpoint AND a.id <> b.id")(lambda s: ru.successors(s.activation))
 query("rul_10_modes", "code_component file_access", "SELECT 'code' AS model, id, mode FROM code_component UNION ALL SELECT 'access', id, mode FROM file_access")(lambda s: ru.modes(s.code_component, s.file_access))
@@ -126,7 +139,12 @@ query("rul_21_files_written", "file_access", f"SELECT trial_id, id, name {ACC} W
 query("rul_23_activation_stacks", "activation", _up("activation", "id", "caller_id") + "SELECT node AS id, string_agg(CAST(ancestor AS VARCHAR), ',' ORDER BY depth) AS stack FROM up WHERE depth > 0 GROUP BY 1")(lambda s: ru.activation_stacks(s.activation))
 query("rul_24_indirect_activations", "activation", _up("activation", "id", "caller_id") + "SELECT ancestor AS caller, node AS called FROM up WHERE depth > 0")(lambda s: ru.indirect_activations(s.activation))
 query("rul_27_indirect_accesses", "activation file_access", _up("activation", "id", "caller_id") + "SELECT ancestor AS activation, f.id AS access FROM up JOIN file_access f ON f.activation_id = node")(lambda s: ru.indirect_accesses(s.activation, s.file_access))
-query("rul_28_access_influence", "file_access", "SELECT trial_id, id AS read, (SELECT w.id FROM file_access w WHERE w.trial_id = r.trial_id AND regexp_matches(w.mode, '[wxa+]') AND (w.checkpoint, w.id) > (r.checkpoint, r.id) ORDER BY w.checkpoint, w.id LIMIT 1) AS written FROM file_access r WHERE regexp_matches(mode, '[r+]') AND EXISTS (SELECT 1 FROM file_access w WHERE w.trial_id = r.trial_id AND regexp_matches(w.mode, '[wxa+]') AND (w.checkpoint, w.id) > (r.checkpoint, r.id))")(lambda s: ru.access_influence(s.file_access))
+query(
+    "rul_28_access_influence",
+    "file_access activation",
+    "SELECT r.trial_id, r.id AS read, w.id AS written FROM file_access r JOIN file_access w ON w.trial_id = r.trial_id AND r.checkpoint <= w.checkpoint JOIN activation a ON a.id = r.activation_id JOIN activation b ON b.id = w.activation_id "
+    "WHERE regexp_matches(r.mode, '[r+]') AND regexp_matches(w.mode, '[wxa+]') AND a.start_checkpoint <= b.finish_checkpoint",
+)(lambda s: ru.access_influence(s.file_access, s.activation))
 query("rul_30_slices", "evaluation dependency", DEP + ", " + SLICE.format(cond=" AND d.type NOT LIKE 'arg%'") + "SELECT src, node FROM walk")(lambda s: ru.backward_slices(s.dependency, s.evaluation))
 query("rul_31_slice_lines", "evaluation dependency code_component", DEP + ", " + SLICE.format(cond=" AND d.type NOT LIKE 'arg%'") + "SELECT DISTINCT src, CAST(unnest(range(first_char_line, last_char_line + 1)) AS INT) AS line FROM walk JOIN evaluation e ON e.id = node JOIN code_component c ON c.id = e.code_component_id")(lambda s: ru.slice_lines(s.dependency, s.evaluation, s.evaluation, s.code_component))
 
@@ -173,9 +191,11 @@ query(
     "sum_03_exact_match",
     "activation",
     TREE + _up("activation", "id", "caller_id")
-    + ", route AS (SELECT u.node, string_agg(lpad(CAST(t.child AS VARCHAR), 6, '0'), '.' ORDER BY u.depth DESC) AS route FROM up u JOIN tree t ON t.id = u.ancestor GROUP BY 1)"
-    + ", part AS (SELECT u.ancestor AS id, CASE WHEN u.depth = 0 THEN '' ELSE right(r.route, 7 * u.depth - 1) END || '=' || a.line || ':' || a.name AS part FROM up u JOIN activation a ON a.id = u.node LEFT JOIN route r ON r.node = u.node)"
-    + ", shape AS (SELECT id, string_agg(part, ';' ORDER BY part) AS shape FROM part GROUP BY 1) SELECT a.trial_id, shape, count(*) AS calls FROM shape JOIN activation a USING (id) GROUP BY 1, 2",
+    + ", route AS (SELECT u.node, string_agg(lpad(CAST(t.child AS VARCHAR), 12, '0'), '.' ORDER BY u.depth DESC) AS route FROM up u JOIN tree t ON t.id = u.ancestor GROUP BY 1)"
+    + ", part AS (SELECT u.ancestor AS id, CASE WHEN u.depth = 0 THEN '' ELSE right(r.route, 13 * u.depth - 1) END || '=' || a.line || ':' || a.name AS part FROM up u JOIN activation a ON a.id = u.node LEFT JOIN route r ON r.node = u.node)"
+    + ", shape AS (SELECT id, md5(string_agg(part, ';' ORDER BY part)) AS shape FROM part GROUP BY 1)"
+    + ", path AS (SELECT u.node AS id, md5(string_agg(s.shape, '/' ORDER BY u.depth)) AS path FROM up u JOIN shape s ON s.id = u.ancestor GROUP BY 1)"
+    + " SELECT a.trial_id, path, shape, count(*) AS calls, sum(finish_checkpoint - start_checkpoint)::BIGINT AS duration FROM activation a JOIN shape USING (id) JOIN path USING (id) GROUP BY 1, 2, 3",
 )(lambda s: su.exact_match(s.activation))
 
-from lineagraph.plans import lookups  # noqa: E402, F401  (registers its queries)
+from lineagraph.plans import dataflow, lookups  # noqa: E402, F401  (they register their queries)

@@ -138,3 +138,27 @@ def bundle(tables: dict[str, DataFrame], trial_ids: DataFrame) -> dict[str, Data
 def missing(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
     """What a pull or a push would copy."""
     return source.join(target.select(key), key, "left_anti")
+
+
+def import_bundle(tables: dict[str, DataFrame], bundle_: dict[str, DataFrame], experiment_id: int, keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The tables after upserting a bundle whose trials go to an experiment; tables not in the bundle stay."""
+    moved = {n: t.withColumn("experiment_id", F.lit(experiment_id).cast(t.schema["experiment_id"].dataType)) if n == "trial" else t for n, t in bundle_.items()}
+    return {n: upsert(t, moved[n].select(*t.columns), keys[n]) if n in moved else t for n, t in tables.items()}
+
+
+def users_of_group(users: DataFrame, membership: DataFrame, group_id: int) -> DataFrame:
+    """The users (id, ...) with a membership (user_id, group_id) in the group, each once."""
+    return users.join(membership.where(F.col("group_id") == group_id).select(F.col("user_id").alias("id")), "id", "left_semi")
+
+
+def annotations_of(annotations: DataFrame, body: str = "annotation", **of) -> DataFrame:
+    """Annotations of an experiment, a trial or an id, without their bodies."""
+    for column, value in of.items():
+        annotations = annotations.where(F.col(column) == value)
+    return annotations.drop(body)
+
+
+def schema_of(tables: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """(table, place, column, type, nullable) of the tables; reads no rows."""
+    rows = [(n, i, f.name, f.dataType.simpleString(), f.nullable) for n, t in tables.items() for i, f in enumerate(t.schema.fields)]
+    return spark.createDataFrame(rows, "table string, place int, column string, type string, nullable boolean")
