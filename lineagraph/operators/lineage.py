@@ -109,13 +109,13 @@ def navigate(
     keys = ["src", "node", "at", "is_call"]
     frontier = settle(seeds.select("src", F.col("node").alias("id")).distinct().join(own, "id").select("src", F.col("id").alias("node"), F.col("own").alias("at"), F.lit(False).alias("is_call")))
     seen, rounds = frontier, 0
-    wanted = None if stop_on is None else settle(stop_on.select("src", "node").distinct())
+    open_ = None if stop_on is None else settle(stop_on.select("src", "node").distinct())  # what is still to be reached
+    asked = None if open_ is None else open_.select("src").distinct()
     while True:
         walk = frontier.where("not is_call")
-        if wanted is not None:
-            found = seen.join(wanted, ["src", "node"], "left_semi").select("src", "node").distinct().groupBy("src").agg(F.count("*").alias("n"))
-            done = found.join(wanted.groupBy("src").agg(F.count("*").alias("n")), ["src", "n"]).select("src")
-            walk = walk.join(done, "src", "left_anti")
+        if open_ is not None:
+            open_ = settle(open_.join(frontier.select("src", "node"), ["src", "node"], "left_anti"))
+            walk = walk.join(asked.join(open_, "src", "left_anti"), "src", "left_anti")
         step = walk.join(edges, "node").select("src", F.col("next_node").alias("node"), F.col("next_at").alias("at"), F.lit(False).alias("is_call"))
         if calls is not None:
             step = step.unionByName(walk.join(calls, "node").select("src", F.col("call_id").alias("node"), F.col("own").alias("at"), F.lit(True).alias("is_call")))

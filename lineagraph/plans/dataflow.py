@@ -47,7 +47,7 @@ def seeds(s: Store) -> DataFrame:
 
 
 # --- lineage ---
-query("lin_01_navigate", "evaluation dependency activation", DEP + PARTS + OWN + CALLED + WALK + "SELECT src, node, at, is_call FROM walk")(lambda s: li.navigate(s.evaluation, s.dependency, seeds(s), parts(s), called(s), arguments=False))
+query("lin_01_navigate", "evaluation dependency activation", DEP + PARTS + OWN + CALLED + WALK + 'SELECT src, node, "at", is_call FROM walk')(lambda s: li.navigate(s.evaluation, s.dependency, seeds(s), parts(s), called(s), arguments=False))
 
 
 def derived_from_all(s: Store) -> DataFrame:
