@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lineagraph.llm.bpe import op2_bpe
+from lineagraph.llm.byte_bpe import op13_byte_bpe
 from lineagraph.llm.cws import op7_fingerprints
 from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
 from lineagraph.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
