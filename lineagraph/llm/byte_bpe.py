@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ class SegmentTreeBPE:
         self.tokens = [b""] * self.never
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.byte_pairs = [self.ranks.get(bytes((a, b)), self.never) for a in range(256) for b in range(256)]
         self.pattern = regex.compile(pattern)
         ascii_pattern = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
         # outside brackets a class needs its own; the pattern then is one for Python's quicker engine
@@ -61,39 +63,37 @@ class SegmentTreeBPE:
         n = len(data)
         size = 1 << (n - 1).bit_length()
         idle = never * size  # no pair begins here; else a leaf holds rank * size + position, so that the least is the leftmost
-        tree = [idle] * (2 * size)
-        tree[size : size + n - 1] = [ranks.get(data[i : i + 2], never) * size + i for i in range(n - 1)]
+        pairs, get = self.byte_pairs, ranks.get
+        leaves = [pairs[a << 8 | b] for a, b in zip(data, data[1:])]
+        tree = [idle] * size + [rank * size + i for i, rank in enumerate(leaves)] + [idle] * (size - n + 1)
         for p in range(size - 1, 0, -1):
             a, b = tree[2 * p], tree[2 * p + 1]
             tree[p] = a if a < b else b
-
-        def put(position: int, value: int) -> None:
-            p = size + position
-            tree[p] = value
-            while p > 1:
-                other = tree[p ^ 1]
-                if other < value:
-                    value = other
-                p >>= 1
-                if tree[p] == value:
-                    return
-                tree[p] = value
-
         after, before = list(range(1, n + 2)), list(range(-1, n))  # where the next and the last symbol begin
-        while tree[1] < idle:
-            i = tree[1] % size
+        while (low := tree[1]) < idle:
+            i = low & (size - 1)
             j = after[i]
             k = after[j]
-            after[i], before[k] = k, i
-            put(j, idle)
-            put(i, ranks.get(data[i : after[k]], never) * size + i if k < n else idle)
-            if (h := before[i]) >= 0:
-                put(h, ranks.get(data[h:k], never) * size + h)
+            after[i], before[k], h = k, i, before[i]
+            tree[size + j] = idle
+            tree[size + i] = get(data[i : after[k]], never) * size + i if k < n else idle
+            if h >= 0:
+                tree[size + h] = get(data[h:k], never) * size + h
+            for p in (j, i, h) if h >= 0 else (j, i):
+                p = (size + p) >> 1
+                while p:
+                    a, b = tree[2 * p], tree[2 * p + 1]
+                    if b < a:
+                        a = b
+                    if tree[p] == a:
+                        break  # nothing above changes by this leaf
+                    tree[p] = a
+                    p >>= 1
         out, i = [], 0
         while i < n:
             out.append(ranks[data[i : after[i]]])
             i = after[i]
-        return np.array(out, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
