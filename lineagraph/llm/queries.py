@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lineagraph.llm.bpe import op2_bpe
 from lineagraph.llm.byte_bpe import op13_byte_bpe
+from lineagraph.llm.conversation_trie import OP12_SQL, op12_prefix_trie
 from lineagraph.llm.cws import op7_fingerprints
 from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
 from lineagraph.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_host_rules": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
