@@ -10,6 +10,7 @@ from lineagraph.llm.host_rules import OP5_SQL, op5_host_rules
 from lineagraph.llm.line_dedup import OP9_SQL, op9_line_dedup
 from lineagraph.llm.ngram_lm import op4_lm
 from lineagraph.llm.packing import op10_packing
+from lineagraph.llm.ranked_search import OP11_SQL, op11_ranked_search
 from lineagraph.llm.sharding import op3_sharding
 from lineagraph.llm.simhash import op6_simhash
 from lineagraph.llm.substring_dedup import op1_substring_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -33,5 +35,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_host_rules": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
 }
