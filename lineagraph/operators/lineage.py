@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagraph.operators.closure import UNIONED, ancestors, graph_closure, settle
+from lineagraph.operators.reachability import reachability
 
 
 def members_as_of(member: DataFrame, moment: Column) -> DataFrame:
@@ -34,15 +35,18 @@ def derivation(dependency: DataFrame, seeds: DataFrame, most_rounds: int | None
 
 
 def was_derived_from(dependency: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, targets): per seed how many of the targets (column id) are in its lineage."""
-    wanted = targets.select(F.col("id").alias("node"))
-    hits = derivation(dependency, seeds).join(wanted, "node", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    return seeds.select("id").join(hits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("targets"))
+    """(id, targets): per seed from how many of the targets (column id) it derives, itself left out."""
+    return reachability(dependency).counts(seeds, targets)
 
 
 def derived_pairs(dependency: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, target_id): each seed with each target that it derives from, found by walking, not by pairing all."""
-    return derivation(dependency, seeds).join(targets.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("src").alias("id"), F.col("node").alias("target_id"))
+    """(id, target_id): each seed with each target that it derives from, itself left out."""
+    return reachability(dependency).pairs(seeds, targets)
+
+
+def derived_from_all(dependency: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, derived): whether a value derives from each of the targets that it is asked for (id, target_id)."""
+    return reachability(dependency).among(wanted).groupBy("id").agg(F.bool_and("derived").alias("derived"))
 
 
 def only_derived(evaluation: DataFrame, dependency: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -98,7 +102,7 @@ def navigate(
     moment of the context, as which the collection is read. ``called`` (id, call_id) adds the calls that
     evaluations made, from which no step goes on. Argument dependencies are left out without ``arguments``.
     A source leaves the walk once it has reached all it has in ``stop_on`` (src, node); its other contexts
-    are then those of the rounds so far.
+    are then those of the rounds so far. A seed is not reached by standing at it.
     """
     own = settle(evaluation.select("id", F.col("checkpoint").alias("own")))
     kept = dependency if arguments else dependency.where("type <> 'argument'")
@@ -114,7 +118,8 @@ def navigate(
     while True:
         walk = frontier.where("not is_call")
         if open_ is not None:
-            open_ = settle(open_.join(frontier.select("src", "node"), ["src", "node"], "left_anti"))
+            if rounds:
+                open_ = settle(open_.join(frontier.select("src", "node"), ["src", "node"], "left_anti"))
             walk = walk.join(asked.join(open_, "src", "left_anti"), "src", "left_anti")
         step = walk.join(edges, "node").select("src", F.col("next_node").alias("node"), F.col("next_at").alias("at"), F.lit(False).alias("is_call"))
         if calls is not None:

@@ -50,19 +50,18 @@ def seeds(s: Store) -> DataFrame:
 query("lin_01_navigate", "evaluation dependency activation", DEP + PARTS + OWN + CALLED + WALK + 'SELECT src, node, "at", is_call FROM walk')(lambda s: li.navigate(s.evaluation, s.dependency, seeds(s), parts(s), called(s), arguments=False))
 
 
-def derived_from_all(s: Store) -> DataFrame:
-    wanted = s.evaluation.join(own(s).withColumnRenamed("id", "first"), "activation_id").select("id", F.explode(F.array("first", F.greatest("first", F.col("id") - 1))).alias("node")).distinct()
-    seen = li.navigate(s.evaluation, s.dependency, seeds(s), stop_on=wanted.withColumnRenamed("id", "src"))
-    hits = seen.select(F.col("src").alias("id"), "node", F.lit(True).alias("hit")).distinct()
-    return wanted.join(hits, ["id", "node"], "left").groupBy("id").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("derived"))
+def wanted_sources(s: Store) -> DataFrame:
+    """(id, target_id): each evaluation with the first one of its activation and the one before it."""
+    first = s.evaluation.join(own(s).withColumnRenamed("id", "first"), "activation_id")
+    return first.select("id", F.explode(F.array("first", F.greatest("first", F.col("id") - 1))).alias("target_id")).distinct()
 
 
 query(
     "lin_03_derived_from_all",
     "evaluation dependency",
     DEP + OWN + ", wanted AS (SELECT e.id, o.id AS node FROM evaluation e JOIN own o USING (activation_id) UNION SELECT e.id, greatest(o.id, e.id - 1) FROM evaluation e JOIN own o USING (activation_id)), "
-    "walk AS (SELECT id AS src, id AS node FROM evaluation UNION SELECT w.src, d.dependency_id FROM walk w JOIN dep d ON d.dependent_id = w.node) SELECT wanted.id, bool_and(walk.src IS NOT NULL) AS derived FROM wanted LEFT JOIN walk ON walk.src = wanted.id AND walk.node = wanted.node GROUP BY 1",
-)(derived_from_all)
+    "walk AS (SELECT id AS src, id AS node FROM evaluation UNION SELECT w.src, d.dependency_id FROM walk w JOIN dep d ON d.dependent_id = w.node) SELECT wanted.id, bool_and(walk.src IS NOT NULL) AS derived FROM wanted LEFT JOIN walk ON walk.src = wanted.id AND walk.node = wanted.node AND walk.node <> walk.src GROUP BY 1",
+)(lambda s: li.derived_from_all(s.dependency, wanted_sources(s)))
 query(
     "lin_06_marked_edges",
     "evaluation dependency",

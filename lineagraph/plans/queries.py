@@ -152,11 +152,11 @@ query("rul_31_slice_lines", "evaluation dependency code_component", DEP + ", " +
 query("lin_01_derivation", "evaluation dependency", DEP + ", walk AS (SELECT id AS src, id AS node, 0 AS depth FROM evaluation UNION SELECT w.src, d.dependency_id, w.depth + 1 FROM walk w JOIN dep d ON w.node = d.dependent_id) SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node")(lambda s: li.derivation(s.dependency, s.evaluation))
 query("lin_02_members_as_of", "member", f"SELECT collection_id, key, arg_max(member_id, (checkpoint, member_id)) AS member_id FROM member WHERE checkpoint <= TIMESTAMP '{MOMENT}' GROUP BY 1, 2")(lambda s: li.members_as_of(s.member, F.lit(MOMENT).cast("timestamp_ntz")))
 query("lin_02_members_at", "member", "SELECT c.collection_id, c.checkpoint AS at, m.key, arg_max(m.member_id, (m.checkpoint, m.member_id)) AS member_id FROM (SELECT DISTINCT collection_id, checkpoint FROM member) c JOIN member m ON m.collection_id = c.collection_id AND m.checkpoint <= c.checkpoint GROUP BY 1, 2, 3")(lambda s: li.members_at(s.member, s.member))
-query("lin_03_was_derived_from", "evaluation dependency", DEP + ", " + SLICE.format(cond="") + "SELECT e.id, count(w.node) AS targets FROM evaluation e LEFT JOIN (SELECT src, node FROM walk WHERE node % 100 = 1) w ON w.src = e.id GROUP BY e.id")(lambda s: li.was_derived_from(s.dependency, s.evaluation, s.evaluation.where("checkpoint = 1")))
+query("lin_03_was_derived_from", "evaluation dependency", DEP + ", " + SLICE.format(cond="") + "SELECT e.id, count(w.node) AS targets FROM evaluation e LEFT JOIN (SELECT src, node FROM walk WHERE node % 100 = 1 AND node <> src) w ON w.src = e.id GROUP BY e.id")(lambda s: li.was_derived_from(s.dependency, s.evaluation, s.evaluation.where("checkpoint = 1")))
 query(
     "lin_04_derived_pairs",
     "evaluation dependency code_component",
-    DEP + ", " + SLICE.format(cond="") + "SELECT w.src AS id, w.node AS target_id FROM walk w JOIN evaluation e ON e.id = w.src JOIN code_component c ON c.id = e.code_component_id AND c.mode = 'w' JOIN evaluation t ON t.id = w.node AND t.flag = 'R'",
+    DEP + ", " + SLICE.format(cond="") + "SELECT w.src AS id, w.node AS target_id FROM walk w JOIN evaluation e ON e.id = w.src JOIN code_component c ON c.id = e.code_component_id AND c.mode = 'w' JOIN evaluation t ON t.id = w.node AND t.flag = 'R' AND w.node <> w.src",
 )(lambda s: li.derived_pairs(s.dependency, ev.query_evaluations(s.evaluation, s.code_component, F.col("mode") == "w"), s.evaluation.where("flag = 'R'")))
 query(
     "lin_09_only_derived",
