@@ -294,11 +294,6 @@ def node_names(evaluation: DataFrame, component: DataFrame, activation: DataFram
 # --- summaries and differences ---
 
 
-def merged_calls(activation: DataFrame) -> DataFrame:
-    """Per trial and name: how many activations, the time they took, and their ids in order."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return activation.groupBy("trial_id", "name").agg(F.count("*").alias("n"), F.sum(F.col("finish_checkpoint") - F.col("start_checkpoint")).alias("duration"), ids.alias("ids"))
-
 
 def side_by_side(**columns: DataFrame) -> DataFrame:
     """(key, place, and a column each): the values of tables (key, value), sorted by value and put beside each other."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lineagraph.functions.scalars import reads, writes
 from lineagraph.operators.closure import ancestors
+from lineagraph.operators.trees import label_paths
 
 
 def call_tree(activation: DataFrame) -> DataFrame:
@@ -29,9 +30,9 @@ def sequence_edges(activation: DataFrame) -> DataFrame:
 
 
 def namespace_paths(activation: DataFrame) -> DataFrame:
-    """(id, trial_id, path): lines and names from the root down to each activation."""
-    up = ancestors(activation, "id", "caller_id").join(activation.select(F.col("id").alias("ancestor"), F.concat_ws(":", F.col("line").cast("string"), "name").alias("step")), "ancestor")
-    paths = up.groupBy(F.col("node").alias("id")).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "step")))), lambda x: x["step"]), "/").alias("path"))
+    """(id, trial_id, path, duration): lines and names from the root down to each activation."""
+    steps = activation.select(F.col("trial_id").alias("tree_id"), "id", F.col("caller_id").alias("parent_id"), F.concat_ws(":", F.col("line").cast("string"), "name").alias("label"))
+    paths = label_paths(steps).select("id", "path")
     return paths.join(activation.select("id", "trial_id", (F.col("finish_checkpoint") - F.col("start_checkpoint")).alias("duration")), "id")
 
 
@@ -189,31 +190,6 @@ def checkpoint_order(*points: DataFrame) -> DataFrame:
     return distinct.withColumn("place", F.dense_rank().over(Window.partitionBy("trial_id").orderBy("checkpoint")))
 
 
-def subtree_shapes(activation: DataFrame) -> DataFrame:
-    """(id, trial_id, shape): an activation with all below it, as places, lines and names in order."""
-    place = call_tree(activation).select("id", "child")
-    up = ancestors(activation, "id", "caller_id")
-    # the places of a node from the root down, so that its place below any ancestor is a suffix
-    route = up.join(place.withColumnRenamed("id", "ancestor"), "ancestor").groupBy("node").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "child")))), lambda x: F.lpad(x["child"].cast("string"), 12, "0")).alias("route"))
-    named = activation.select(F.col("id").alias("node"), F.concat_ws(":", F.col("line").cast("string"), "name").alias("step"))
-    below = up.join(named, "node").join(route, "node", "left")
-    suffix = F.coalesce(F.array_join(F.slice("route", F.size("route") - F.col("depth") + 1, F.col("depth")), "."), F.lit(""))
-    shape = below.select("ancestor", F.concat(suffix, F.lit("="), "step").alias("part")).groupBy(F.col("ancestor").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("part")), ";").alias("shape"))
-    return shape.join(activation.select("id", "trial_id"), "id")
-
-
-def exact_match(activation: DataFrame) -> DataFrame:
-    """Siblings with equal subtrees merged, from the roots down: (trial_id, path, shape, calls, duration).
-
-    The path is the digest of the merged node's own shape and those of the nodes above it.
-    """
-    shapes = subtree_shapes(activation).select("id", F.md5("shape").alias("shape"))
-    up = ancestors(activation, "id", "caller_id").join(shapes.select(F.col("id").alias("ancestor"), F.col("shape").alias("above")), "ancestor")
-    paths = up.groupBy(F.col("node").alias("id")).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "above"))), lambda x: x["above"]), "/")).alias("path"))
-    timed = activation.select("id", "trial_id", (F.col("finish_checkpoint") - F.col("start_checkpoint")).alias("duration"))
-    return timed.join(shapes, "id").join(paths, "id").groupBy("trial_id", "path", "shape").agg(F.count("*").alias("calls"), F.sum("duration").alias("duration"))
-
-
 def definition_tree(component: DataFrame, syntax: list[str]) -> DataFrame:
     """(id, parent_id): each component but those of syntax types under the nearest such one around it."""
     kept = component.where(~F.col("type").isin(syntax))

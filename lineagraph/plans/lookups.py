@@ -146,7 +146,6 @@ query("clu_16_node_names", "evaluation code_component activation", ", f AS (SELE
     lambda s: lo.node_names(s.evaluation, s.code_component, s.activation)
 )
 query("clu_17_joined_filter", "file_access", "SELECT id FROM file_access WHERE NOT starts_with(name, '/') AND regexp_matches(mode, '[r+]') AND regexp_matches(mode, '[wxa+]')")(lambda s: lo.visible(s.file_access, lo.is_local(F.col("name"), "/none"), reads(F.col("mode")), writes(F.col("mode"))).select("id"))
-query("sum_06_merged_calls", "activation", "SELECT trial_id, name, count(*) AS n, sum(finish_checkpoint - start_checkpoint)::BIGINT AS duration, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM activation GROUP BY 1, 2")(lambda s: lo.merged_calls(s.activation))
 query(
     "dif_04_side_by_side",
     "module environment_attr",

@@ -187,15 +187,4 @@ query("his_04_by_version", "tag", "SELECT array_to_string(string_split(name, '.'
 query("lin_01_through_members", "member evaluation dependency", DEP + ", v AS (SELECT collection_id, member_id, checkpoint AS since, lead(checkpoint) OVER (PARTITION BY collection_id, key ORDER BY checkpoint, member_id) AS until FROM member), walk AS (SELECT member_id AS src, collection_id AS node, checkpoint AS at FROM member UNION (SELECT w.src, v.member_id, w.at FROM walk w JOIN v ON v.collection_id = w.node AND v.since <= w.at AND (v.until IS NULL OR w.at < v.until) UNION ALL SELECT w.src, d.dependency_id, w.at FROM walk w JOIN dep d ON d.dependent_id = w.node)) SELECT src, node, \"at\" FROM walk")(
     lambda s: li.derivation_through_members(s.member, s.member.select(F.col("member_id").alias("src"), F.col("collection_id").alias("node"), F.col("checkpoint").alias("at")), s.dependency)
 )
-query(
-    "sum_03_exact_match",
-    "activation",
-    TREE + _up("activation", "id", "caller_id")
-    + ", route AS (SELECT u.node, string_agg(lpad(CAST(t.child AS VARCHAR), 12, '0'), '.' ORDER BY u.depth DESC) AS route FROM up u JOIN tree t ON t.id = u.ancestor GROUP BY 1)"
-    + ", part AS (SELECT u.ancestor AS id, CASE WHEN u.depth = 0 THEN '' ELSE right(r.route, 13 * u.depth - 1) END || '=' || a.line || ':' || a.name AS part FROM up u JOIN activation a ON a.id = u.node LEFT JOIN route r ON r.node = u.node)"
-    + ", shape AS (SELECT id, md5(string_agg(part, ';' ORDER BY part)) AS shape FROM part GROUP BY 1)"
-    + ", path AS (SELECT u.node AS id, md5(string_agg(s.shape, '/' ORDER BY u.depth)) AS path FROM up u JOIN shape s ON s.id = u.ancestor GROUP BY 1)"
-    + " SELECT a.trial_id, path, shape, count(*) AS calls, sum(finish_checkpoint - start_checkpoint)::BIGINT AS duration FROM activation a JOIN shape USING (id) JOIN path USING (id) GROUP BY 1, 2, 3",
-)(lambda s: su.exact_match(s.activation))
-
-from lineagraph.plans import dataflow, lookups  # noqa: E402, F401  (they register their queries)
+from lineagraph.plans import dataflow, lookups, trees  # noqa: E402, F401  (they register their queries)
