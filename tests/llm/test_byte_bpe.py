@@ -4,6 +4,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from lineagraph.llm import byte_bpe
 from lineagraph.llm.byte_bpe import SegmentTreeBPE, byte_bpe_decode, byte_bpe_encode
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -49,8 +50,9 @@ def test_random_texts(coder, library):
             assert ids_of(coder, text) == library.encode_ordinary(text), text
 
 
-def test_tree_against_repeated_least_pair(coder):
-    """The merge of least rank, leftmost first, until none applies."""
+def test_trees_against_repeated_least_pair(coder):
+    """The merge of least rank, leftmost first, until none applies: in a tree alone and in one among others."""
+    together = []
     draw, ranks = random.Random(5), coder.ranks
     for _ in range(300):
         data = bytes(draw.choice(b"therionsal") for _ in range(draw.randint(2, 40)))
@@ -62,6 +64,18 @@ def test_tree_against_repeated_least_pair(coder):
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         expected = [ranks[data]] if data in ranks else [ranks[p] for p in parts]
         assert list(memoryview(coder.merge(data.decode())).cast("I")) == expected
+        together.append((data.decode(), expected))
+    got = coder.merge_all([piece for piece, _ in together])
+    assert [list(memoryview(ids).cast("I")) for ids in got] == [ids for _, ids in together]
+
+
+def test_a_full_cache_changes_nothing(coder, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 30)
+    draw = random.Random(6)
+    for _ in range(40):
+        texts = [" ".join("".join(draw.choices("thein", k=draw.randint(1, 5))) for _ in range(20)) + " " + "x" * 90 for _ in range(3)]
+        assert [list(memoryview(ids).cast("I")) for ids in coder.encode_texts(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert len(coder.known) < 100 and not any(len(p) > 64 for p in coder.known)
 
 
 def test_null_repeated_and_clashing_rows(spark):
