@@ -8,9 +8,10 @@ similarity of their weights: sum of minima over sum of maxima. r * b and r * (1
 first, as two exponential variables u and v; where t = 0, so for weight one always, the key is then c * exp(-v).
 
 A null text is empty. An empty text has no sample: its fingerprint is that of null samples, equal
-to other empty texts' and unlike any other. Rows follow each other by (doc_id, row); a row without
-id comes first, repeated rows are rows like others, and the last row is followed by the first. A
-single row follows itself. An empty table gives an empty result. Only id and text are used.
+to other empty texts' and unlike any other. Rows follow each other by (doc_id, hash of the text); a
+row without id comes first, repeated rows are rows like others, and the last row is followed by the first. A
+single row follows itself. An empty table gives an empty result, a very long text is a row like others.
+Only id and text are used, and nothing depends on where the input's rows lie.
 """
 
 from __future__ import annotations
@@ -49,33 +50,37 @@ def sample_key(h: Column, log_weight: Column, k: Column) -> Column:
 
 
 def next_rows(docs: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, text) with a ``block`` that follows the order of (doc_id, row), plus ghosts.
+    """Rows (doc_id, text, h) with a ``block`` that follows the order of (doc_id, h), plus ghosts.
 
     A ghost is the first row of a block, given to the block before it as its last row (and the first
     block's to the last one), so that in each block each row but the ghost has its next row.
     """
-    count = docs.count()
+    count, unnamed = docs.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     cuts = max(1, min(MOST_CUTS, blocks(count, ROWS_PER_BLOCK)))
     within = blocks(blocks(count, cuts), ROWS_PER_BLOCK)
     at = ", ".join(repr(i / cuts) for i in range(cuts + 1))
     bounds = docs.selectExpr(f"percentile_approx(doc_id, array({at}), 10000) AS b").first().b or [0] * (cuts + 1)
-    # each range between two cut points, and in it an even cut
+    # each range between two cut points, and in it an even cut; rows without id go by their hash
     pairs = sorted(set(zip(bounds, bounds[1:])))
     lows = F.array(*(F.lit(lo).cast("long") for lo, _ in pairs))
     width = F.array(*(F.lit((max(0, hi - lo) + 1) / within) for lo, hi in pairs))
     q = F.greatest(F.lit(0), F.size(F.filter(lows, lambda b: b <= F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))))) - 1)
     marked = docs.withColumn("q", q.cast("int"))
-    inside = F.floor((F.coalesce(F.col("doc_id"), F.get(lows, F.col("q"))) - F.get(lows, F.col("q"))) / F.get(width, F.col("q")))
-    blocked = marked.withColumn("block", F.col("q") * within + F.greatest(F.lit(0), F.least(F.lit(within - 1), inside))).drop("q")
-    firsts = blocked.groupBy("block").agg(F.min(F.struct(F.col("doc_id"), F.col("row"))).alias("f"))
+    inside = F.floor((F.col("doc_id") - F.get(lows, F.col("q"))) / F.get(width, F.col("q")))
+    named = F.col("q") * within + F.greatest(F.lit(0), F.least(F.lit(within - 1), inside))
+    by_hash = F.shiftright("h", 40) + (1 << 23)  # from 0 to 2 ** 24
+    nameless = F.floor(by_hash * blocks(unnamed, ROWS_PER_BLOCK) / float(1 << 24)) - blocks(unnamed, ROWS_PER_BLOCK)
+    blocked = marked.withColumn("block", F.when(F.col("doc_id").isNull(), nameless).otherwise(named).cast("long")).drop("q")
+    firsts = blocked.groupBy("block").agg(F.min(F.struct("doc_id", "h")).alias("f"))
     before = F.lag("block").over(Window.orderBy("block"))
     last = firsts.agg(F.max("block")).first()[0]
-    ghosts = firsts.select(F.col("f.row").alias("row"), F.coalesce(before, F.lit(last)).alias("ghost"))
-    ghosts = F.broadcast(ghosts) if len(pairs) * within <= 1 << 16 else ghosts  # two numbers a block
-    both = F.array(F.struct(F.col("block"), F.lit(False).alias("is_ghost"), F.lit(0).alias("turn")), F.struct(F.col("ghost").alias("block"), F.lit(True).alias("is_ghost"), F.lit(1).alias("turn")))
-    placed = blocked.join(ghosts, "row", "left").withColumn("at", F.explode(F.filter(both, lambda x: x["block"].isNotNull())))
+    ghosts = firsts.select("block", F.col("f.h").alias("h"), F.col("f.doc_id").alias("first_id"), F.coalesce(before, F.lit(last)).alias("ghost"))
+    ghosts = F.broadcast(ghosts) if len(pairs) * within + blocks(unnamed, ROWS_PER_BLOCK) <= 1 << 16 else ghosts  # some numbers a block
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id"))
+    both = F.array(F.struct(F.col("block"), F.lit(False).alias("is_ghost"), F.lit(0).alias("turn")), F.struct(F.when(is_first, F.col("ghost")).alias("block"), F.lit(True).alias("is_ghost"), F.lit(1).alias("turn")))
+    placed = blocked.join(ghosts, ["block", "h"], "left").withColumn("at", F.explode(F.filter(both, lambda x: x["block"].isNotNull())))
     # the filter takes nothing out; a join above would add it to one side only, and the sides would not share their exchange
-    return placed.where("at.block is not null").select("row", "doc_id", "text", "at.block", "at.is_ghost", "at.turn")
+    return placed.where("at.block is not null").select("h", "doc_id", "text", "at.block", "at.is_ghost", "at.turn")
 
 
 # No checkpoint goes into the rows that are dealt by block: a plan over one is not recognised as the same, and the texts would be shuffled twice.
@@ -85,8 +90,9 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows (block, row, is_ghost, turn, doc_id, text, edited), dealt by block."""
     rows = next_rows(docs)
     rows = rows.repartition(F.col("block")) if partitions is None else rows.repartition(partitions, "block")
-    order = Window.partitionBy("block").orderBy("turn", "doc_id", "row")
-    seen = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("n_chars", F.char_length("text").cast("long"))
+    order = Window.partitionBy("block").orderBy("turn", "doc_id", "h")
+    # rows of one id and text may change places, but are the same in all that is made of them
+    seen = rows.withColumn("row", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).drop("h").withColumn("n_chars", F.char_length("text").cast("long"))
     take = F.expr("cast(n_chars div 4 as int)")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - take).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), take))
     return seen.withColumn("edited", edited).drop("next_text")
@@ -127,12 +133,12 @@ def as_text(fp: Column) -> Column:
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text, of the text with its last quarter replaced by the next one's start, and their likeness."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     texts = with_next(rows)
     prints = weighted_samples(texts.select("block", "row", "turn", "text", F.when(F.col("is_ghost"), F.lit("")).otherwise(F.col("edited")).alias("edited")), samples)
     facts = texts.select("block", "row", "turn", "is_ghost", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     known = facts.join(prints, ["block", "row", "turn"], "left")
-    order = Window.partitionBy("block").orderBy("turn", "doc_id", "row")
+    order = Window.partitionBy("block").orderBy("row")
     out = known.withColumn("next_fp", F.lead("fp").over(order)).where("not is_ghost")
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 

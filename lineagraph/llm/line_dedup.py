@@ -8,14 +8,15 @@ hash occurs more than once are compared byte by byte; of each that is equal, the
 
 A null text stays null, an empty one empty; texts of one line have no multi-line chunk and stay.
 Repeated rows are texts like others: the later copy loses its chunks. Ties of the rolling hash go to
-the left line. Rows without id come first in the order. An empty table gives an empty result. The
-columns of the input are kept, in a struct on the way, so clashing names do no harm; a very long text
-is taken whole.
+the left line. Rows without id come first in the order, rows of one id by a hash of their texts. Rows of
+one id and text are told apart only at the end, so nothing depends on where the input's rows lie. An empty
+table gives an empty result. The columns of the input are kept, in a struct on the way, so clashing
+names do no harm; a very long text is taken whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineagraph.llm.common import documents, materialize
@@ -53,21 +54,27 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     return begun.withColumn("_chunks", F.transform("_starts", chunk)).drop("_lines", "_hashes", "_rolling", "_starts")
 
 
-def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str = "_row") -> DataFrame:
-    """(_row, _removed): places of the chunks that repeat an earlier one, for rows that have any."""
+#: Hashes of a row's id and of its text.
+ROW = ["_row", "_hash"]
+
+
+def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(_row, _hash, _removed): places of the chunks that repeat an earlier one, for rows that have any; and (_row, _hash) of texts that one id has more than once."""
     multi = F.locate("\n", F.col("c")) > 0
     # the outer form: Spark filters before a plain explode by the exploded expression, with all that it is made of put in again
-    by_chunk = chunked(docs.select(row, text), text).select(row, F.posexplode_outer("_chunks").alias("p", "c"))
-    keyed = materialize(by_chunk.where(multi).select(row, "p", F.xxhash64("c").alias("h")))
+    by_chunk = chunked(docs.select(*ROW, text), text).select(*ROW, F.posexplode_outer("_chunks").alias("p", "c"))
+    keyed = materialize(by_chunk.where(multi).select(*ROW, "p", F.xxhash64("c").alias("h")))
     twice = keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = keyed.join(twice, "h").groupBy(row).agg(F.collect_set("p").alias("_places"))
+    places = keyed.join(twice, "h").groupBy(*ROW).agg(F.collect_set("p").alias("_places"))
     # the bytes of those chunks only
-    held = docs.select(row, F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(places, row)
-    texts = chunked(held, "_text").select(row, "_id", F.explode("_places").alias("p"), "_chunks").select(row, "_id", "p", F.get("_chunks", F.col("p")).alias("c"))
+    held = docs.select(*ROW, F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(places, ROW)
+    texts = chunked(held, "_text").select(*ROW, "_id", F.explode("_places").alias("p"), "_chunks").select(*ROW, "_id", "p", F.get("_chunks", F.col("p")).alias("c"))
     texts = materialize(texts.withColumn("h", F.xxhash64("c")))
-    firsts = texts.groupBy("h", "c").agg(F.min(F.struct("_id", row, "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("fh"), F.col("c").alias("fc"), "first")
-    later = texts.join(firsts, (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))).where(~F.struct("_id", row, "p").eqNullSafe(F.col("first")))
-    return later.groupBy(row).agg(F.collect_set("p").alias("_removed"))
+    firsts = texts.groupBy("h", "c").agg(F.min(F.struct("_id", *ROW, "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("fh"), F.col("c").alias("fc"), "first")
+    later = texts.join(firsts, (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))).where(~F.struct("_id", *ROW, "p").eqNullSafe(F.col("first")))
+    # a text of several lines has its first chunk here
+    copied = keyed.where("p = 0").groupBy(*ROW).agg(F.count("*").alias("n")).where("n > 1").select(*ROW)
+    return later.groupBy(*ROW).agg(F.collect_set("p").alias("_removed")), copied
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,9 +82,17 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     # the other columns travel in a struct, so that no working column has their name
     others = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text))
-    rows = docs.select(others.alias("others"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("_row"))
-    removed = repeated_chunks(rows)
-    cut = chunked(rows.join(removed, "_row", "left"))
+    rows = docs.select(others.alias("others"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.select("*", F.xxhash64("doc_id").alias("_row"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("_hash"))
+    removed, copied = repeated_chunks(rows)
+    marked = rows.withColumn("_again", F.lit(False))
+    if copied.limit(1).count():
+        # the first copy keeps what is first there, the others keep no chunk
+        copies = rows.join(copied, ROW).withColumn("_again", F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(0))) > 1)
+        marked = marked.join(copied, ROW, "left_anti").unionByName(copies)
+    cut = chunked(marked.join(removed, ROW, "left"))
+    every = F.filter(F.sequence(F.lit(0), F.size("_chunks") - 1), lambda i: F.locate("\n", F.get("_chunks", i)) > 0)
+    cut = cut.withColumn("_removed", F.when(F.col("_again"), every).otherwise(F.col("_removed")))
     left = F.filter("_chunks", lambda c, i: ~F.array_contains("_removed", i))
     lines = lambda t: F.coalesce(F.size(_lines(t)), F.lit(0))
     gone = F.aggregate(F.filter("_chunks", lambda c, i: F.array_contains("_removed", i)), F.lit(0), lambda n, c: n + F.size(_lines(c)))
