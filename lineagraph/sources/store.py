@@ -15,12 +15,6 @@ TABLES = {
                o.start, o.finish, c_nationkey AS experiment_id, concat('run ', lower(c_mktsegment)) AS command,
                CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey - c_custkey % 3 END AS inherited_id
         FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS start, max(o_orderdate) AS finish FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey""",
-    "activation": """
-        SELECT trial_id, id, name, code_block_id, start_checkpoint, finish_checkpoint, line, place,
-               CASE WHEN place > 0 THEN first_value(id) OVER (PARTITION BY trial_id, (place + 1) {div} 2 - CASE WHEN place = 0 THEN 1 ELSE 0 END ORDER BY place) END AS unused_id
-        FROM (SELECT o_custkey AS trial_id, o_orderkey AS id, o_orderpriority AS name, o_orderkey % 50 AS code_block_id, o_orderkey * 10 AS start_checkpoint,
-                     o_orderkey * 10 + CAST(floor(o_totalprice) AS BIGINT) % 90 AS finish_checkpoint, o_orderkey % 7 AS line,
-                     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders) a""",
     "evaluation": """
         SELECT o_custkey AS trial_id, l_orderkey * 100 + n AS id, n AS checkpoint, l_partkey AS code_component_id, l_orderkey AS activation_id,
                CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) AS repr, l_returnflag AS flag, l_linestatus AS line_status
@@ -33,6 +27,9 @@ TABLES = {
     "dependency": """
         SELECT trial_id, id AS dependent_id, lag(id) OVER (PARTITION BY activation_id ORDER BY id) AS dependency_id, activation_id,
                CASE flag WHEN 'A' THEN 'argument' WHEN 'N' THEN 'assignment' ELSE 'use' END AS type, line_status = 'O' AS reference FROM evaluation""",
+    "statement": """
+        SELECT trial_id, id, id AS line, code_component_id % 4 AS col, CASE code_component_id % 13 WHEN 0 THEN 'if' WHEN 1 THEN 'elif' WHEN 2 THEN 'else' WHEN 3 THEN 'for' WHEN 4 THEN 'while'
+               WHEN 5 THEN 'try' WHEN 6 THEN 'except' WHEN 7 THEN 'finally' WHEN 8 THEN 'function_def' WHEN 9 THEN 'return' ELSE 'call' END AS kind FROM evaluation""",
     "member": "SELECT user_id AS collection_id, event_type AS key, event_id AS member_id, ts AS checkpoint FROM events",
     "file_access": """
         SELECT user_id AS trial_id, event_id AS id, concat(CASE WHEN event_id % 4 = 0 THEN '/tmp/' ELSE '' END, 'file', event_id % 40, '.dat') AS name,
@@ -56,7 +53,7 @@ TABLES["activation"] = """
                      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders""",
 ).replace("{{div}}", "{div}")
 
-_NEEDS = {"dependency": ("evaluation",)}
+_NEEDS = {"dependency": ("evaluation",), "statement": ("evaluation",)}
 
 
 def spark_sql(name: str) -> str:
@@ -95,6 +92,7 @@ class Store:
     evaluation = cached_property(lambda self: self.table("evaluation"))
     code_component = cached_property(lambda self: self.table("code_component"))
     dependency = cached_property(lambda self: self.table("dependency"))
+    statement = cached_property(lambda self: self.table("statement"))
     member = cached_property(lambda self: self.table("member"))
     file_access = cached_property(lambda self: self.table("file_access"))
     environment_attr = cached_property(lambda self: self.table("environment_attr"))
