@@ -297,12 +297,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     of five min-hashes, of twenty, are compared, first by the 144 bits of their SimHashes over the
     set, then by the sets themselves. A pair of
     Jaccard similarity 0.8 shares a band with a probability of 0.9996, one of 0.85 of 0.99999.
-    A member of a bucket is not compared with those that other links connect it with already. In
+    Ids that have texts of several sets are left alone: none of their rows is in a group. A member of a
+    bucket is not compared with those that other links connect it with already. In
     buckets over ``PAIRS_UP_TO`` members that share ten min-hashes, one that is connected with the
     member that it is compared with is not compared with further ones there.
     """
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     marked = materialize(wide_fingerprints(known, width))
+    of_id = F.struct("d0", "d1")
+    several = materialize(marked.groupBy("doc_id").agg(F.min(of_id).alias("a"), F.max(of_id).alias("b")).where("a <> b").select("doc_id"))
+    if several.limit(1).count():
+        marked, known = (t.join(several, "doc_id", "left_anti") for t in (marked, known))
     nodes = materialize(marked.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("f0", "f1", "f2", "keys"))))
     side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f"f{i}").alias(f"{c}{i}") for i in range(3)))
     apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, 3)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
@@ -317,7 +322,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which none earlier is a near-duplicate; rows without id stay, repeated rows of one id too."""
+    """The documents of which none earlier is a near-duplicate.
+
+    Rows without id stay, and so do all rows of an id that has several texts; repeated rows of one id
+    and text stay or go together. Null and empty texts are one text. Other columns may have any name.
+    """
     name = fresh(docs.columns, "gone")
     gone = near_duplicates(docs, **options).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col(options.get("doc_id", "doc_id")) == F.col(name), "left_anti")

@@ -2,7 +2,7 @@
 
 import random
 
-from lineagraph.llm.simhash import near_duplicates, similar_pairs
+from lineagraph.llm.simhash import drop_near_duplicates, near_duplicates, similar_pairs
 
 
 def shingles(words):
@@ -56,3 +56,11 @@ def test_large_buckets_leave_nobody_waiting(spark):
     links = similar_pairs(nodes, lambda pairs: pairs.where("u % 25 = v % 25")).collect()
     assert {(r.u % 25, r.v % 25) for r in links} == {(k, k) for k in range(25)}
     assert len({n for r in links for n in (r.u, r.v)}) == 100
+
+
+def test_ids_with_several_texts_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, 0), (3, a, 1), (3, b, 2), (4, b, 3), (5, b, 4), (5, b, 5), (None, a, 6), (None, a, 7), (6, None, 8), (7, "", 9)]
+    got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, gone long")).collect()
+    assert sorted(r.gone for r in got) == [0, 1, 2, 3, 6, 7, 8]
+    assert drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
