@@ -187,4 +187,4 @@ query("his_04_by_version", "tag", "SELECT array_to_string(string_split(name, '.'
 query("lin_01_through_members", "member evaluation dependency", DEP + ", v AS (SELECT collection_id, member_id, checkpoint AS since, lead(checkpoint) OVER (PARTITION BY collection_id, key ORDER BY checkpoint, member_id) AS until FROM member), walk AS (SELECT member_id AS src, collection_id AS node, checkpoint AS at FROM member UNION (SELECT w.src, v.member_id, w.at FROM walk w JOIN v ON v.collection_id = w.node AND v.since <= w.at AND (v.until IS NULL OR w.at < v.until) UNION ALL SELECT w.src, d.dependency_id, w.at FROM walk w JOIN dep d ON d.dependent_id = w.node)) SELECT src, node, \"at\" FROM walk")(
     lambda s: li.derivation_through_members(s.member, s.member.select(F.col("member_id").alias("src"), F.col("collection_id").alias("node"), F.col("checkpoint").alias("at")), s.dependency)
 )
-from lineagraph.plans import dataflow, flow, lookups, trees  # noqa: E402, F401  (they register their queries)
+from lineagraph.plans import dataflow, exports, flow, lookups, trees  # noqa: E402, F401  (they register their queries)
