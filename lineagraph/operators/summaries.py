@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagraph.functions.scalars import reads, writes
+from lineagraph.operators.alignment import common_subsequences
 from lineagraph.operators.closure import ancestors
 from lineagraph.operators.trees import label_paths
 
@@ -74,39 +73,6 @@ def diff_sets(table: DataFrame, first: int, second: int, name: str, key: list[st
     return both.select("name", F.explode(kinds).alias("x")).select("name", "x.kind", "x.n").where("n > 0")
 
 
-def common_subsequences(lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, other_id, place, other_place): a longest common subsequence of two lists each, as places from 0.
-
-    ``lists`` has (id, place, value), ``pairs`` (id, other_id). Of equally long ones the places come early
-    in the first list. A pair's lists are compared in one task, in time and memory of their product.
-    """
-    rows = lists.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
-    both = pairs.join(rows, "id").join(rows.select(F.col("id").alias("other_id"), F.col("values").alias("other_values")), "other_id")
-
-    @F.pandas_udf("array<struct<place:int,other_place:int>>")
-    def matches(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y) -> list[dict]:
-            best = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)  # of what is left from two places on
-            for i in range(len(x) - 1, -1, -1):
-                for j in range(len(y) - 1, -1, -1):
-                    best[i, j] = best[i + 1, j + 1] + 1 if x[i] == y[j] else max(best[i + 1, j], best[i, j + 1])
-            i = j = 0
-            out = []
-            while i < len(x) and j < len(y):
-                if x[i] == y[j]:
-                    out.append({"place": i, "other_place": j})
-                    i, j = i + 1, j + 1
-                elif best[i, j + 1] >= best[i + 1, j]:
-                    j += 1
-                else:
-                    i += 1
-            return out
-
-        return pd.Series([one(list(x), list(y)) for x, y in zip(a, b)])
-
-    return both.select("id", "other_id", F.explode(matches("values", "other_values")).alias("m")).select("id", "other_id", "m.place", "m.other_place")
-
-
 def next_notebooks(cells: DataFrame) -> DataFrame:
     """(id, other_id): each notebook and the next one."""
     ids = cells.select(F.col("notebook_id").alias("id")).distinct()

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineagraph.operators import alignment as al
 from lineagraph.operators import dataflow as df
 from lineagraph.operators import evaluations as ev
 from lineagraph.operators import lineage as li
 from lineagraph.operators import lookups as lo
 from lineagraph.operators import summaries as su
-from lineagraph.plans.queries import DEP, _up, query
+from lineagraph.plans.queries import DEP, LCS, _up, query
 from lineagraph.sources import store as st
 from lineagraph.sources.store import Store
 
@@ -148,7 +149,23 @@ query(
         ev.activation_report(s.activation, s.evaluation).select("id", "line", "duration", "evaluations", "last_value"),
     )
 )
-query("dif_06_index_maps", "cell", None)(lambda s: su.common_subsequences(s.cell.select(F.col("notebook_id").alias("id"), F.col("position").alias("place"), F.col("role").alias("value")), su.next_notebooks(s.cell)))
+CODE = "CASE WHEN role = 'assistant' THEN '=' || trim(text) ELSE notebook_id || ' ' || position END"
+
+
+def merged_notebooks(s: Store) -> DataFrame:
+    """Each notebook merged with the next one as its history; what the assistant says is code."""
+    cells = s.cell.select(F.col("notebook_id").alias("id"), "position", "text", "role")
+    return al.merged_lists(cells, su.next_notebooks(s.cell), F.col("role") == "assistant")
+
+
+query("mrg_01_merged", "cell", None)(merged_notebooks)
+query(
+    "mrg_01_sizes",
+    "cell",
+    LCS.format(value=CODE) + ", own AS (SELECT notebook_id AS id, count(*) AS n, count(*) FILTER (role = 'assistant') AS code FROM cell GROUP BY 1) "
+    "SELECT c.id, o.n - o.code AS only_original, h.n - c.n AS only_history, c.n AS matched FROM common c JOIN own o ON o.id = c.id JOIN own h ON h.id = c.id + 1",
+)(lambda s: merged_notebooks(s).groupBy("id").agg(F.count(F.when(F.col("from_history").isNull(), 1)).alias("only_original"), F.count(F.when(F.col("from_original").isNull(), 1)).alias("only_history"), F.count(F.when(F.col("from_original").isNotNull() & F.col("from_history").isNotNull(), 1)).alias("matched")))
+query("dif_06_index_maps", "cell", None)(lambda s: al.common_subsequences(s.cell.select(F.col("notebook_id").alias("id"), F.col("position").alias("place"), F.col("role").alias("value")), su.next_notebooks(s.cell)))
 query(
     "his_04_group_distances",
     "trial tag",

@@ -180,7 +180,15 @@ query("sum_07_edge_counts", "activation", EDGES + "SELECT a.trial_id, a.name AS
 query("sum_08_duration_range", "activation", "SELECT trial_id, min(finish_checkpoint - start_checkpoint) AS least, max(finish_checkpoint - start_checkpoint) AS most FROM activation GROUP BY 1")(lambda s: su.duration_range(s.activation))
 query("dif_01_attributes", "trial", "SELECT attribute, before, after FROM (UNPIVOT (SELECT script AS script, status, CAST(experiment_id AS VARCHAR) AS experiment_id FROM trial WHERE id = 1) ON script, status, experiment_id INTO NAME attribute VALUE before) JOIN (UNPIVOT (SELECT script, status, CAST(experiment_id AS VARCHAR) AS experiment_id FROM trial WHERE id = 2) ON script, status, experiment_id INTO NAME attribute VALUE after) USING (attribute) WHERE before IS DISTINCT FROM after")(lambda s: su.diff_attributes(s.trial, "id", 1, 2, ["script", "status", "experiment_id"]))
 query("dif_03_environment", "environment_attr", ", a AS (SELECT name, value FROM environment_attr WHERE trial_id = 2 EXCEPT SELECT name, value FROM environment_attr WHERE trial_id = 1), r AS (SELECT name, value FROM environment_attr WHERE trial_id = 1 EXCEPT SELECT name, value FROM environment_attr WHERE trial_id = 2), b AS (SELECT name, coalesce(x.n, 0) AS x, coalesce(y.n, 0) AS y FROM (SELECT name, count(*) AS n FROM a GROUP BY 1) x FULL JOIN (SELECT name, count(*) AS n FROM r GROUP BY 1) y USING (name)) SELECT * FROM (SELECT name, 'replaced' AS kind, least(x, y) AS n FROM b UNION ALL SELECT name, 'added', x - least(x, y) FROM b UNION ALL SELECT name, 'removed', y - least(x, y) FROM b) WHERE n > 0")(lambda s: su.diff_sets(s.environment_attr, 1, 2, "name", ["value"]))
-query("dif_06_lcs", "cell", None)(lambda s: su.lcs_lengths(s.cell))
+#: Lengths of longest common subsequences, a row of the table of lengths at a time.
+LCS = (
+    ", lists AS (SELECT notebook_id AS id, list({value} ORDER BY position) AS v FROM cell GROUP BY 1), "
+    "pairs AS (SELECT a.id, b.id AS other_id, a.v AS a, b.v AS b FROM lists a JOIN lists b ON b.id = a.id + 1), "
+    "dp AS (SELECT id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS row FROM pairs UNION ALL SELECT id, a, b, i + 1, "
+    "list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND a[i + 1] = b[k - 1] THEN greatest(row[k], row[k - 1] + 1) ELSE row[k] END))) FROM dp WHERE i < len(a)), "
+    "common AS (SELECT id, row[len(b) + 1]::BIGINT AS n FROM dp WHERE i = len(a)) "
+)
+query("dif_06_lcs", "cell", LCS.format(value="role") + "SELECT id AS notebook_id, n AS common FROM common")(lambda s: su.lcs_lengths(s.cell))
 query("his_01_history_edges", "trial", _up("trial", "id", "parent_id") + "SELECT u.node AS id, arg_min(u.ancestor, u.depth) AS ancestor, min(u.depth) AS distance FROM up u JOIN trial a ON a.id = u.ancestor AND a.status = 'finished' JOIN trial n ON n.id = u.node AND n.status = 'finished' WHERE u.depth > 0 GROUP BY 1")(lambda s: su.history_edges(s.trial, s.trial.where("status = 'finished'")))
 query("his_02_distances", "trial", _up("trial", "id", "parent_id") + "SELECT node AS id, ancestor, depth AS distance FROM up WHERE depth > 0")(lambda s: su.trial_distances(s.trial))
 query("his_04_by_version", "tag", "SELECT array_to_string(string_split(name, '.')[1:2], '.') AS version, count(DISTINCT trial_id) AS trials, count(*) AS tags FROM tag WHERE type = 'AUTO' GROUP BY 1")(lambda s: su.history_by_version(s.tag))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineagraph.operators import dataflow as df
 from lineagraph.operators.lineage import navigate
-from lineagraph.operators.summaries import common_subsequences
+from lineagraph.operators.alignment import common_subsequences
 
 
 def walk_tables(spark):
