@@ -1,6 +1,8 @@
 """Walks along references and callers end on cycles."""
 
-from lineagraph.operators.closure import ancestors
+import random
+
+from lineagraph.operators.closure import ancestors, graph_closure
 from lineagraph.operators.evaluations import reference_roots
 
 
@@ -20,3 +22,32 @@ def test_a_deep_path(spark):
     tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "id long, up long")
     got = ancestors(tree, "id", "up")
     assert got.count() == 150 * 151 // 2 and got.where("depth <> node - ancestor").count() == 0
+
+
+def walk(seeds, edges, most=None):
+    """Breadth first, a source at a time."""
+    after, out = {}, {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for src in {s for s, _ in seeds}:
+        at, depth = {n for s, n in seeds if s == src}, 0
+        seen = dict.fromkeys(at, 0)
+        while at and depth != most:
+            depth += 1
+            at = {b for a in at for b in after.get(a, ())} - seen.keys()
+            seen |= dict.fromkeys(at, depth)
+        out |= {(src, n): d for n, d in seen.items()}
+    return out
+
+
+def test_one_way_down_and_many_ways(spark):
+    """Chains that double, the same with one edge more so that they are walked, and sources with several seeds."""
+    draw = random.Random(7)
+    down = [(n, draw.randrange(max(0, n - 3), n)) for n in range(1, 60) if draw.random() < 0.9]
+    single = [(s, draw.randrange(60)) for s in range(20)]
+    several = [(s % 4, draw.randrange(60)) for s in range(12)]
+    for edges, cases in ((down, [(single, None), (single, 5), (several, None), (single, 0)]), ([*down, (50, 3)], [(several, 5)]), ([*down, (0, 59)], [(single, None)]), ([], [(single, None)])):
+        for seeds, most in cases:
+            got = graph_closure(spark.createDataFrame(seeds, "src long, node long"), spark.createDataFrame(edges, "node long, next_node long"), most_rounds=most)
+            rows = [(r.src, r.node, r.depth) for r in got.collect()]
+            assert {(s, n): d for s, n, d in rows} == walk(seeds, edges, most) and len(rows) == len({r[:2] for r in rows})
