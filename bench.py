@@ -16,6 +16,7 @@ from lineagraph.plans.queries import QUERIES
 HEADLINE = [
     "lin_01_derivation", "lin_02_members_as_of", "lin_02_members_at", "lin_03_was_derived_from", "rul_30_slices", "rul_24_indirect_activations",
     "act_05_stacks", "sum_04_namespace_match", "sum_07_edge_counts", "eva_01_query_evaluations", "rul_14_lines_of_activations", "trl_13_versioned_files", "clu_09_propagated", "his_01_history_edges",
+    "lin_01_navigate", "lin_03_derived_from_all", "sum_04_graph_edges", "dif_07_tree_distances", "psp_06_control_flow", "rul_08_successor_ranges",
 ]
 
 

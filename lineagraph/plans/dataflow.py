@@ -211,4 +211,3 @@ query("col_02_annotations", "trial", "SELECT doc_id AS id, source AS experiment_
         s.source("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("experiment_id"), "lang", F.col("text").alias("annotation")).join(F.broadcast(s.source("documents").agg(F.min("source").alias("experiment_id"))), "experiment_id")
     ).select("id", "experiment_id", "lang")
 )
-query("pat_13_schema", "trial", None)(lambda s: st.schema_of({n: getattr(s, n) for n in ("trial", "activation", "evaluation", "dependency")}, s.spark))

@@ -20,7 +20,6 @@ query("scl_05_local", "file_access", "SELECT id, coalesce(NOT starts_with(name,
 query("scl_09_moments", "trial evaluation", "SELECT e.id, epoch(t.start)::BIGINT + e.checkpoint AS moment FROM evaluation e JOIN trial t ON e.trial_id = t.id")(lambda s: lo.moments(s.evaluation, s.trial))
 query("scl_10_activation_durations", "activation", "SELECT id, (finish_checkpoint - start_checkpoint) * 1000000 AS duration FROM activation")(lambda s: s.activation.select("id", ((F.col("finish_checkpoint") - F.col("start_checkpoint")) * 1000000).cast("long").alias("duration")))
 query("scl_16_partial_moments", "file_access", "SELECT id FROM file_access WHERE starts_with(strftime(checkpoint, '%Y-%m-%d %H:%M:%S'), '2024-01-1')")(lambda s: s.file_access.where(lo.matches_moment(F.col("checkpoint"), "2024-01-1")).select("id"))
-query("scl_18_between", "trial", "SELECT unnest(range(3, 10)) AS value")(lambda s: lo.between(s.spark, 3, 9))
 query("scl_19_member", "code_component", "SELECT id, type FROM code_component WHERE type IN ('PROMO', 'SMALL')")(lambda s: lo.member(s.code_component, "type", ("PROMO", "SMALL")).select("id", "type"))
 query("scl_20_once", "activation evaluation", "SELECT id FROM activation WHERE id IN (SELECT activation_id FROM evaluation WHERE flag = 'R')")(lambda s: lo.once(s.activation, s.evaluation.where("flag = 'R'").select(F.col("activation_id").alias("id")), "id").select("id"))
 
@@ -72,9 +71,6 @@ query("cbk_01_block_parts", "code_component", "SELECT container_id, CASE type WH
     lambda s: lo.block_parts(s.code_component, {"globals": "PROMO", "parameters": "SMALL", "calls": "LARGE"})
 )
 query("cbk_04_compositions", "code_component", "SELECT container_id AS whole_id, id AS part_id FROM code_component WHERE type NOT IN ('MEDIUM') AND NOT suffix(type, 'op_pos') AND container_id IS NOT NULL")(lambda s: lo.compositions(s.code_component, ["MEDIUM"]))
-query("cbk_06_marked_code", "evaluation dependency", DEP + ", " + SLICE.format(cond=" AND NOT starts_with(d.type, 'arg')").replace("FROM evaluation UNION", "FROM evaluation WHERE trial_id = 7 UNION") + "SELECT DISTINCT e.code_component_id AS id FROM walk w JOIN evaluation e ON e.id = w.node")(
-    lambda s: ru.backward_slices(s.dependency, s.evaluation.where("trial_id = 7")).select(F.col("node").alias("id")).join(s.evaluation.select("id", "code_component_id"), "id").select(F.col("code_component_id").alias("id")).distinct()
-)
 query("psp_01_code_order", "code_component", "SELECT id, row_number() OVER (ORDER BY first_char_line, first_char_column, id) AS place FROM code_component WHERE first_char_line <> -1")(lambda s: lo.code_order(s.code_component))
 query("psp_02_lines", "code_component", "SELECT id, first_char_line FROM code_component WHERE first_char_line >= 10 AND last_char_line <= 20")(lambda s: lo.codes_in_lines(s.code_component, 10, 20))
 query("psp_02_from_line", "code_component", "SELECT id, first_char_line FROM code_component WHERE first_char_line >= 40")(lambda s: lo.codes_in_lines(s.code_component, 40))
@@ -155,4 +151,4 @@ query(
 )(lambda s: lo.side_by_side(module=s.module.select(F.col("trial_id").alias("key"), F.col("name").alias("value")).distinct(), variable=s.environment_attr.select(F.col("trial_id").alias("key"), F.col("name").alias("value")).distinct()))
 query("his_03_filtered_nodes", "trial tag", "SELECT id, script, coalesce(g.tag, '') AS tag FROM trial LEFT JOIN (SELECT trial_id, max(name) AS tag FROM tag GROUP BY 1) g ON g.trial_id = id WHERE status = 'finished' AND script LIKE '%URNI%'")(lambda s: lo.history_nodes(s.trial, s.tag, "finished", "*URNI*"))
 query("his_06_enriched_nodes", "trial tag", "SELECT id, script, coalesce(g.tag, '') AS tag FROM trial LEFT JOIN (SELECT trial_id, max(name) AS tag FROM tag GROUP BY 1) g ON g.trial_id = id")(lambda s: lo.history_nodes(s.trial, s.tag, "*", "*"))
-query("msc_07_depths", "trial", _up("trial", "id", "parent_id") + "SELECT node AS id, max(depth) AS depth FROM up GROUP BY 1")(lambda s: ancestors(s.trial, "id", "parent_id").groupBy(F.col("node").alias("id")).agg(F.max("depth").alias("depth")))
+query("his_02_depths", "trial", _up("trial", "id", "parent_id") + "SELECT node AS id, max(depth) AS depth FROM up GROUP BY 1")(lambda s: ancestors(s.trial, "id", "parent_id").groupBy(F.col("node").alias("id")).agg(F.max("depth").alias("depth")))

@@ -117,7 +117,6 @@ query("psp_08_innermost", "code_component", "SELECT id, block_id FROM (SELECT c.
 # --- patterns and rules ---
 query("pat_03_conjunction", "evaluation code_component", f"SELECT DISTINCT c.name, e.repr {EC} WHERE e.flag = 'A'")(lambda s: ru.conjunction(ru.pattern(s.evaluation, code_component_id="?_c", repr="?repr", flag="A"), ru.pattern(s.code_component, id="?_c", name="?name")))
 query("rul_03_evaluation_name", "evaluation code_component", f"SELECT e.id, c.name {EC}")(lambda s: ev.query_evaluations(s.evaluation, s.code_component).select("id", "name"))
-query("rul_05_names", "activation code_component file_access", "SELECT 'activation' AS model, id, name FROM activation UNION ALL SELECT 'code', id, name FROM code_component UNION ALL SELECT 'access', id, name FROM file_access")(lambda s: ru.names(activation=s.activation, code=s.code_component, access=s.file_access))
 query(
     "rul_06_timestamps",
     "activation evaluation trial file_access",
@@ -195,4 +194,4 @@ query("his_04_by_version", "tag", "SELECT array_to_string(string_split(name, '.'
 query("lin_01_through_members", "member evaluation dependency", DEP + ", v AS (SELECT collection_id, member_id, checkpoint AS since, lead(checkpoint) OVER (PARTITION BY collection_id, key ORDER BY checkpoint, member_id) AS until FROM member), walk AS (SELECT member_id AS src, collection_id AS node, checkpoint AS at FROM member UNION (SELECT w.src, v.member_id, w.at FROM walk w JOIN v ON v.collection_id = w.node AND v.since <= w.at AND (v.until IS NULL OR w.at < v.until) UNION ALL SELECT w.src, d.dependency_id, w.at FROM walk w JOIN dep d ON d.dependent_id = w.node)) SELECT src, node, \"at\" FROM walk")(
     lambda s: li.derivation_through_members(s.member, s.member.select(F.col("member_id").alias("src"), F.col("collection_id").alias("node"), F.col("checkpoint").alias("at")), s.dependency)
 )
-from lineagraph.plans import dataflow, exports, flow, lookups, succession, trees  # noqa: E402, F401  (they register their queries)
+from lineagraph.plans import dataflow, exports, flow, lookups, reports, succession, trees  # noqa: E402, F401  (they register their queries)

@@ -24,6 +24,7 @@ TABLES = {
         SELECT p_partkey AS id, p_name AS name, p_type AS type, CASE WHEN p_size % 2 = 0 THEN 'w' ELSE 'r' END AS mode, p_size AS first_char_line,
                CAST(p_size + p_partkey % 5 AS INT) AS last_char_line, p_partkey % 20 AS first_char_column,
                CASE WHEN p_partkey > 0 THEN (p_partkey - 1) {div} 2 END AS container_id FROM part""",
+    "code_block": "SELECT p_partkey AS id, sha1(p_name) AS code_hash, p_brand AS docstring FROM part",
     "dependency": """
         SELECT trial_id, id AS dependent_id, lag(id) OVER (PARTITION BY activation_id ORDER BY id) AS dependency_id, activation_id,
                CASE flag WHEN 'A' THEN 'argument' WHEN 'N' THEN 'assignment' ELSE 'use' END AS type, line_status = 'O' AS reference FROM evaluation""",
@@ -91,6 +92,7 @@ class Store:
     activation = cached_property(lambda self: self.table("activation"))
     evaluation = cached_property(lambda self: self.table("evaluation"))
     code_component = cached_property(lambda self: self.table("code_component"))
+    code_block = cached_property(lambda self: self.table("code_block"))
     dependency = cached_property(lambda self: self.table("dependency"))
     statement = cached_property(lambda self: self.table("statement"))
     member = cached_property(lambda self: self.table("member"))
