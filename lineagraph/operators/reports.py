@@ -1,4 +1,4 @@
-"""Whole reports of activations, names and docstrings of all models, bundles, created tags and named lineage."""
+"""Whole reports of activations, names and docstrings of all models, bundles, created tags, named lineage and levels of a history."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineagraph.checkpoints import settle
 from lineagraph.operators.lineage import derivation
+from lineagraph.operators.reachability import chains
 
 #: Longer values of a named lineage are replaced.
 LONG_VALUE = 20
@@ -93,3 +95,26 @@ def accesses_of_path(trial: DataFrame, module: DataFrame, access: DataFrame, suf
     both = F.explode(F.array(F.struct(F.lit(0).alias("moment"), F.col("content_hash_before").alias("hash")), F.struct(F.lit(1).alias("moment"), F.col("content_hash_after").alias("hash"))))
     files = access.select("trial_id", F.lit(2).alias("part"), "id", F.col("name").alias("path"), both.alias("x")).select("trial_id", "part", "id", "x.moment", "path", "x.hash").where("hash is not null")
     return script.unionByName(modules).unionByName(files).where(F.col("path").endswith(suffix))
+
+
+def history_levels(trial: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, script, level): the line on which a drawing of the history puts each trial (id, script).
+
+    ``edges`` (id, parent) lead to the trial before. The newest of a trial's children goes on in its line if it is
+    of the same script; every other trial begins a line of its script. Scripts with several trials lie above one
+    another, that with the newest trial first, above a line for those with a single trial if there are such.
+    """
+    of = trial.select("id", "script").join(edges.select("id", "parent"), "id", "left")
+    above = trial.select(F.col("id").alias("parent"), F.col("script").alias("parent_script"))
+    newest = edges.groupBy("parent").agg(F.max("id").alias("newest"))
+    placed = of.join(above, "parent", "left").join(newest, "parent", "left").withColumn("goes_on", F.coalesce((F.col("parent_script") == F.col("script")) & (F.col("newest") == F.col("id")), F.lit(False)))
+    placed = settle(placed.select("id", "script", "parent", "goes_on"))
+    lines = chains(placed.select(F.col("id").alias("node")), placed.where("goes_on").select(F.col("id").alias("node"), F.col("parent").alias("next_node")))
+    begun = placed.where("not goes_on").select(F.col("id").alias("chain"), (F.row_number().over(Window.partitionBy("script").orderBy("id")) - 1).alias("lane"))
+    scripts = placed.groupBy("script").agg(F.count("*").alias("n"), F.max("id").alias("newest"), F.sum(F.when(~F.col("goes_on"), 1).otherwise(0)).alias("lanes"))
+    sized = scripts.withColumn("lanes", F.when(F.col("n") > 1, F.col("lanes")).otherwise(0))
+    order = Window.orderBy(F.col("newest").desc())  # a row a script
+    below = F.coalesce(F.sum("lanes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    singles = F.max(F.when(F.col("n") == 1, 1).otherwise(0)).over(Window.partitionBy())
+    stacked = sized.select("script", F.when(F.col("n") > 1, below + singles).otherwise(0).alias("offset"))
+    return placed.join(lines.withColumnRenamed("node", "id"), "id").join(begun, "chain").join(stacked, "script").select("id", "script", (F.col("lane") + F.col("offset")).cast("long").alias("level"))

@@ -135,3 +135,12 @@ query(
     lambda s: s.module.select("id").join(s.code_block.select("id", "code_hash"), "id", "left").select(F.lit("module").alias("model"), "id", F.col("code_hash").alias("code"), F.lit(None).cast("string").alias("str_start"), F.lit(None).cast("string").alias("str_finish"))
     .unionByName(s.trial.select(F.lit("trial").alias("model"), "id", F.lit(None).cast("string").alias("code"), *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f"str_{c}") for c in ("start", "finish"))))
 )
+query(
+    "his_05_levels",
+    "trial",
+    ", newest AS (SELECT parent_id, max(id) AS id FROM trial WHERE parent_id IS NOT NULL GROUP BY 1), p AS (SELECT t.id, t.script, t.parent_id, coalesce(u.script = t.script AND n.id = t.id, false) AS goes_on FROM trial t LEFT JOIN trial u ON u.id = t.parent_id LEFT JOIN newest n ON n.parent_id = t.parent_id), "
+    "begun AS (SELECT id, script, row_number() OVER (PARTITION BY script ORDER BY id) - 1 AS lane FROM p WHERE NOT goes_on), line AS (SELECT id, script, lane FROM begun UNION ALL SELECT p.id, p.script, l.lane FROM line l JOIN p ON p.parent_id = l.id AND p.goes_on), "
+    "scripts AS (SELECT script, count(*) AS n, max(id) AS newest, CASE WHEN count(*) > 1 THEN count(*) FILTER (NOT goes_on) ELSE 0 END AS lanes FROM p GROUP BY 1), "
+    "stacked AS (SELECT script, CASE WHEN n > 1 THEN coalesce(sum(lanes) OVER (ORDER BY newest DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + max(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER () ELSE 0 END AS off FROM scripts) "
+    "SELECT l.id, l.script, (l.lane + s.off)::BIGINT AS level FROM line l JOIN stacked s USING (script)",
+)(lambda s: re.history_levels(s.trial, s.trial.where("parent_id is not null").select("id", F.col("parent_id").alias("parent"))))

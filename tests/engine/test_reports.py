@@ -1,5 +1,7 @@
 """Created tags, named lineage, bundles, docstrings and accesses of a path on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lineagraph.operators import reports as re
@@ -38,3 +40,48 @@ def test_bundle_and_docstrings(spark):
     calls = spark.createDataFrame([(7, "f", 1)], "id long, name string, code_block_id long")
     told = re.docstrings(block, calls, spark.createDataFrame([(1, "def f"), (2, "g"), (3, "h")], "id long, name string"))
     assert sorted((r.model, r.id, r.docstring) for r in told.where("docstring is not null").collect()) == [("activation", 7, "doc"), ("code_block", 1, "doc"), ("code_component", 1, "doc"), ("evaluation", 7, "doc")]
+
+
+def levels(trials, parent):
+    """The sequential rule: scripts by their newest trial, trials from the oldest on, lines counted up."""
+    children, scripts, order = {}, {}, []
+    for i, script in sorted(trials.items(), reverse=True):
+        if i in parent:
+            children.setdefault(parent[i], []).append(i)
+        if script not in order:
+            order.append(script)
+    for i, script in sorted(trials.items()):
+        scripts.setdefault(script, []).append(i)
+    out, lines = {}, [[0, None]]
+    for script in order:
+        level = 0
+        for i in scripts[script]:
+            if i not in parent or trials[parent[i]] != script or children[parent[i]].index(i) > 0:
+                out[i] = level
+            else:
+                out[i] = out[parent[i]]
+            level = max(level, out[i] + 1)
+        if len(scripts[script]) == 1:
+            if lines[0][0] == 0:
+                lines[0][0] = 1
+                for line in lines[1:]:
+                    line[0] += 1
+                    for i in scripts[line[1]]:
+                        out[i] += 1
+        else:
+            total = lines[-1][0]
+            lines.append([total + level, script])
+            for i in scripts[script]:
+                out[i] += total
+    return out
+
+
+def test_history_levels(spark):
+    draw = random.Random(5)
+    for scripts in ("abc", "aaab", "abcdefghijkl"):
+        trials = {i: draw.choice(scripts) for i in range(1, 60)}
+        parent = {i: draw.randrange(max(1, i - 5), i) for i in range(2, 60) if draw.random() < 0.9}
+        got = re.history_levels(spark.createDataFrame(list(trials.items()), "id long, script string"), spark.createDataFrame(list(parent.items()), "id long, parent long"))
+        assert {r.id: r.level for r in got.collect()} == levels(trials, parent)
+    none = spark.createDataFrame([], "id long, script string")
+    assert re.history_levels(none, spark.createDataFrame([], "id long, parent long")).count() == 0
