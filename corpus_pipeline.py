@@ -16,7 +16,7 @@ from lineagraph.checkpoints import shared_folder
 from lineagraph.llm.common import documents, prepare
 from lineagraph.llm.line_dedup import line_dedup
 from lineagraph.llm.packing import packed_digest
-from lineagraph.llm.simhash import drop_near_duplicates
+from lineagraph.llm.simhash import first_of_components
 from lineagraph.llm.substring_dedup import cut_repeats, repeated_passages
 from lineagraph.llm.toxicity import score, train_for
 
@@ -39,9 +39,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first by id, of each group of near-duplicates."""
+    """One document, the first by id, of each SimHash component of ``op6_simhash``: links of two or fewer differing bits."""
     prepare(spark)
-    return drop_near_duplicates(docs).select(*COLUMNS)
+    return first_of_components(docs).select(*COLUMNS)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,9 +112,8 @@ def fingerprint_links(nodes: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataF
     return links.distinct()
 
 
-def simhash_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): links join fingerprints at two or fewer differing bits; the id is the least doc_id of the component."""
-    marked = materialize(fingerprints(docs, width, doc_id, text))
+def fingerprint_components(marked: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp) with component_id, the least doc_id that links of fingerprints at two or fewer differing bits reach."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
     links = fingerprint_links(nodes.select("fp"))
     named = links.join(nodes.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
@@ -123,6 +122,25 @@ def simhash_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id",
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
+def simhash_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): links join fingerprints at two or fewer differing bits; the id is the least doc_id of the component."""
+    return fingerprint_components(materialize(fingerprints(docs, width, doc_id, text)))
+
+
+def first_of_components(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents of the least id in their SimHash component (``simhash_components``).
+
+    Rows without id stay, and so do all rows of an id that has several fingerprints, which links nothing;
+    repeated rows stay or go together. Null and empty texts are one text. Other columns may have any name.
+    """
+    marked = materialize(fingerprints(docs.where(F.col(doc_id).isNotNull()), width, doc_id, text))
+    several = marked.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
+    marked = materialize(marked.join(several, "doc_id", "left_anti"))
+    name = fresh(docs.columns, "gone")
+    gone = fingerprint_components(marked).where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir), width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
