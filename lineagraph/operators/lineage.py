@@ -106,33 +106,45 @@ def navigate(
     """
     own = settle(evaluation.select("id", F.col("checkpoint").alias("own")))
     kept = dependency if arguments else dependency.where("type <> 'argument'")
-    edges = kept.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("id")).distinct().join(own, "id")
-    edges = settle(edges.select("node", F.col("id").alias("next_node"), F.col("own").alias("next_at")))
-    versions = None if member is None else settle(member_intervals(member))
-    calls = None if called is None else settle(called.select(F.col("id").alias("node"), "call_id").join(own.withColumnRenamed("id", "call_id"), "call_id"))
-    keys = ["src", "node", "at", "is_call"]
-    frontier = settle(seeds.select("src", F.col("node").alias("id")).distinct().join(own, "id").select("src", F.col("id").alias("node"), F.col("own").alias("at"), F.lit(False).alias("is_call")))
+    blank = F.lit(None).cast(own.schema["own"].dataType)
+    # what leads on from a node: with the next one's own moment, or with that of the context as long as a version holds
+    ways = kept.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("id")).distinct().join(own, "id")
+    ways = ways.select("node", F.col("id").alias("next_node"), F.col("own").alias("next_at"), blank.alias("since"), blank.alias("until"))
+    if member is not None:
+        versions = member_intervals(member).where("since is not null").select(F.col("collection_id").alias("node"), F.col("member_id").alias("next_node"), blank.alias("next_at"), "since", "until")
+        ways = ways.unionByName(versions)
+    ways = settle(ways)
+    keys = ["src", "node", "at"]
+    start = seeds.select("src", F.col("node").alias("id")).distinct().join(own, "id")
+    frontier = settle(start.select("src", F.col("id").alias("node"), F.col("own").alias("at")))
     seen, rounds = frontier, 0
+    of_calls = None if called is None else settle(called.select(F.col("id").alias("node"), "call_id").join(own.withColumnRenamed("id", "call_id"), "call_id"))
+    made_calls = lambda walk: walk.join(of_calls, "node").select("src", F.col("call_id").alias("node"), F.col("own").alias("at")).distinct()
+    calls = None  # no step goes on from them, so where all walk to the end they are made once
     open_ = None if stop_on is None else settle(stop_on.select("src", "node").distinct())  # what is still to be reached
     asked = None if open_ is None else open_.select("src").distinct()
     while True:
-        walk = frontier.where("not is_call")
+        walk = frontier
         if open_ is not None:
             if rounds:
-                open_ = settle(open_.join(frontier.select("src", "node"), ["src", "node"], "left_anti"))
-            walk = walk.join(asked.join(open_, "src", "left_anti"), "src", "left_anti")
-        step = walk.join(edges, "node").select("src", F.col("next_node").alias("node"), F.col("next_at").alias("at"), F.lit(False).alias("is_call"))
-        if calls is not None:
-            step = step.unionByName(walk.join(calls, "node").select("src", F.col("call_id").alias("node"), F.col("own").alias("at"), F.lit(True).alias("is_call")))
-        if versions is not None:
-            inside = walk.join(versions, F.col("node") == F.col("collection_id")).where("since <= at and (until is null or at < until)")
-            step = step.unionByName(inside.select("src", F.col("member_id").alias("node"), "at", "is_call"))
+                reached = frontier.select("src", "node") if calls is None else frontier.select("src", "node").unionByName(calls.select("src", "node"))
+                open_ = settle(open_.join(reached, ["src", "node"], "left_anti"))
+            walk = settle(walk.join(asked.join(open_, "src", "left_anti"), "src", "left_anti"))
+        if of_calls is not None and open_ is not None:
+            made = settle(made_calls(walk))
+            calls = made if calls is None else calls.unionByName(made)
+        step = walk.join(ways, "node").where("since is null or since <= at and (until is null or at < until)")
+        step = step.select("src", F.col("next_node").alias("node"), F.when(F.col("since").isNull(), F.col("next_at")).otherwise(F.col("at")).alias("at"))
         frontier = settle(step.distinct().join(seen, keys, "left_anti"))
         if not frontier.limit(1).count():
-            return seen
+            break
         seen, rounds = seen.unionByName(frontier), rounds + 1
         if rounds % UNIONED == 0:
             seen = settle(seen)
+    found = seen.withColumn("is_call", F.lit(False))
+    if of_calls is None:
+        return found
+    return found.unionByName((made_calls(seen) if calls is None else calls.distinct()).withColumn("is_call", F.lit(True)))
 
 
 def marked_edges(dependency: DataFrame, visited: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineagraph.checkpoints import stored
+
 #: Each provenance table as a query on the source tables. ``{div}`` is whole division, ``{key}`` the value k of props.
 TABLES = {
     "trial": """
@@ -70,12 +72,15 @@ def duck_sql(*names: str) -> str:
 
 
 class Store:
-    """Provenance tables over a folder of source tables; each is a lazy DataFrame."""
+    """Provenance tables over a folder of source tables; each is a lazy DataFrame.
+
+    Those in ``kept`` are projected once and read from Parquet in the shared folder afterwards.
+    """
 
     SOURCES = ("customer", "orders", "lineitem", "part", "supplier", "events", "documents", "conversations")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, kept: tuple[str, ...] = ()):
+        self.spark, self.folder, self.kept = spark, folder, kept
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -83,10 +88,11 @@ class Store:
     def table(self, name: str) -> DataFrame:
         text = spark_sql(name)
         frames = {n: self.source(n) for n in self.SOURCES if n in text}
-        frames |= {n: self.table(n) for n in _NEEDS.get(name, ())}
+        frames |= {n: getattr(self, n) for n in _NEEDS.get(name, ())}
         for n in frames:
             text = _word(text, n, "{" + n + "}")
-        return self.spark.sql(text, **frames) if name != "dependency" else self.spark.sql(text, **frames).where("dependency_id IS NOT NULL")
+        rows = self.spark.sql(text, **frames) if name != "dependency" else self.spark.sql(text, **frames).where("dependency_id IS NOT NULL")
+        return stored(rows) if name in self.kept else rows
 
     trial = cached_property(lambda self: self.table("trial"))
     activation = cached_property(lambda self: self.table("activation"))

@@ -74,3 +74,11 @@ def test_joined_attributes_keep_the_first(spark):
     got = {r.id: r.attributes for r in df.joined_attributes(a, b, "id").collect()}
     assert got == {1: {"x": "1", "z": "3"}, 2: {"y": "2"}, 3: {"w": "4"}}
     assert df.with_members(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(1, 2), (2, 1)], "collection_id long, member_id long")).where(F.col("is_type")).count() == 0
+
+
+def test_a_call_counts_among_what_is_to_be_reached(spark):
+    evaluation, dependency, member, called = walk_tables(spark)
+    start = spark.createDataFrame([(8, 8), (4, 4)], "src long, node long")
+    stop = spark.createDataFrame([(8, 4), (4, 1)], "src long, node long")
+    got = {(r.src, r.node, r.at, r.is_call) for r in navigate(evaluation, dependency, start, member, called, stop_on=stop).collect()}
+    assert got == {(8, 8, 8, False), (8, 7, 7, False), (8, 4, 4, True), (4, 4, 4, False), (4, 5, 5, True)}
