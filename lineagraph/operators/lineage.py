@@ -163,9 +163,16 @@ def contributing_cells(evaluation: DataFrame, dependency: DataFrame, component:
     cell = ancestors(component, "id", "container_id").join(component.where(F.col("type") == cell_type).select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
     cell = cell.groupBy(F.col("node").alias("code_component_id")).agg(F.min_by("ancestor", "depth").alias("cell_id"))
     inside = settle(evaluation.select("trial_id", "id", "code_component_id").join(cell, "code_component_id").select("trial_id", "id", "cell_id"))
-    step = lambda kind, node, to, next_: (F.col("trial_id"), F.lit(kind).alias("kind"), F.col(node).cast("long").alias("node"), F.col("trial_id").alias("next_trial_id"), F.lit(to).alias("next_kind"), F.col(next_).cast("long").alias("next_node"))
-    to_cell, back = inside.select(*step("value", "id", "cell", "cell_id")), inside.select(*step("cell", "cell_id", "value", "id"))
-    derived = dependency.join(evaluation.select("trial_id", F.col("id").alias("dependent_id")), ["trial_id", "dependent_id"], "left_semi").select(*step("value", "dependent_id", "value", "dependency_id"))
-    start = evaluation.join(seeds.select("id"), "id", "left_semi").select(F.col("trial_id").alias("src"), "trial_id", F.lit("value").alias("kind"), F.col("id").cast("long").alias("node"))
-    reached = graph_closure(start, to_cell.unionByName(back).unionByName(derived), ("trial_id", "kind", "node"))
-    return reached.where("kind = 'cell'").select("trial_id", F.col("node").alias("cell_id"))
+
+    def whole(rows: DataFrame, value: str, named: str = "") -> DataFrame:
+        # a value in a cell stands for the cell, as each leads to the other
+        of = rows.join(inside.withColumnRenamed("id", value), ["trial_id", value], "left")
+        return of.withColumns({f"{named}in_cell": F.col("cell_id").isNotNull(), f"{named}node": F.coalesce(F.col("cell_id").cast("long"), F.col(value).cast("long"))}).drop(value, "cell_id")
+
+    values = evaluation.select("trial_id", F.col("id").alias("dependent_id"))
+    derived = dependency.select("trial_id", "dependent_id", "dependency_id").join(values, ["trial_id", "dependent_id"], "left_semi")
+    edges = whole(whole(derived, "dependent_id"), "dependency_id", "next_").withColumn("next_trial_id", F.col("trial_id"))
+    edges = edges.where("in_cell <> next_in_cell or node <> next_node").distinct()
+    start = whole(evaluation.select("trial_id", "id").join(seeds.select("id"), "id", "left_semi"), "id").withColumn("src", F.col("trial_id"))
+    reached = graph_closure(start, edges, ("trial_id", "in_cell", "node"))
+    return reached.where("in_cell").select("trial_id", F.col("node").alias("cell_id"))
