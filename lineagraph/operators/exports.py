@@ -33,27 +33,29 @@ def _said(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def graph_nodes(parts: DataFrame, facts: DataFrame) -> DataFrame:
+def graph_nodes(parts: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(trial_id, node, parent, place, kind, id, is_cluster, name, value, line, checkpoint) of a clustered graph.
 
     ``parts`` (trial_id, kind, id, cluster_id) are the shown activations, evaluations and accesses, ``facts``
-    (kind, id, name, value, line, checkpoint) what is written of them. In a cluster evaluations come before
-    activations and these before accesses, each by id.
+    (kind, id, name, value, line, checkpoint) what is written of them; without facts their columns are left out.
+    In a cluster evaluations come before activations and these before accesses, each by id.
     """
     letter = F.when(F.col("kind") == "activation", "c_").when(F.col("kind") == "evaluation", "e_").otherwise("a_")
     rank = F.when(F.col("kind") == "evaluation", 0).when(F.col("kind") == "activation", 1).otherwise(2)
     filled = parts.where("cluster_id is not null").select(F.lit("activation").alias("kind"), F.col("cluster_id").alias("id"), F.lit(True).alias("filled")).distinct()
     is_cluster = (F.col("kind") == "activation") & (F.col("cluster_id").isNull() | F.col("filled").isNotNull())
-    known = parts.join(filled, ["kind", "id"], "left").join(facts, ["kind", "id"], "left")
+    known = parts.join(filled, ["kind", "id"], "left")
+    written = () if facts is None else ("name", "value", "line", "checkpoint")
+    known = known if facts is None else known.join(facts, ["kind", "id"], "left")
     place = F.shiftleft(rank.cast("long"), 52) + F.col("id")
-    return known.select("trial_id", _said(letter, F.col("id")).alias("node"), _said("c_", F.col("cluster_id")).alias("parent"), place.alias("place"), "kind", "id", is_cluster.alias("is_cluster"), "name", "value", "line", "checkpoint")
+    return known.select("trial_id", _said(letter, F.col("id")).alias("node"), _said("c_", F.col("cluster_id")).alias("parent"), place.alias("place"), "kind", "id", is_cluster.alias("is_cluster"), *written)
 
 
 def _tree(nodes: DataFrame) -> DataFrame:
     """The nodes (trial_id, node, parent, place, opening, closing, ...) with the numbers of their trees."""
     sized = stored(nodes)
-    rows = sized.select(F.col("trial_id").alias("tree_id"), F.col("node").alias("id"), F.col("parent").alias("parent_id"), "place", F.col("node").alias("label"), F.size("opening").alias("opens"), F.size("closing").alias("closes"))
-    numbers = numbered(rows).select(F.col("tree_id").alias("trial_id"), F.col("id").alias("node"), "depth", "size", "enter", F.col("line").alias("at"), "lines")
+    rows = sized.select(F.col("trial_id").alias("tree_id"), F.col("node").alias("id"), F.col("parent").alias("parent_id"), "place", F.lit("").alias("label"), F.size("opening").alias("opens"), F.size("closing").alias("closes"))
+    numbers = numbered(rows, alike=False).select(F.col("tree_id").alias("trial_id"), F.col("id").alias("node"), "depth", "size", "enter", F.col("line").alias("at"), "lines")
     return stored(sized.join(numbers, ["trial_id", "node"]))
 
 
@@ -144,9 +146,10 @@ def prov_document(nodes: DataFrame, dependencies: DataFrame, members: DataFrame)
 
 
 def cluster_parts(nodes: DataFrame) -> DataFrame:
-    """(trial_id, node, enter, size): every node with the range of the graph's order that its part takes."""
-    blank = F.array(F.lit(""))
-    return _tree(nodes.withColumns({"opening": blank, "closing": F.array().cast("array<string>")})).select("trial_id", "node", "kind", "id", "enter", "size")
+    """(trial_id, node, kind, id, enter, size): every node with the range of the graph's order that its part takes."""
+    numbers = numbered(nodes.select(F.col("trial_id").alias("tree_id"), F.col("node").alias("id"), F.col("parent").alias("parent_id"), "place", F.lit("").alias("label")), alike=False)
+    kind = F.when(F.col("id").startswith("c_"), "activation").when(F.col("id").startswith("e_"), "evaluation").otherwise("access")
+    return numbers.select(F.col("tree_id").alias("trial_id"), F.col("id").alias("node"), kind.alias("kind"), F.substring("id", 3, 99).cast("long").alias("id"), "enter", "size")
 
 
 def part_of(nodes: DataFrame, asked: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _shape(k: int) -> Column:
     return F.xxhash64(F.lit(k), "label", "n_children", f"x{k}")
 
 
-def numbered(nodes: DataFrame) -> DataFrame:
+def numbered(nodes: DataFrame, alike: bool = True) -> DataFrame:
     """Nodes (tree_id, id, parent_id, place, label) of ordered forests with their numbers.
 
     ``child``: place among siblings (and among roots) from 0, by (place, id); ``depth``; ``size``: nodes of the
@@ -36,7 +36,8 @@ def numbered(nodes: DataFrame) -> DataFrame:
     ``line``: how many lines a node writes with all below it, and where, if each writes ``opens`` lines
     before and ``closes`` lines after what is below it (columns of nodes; else one and none);
     ``n_children``; ``s1``, ``s2``: equal for subtrees of equal labels in equal order; ``l1``, ``l2`` and
-    ``e1``, ``e2``: equal for nodes with the same labels, or the same subtrees, from the root down.
+    ``e1``, ``e2``: equal for nodes with the same labels, or the same subtrees, from the root down. Without
+    ``alike`` the last six are left out.
     """
     siblings = Window.partitionBy(*TREE)
     written = [F.col("opens").cast("long"), F.col("closes").cast("long")] if "opens" in nodes.columns else [F.lit(n).cast("long").alias(c) for c, n in (("opens", 1), ("closes", 0))]
@@ -44,24 +45,25 @@ def numbered(nodes: DataFrame) -> DataFrame:
     levels = _levels(nodes)
     if not levels:
         blank = {"size": "long", "lines": "long", "line": "long", "n_children": "long", "s1": "long", "s2": "long", "depth": "int", "enter": "long", "l1": "long", "l2": "long", "e1": "long", "e2": "long"}
-        return nodes.withColumns({c: F.lit(0).cast(t) for c, t in blank.items()})
+        return nodes.withColumns({c: F.lit(0).cast(t) for c, t in blank.items() if alike or c[0] not in "sle" or c in ("size", "lines", "line", "enter")})
+    twice = (1, 2) if alike else ()  # each hash is kept twice, with two seeds
     sized: list[DataFrame] = []
     for level in reversed(levels):
         if sized:
-            whole = sized[-1].groupBy("tree_id", F.col("parent_id").alias("id")).agg(F.sum("size").alias("below"), F.sum("lines").alias("inside"), F.count("*").alias("n_children"), *(F.bit_xor(F.xxhash64("child", f"s{k}")).alias(f"x{k}") for k in (1, 2)))
-            level = level.join(whole, ["tree_id", "id"], "left").na.fill(0, ["below", "inside", "n_children", "x1", "x2"])
+            whole = sized[-1].groupBy("tree_id", F.col("parent_id").alias("id")).agg(F.sum("size").alias("below"), F.sum("lines").alias("inside"), F.count("*").alias("n_children"), *(F.bit_xor(F.xxhash64("child", f"s{k}")).alias(f"x{k}") for k in twice))
+            level = level.join(whole, ["tree_id", "id"], "left").na.fill(0, ["below", "inside", "n_children", *(f"x{k}" for k in twice)])
         else:
-            level = level.withColumns({c: F.lit(0).cast("long") for c in ("below", "inside", "n_children", "x1", "x2")})
-        sized.append(settle(level.select("tree_id", "id", "parent_id", "label", "child", "opens", "closes", (F.col("below") + 1).alias("size"), (F.col("opens") + F.col("inside") + F.col("closes")).alias("lines"), "n_children", _shape(1).alias("s1"), _shape(2).alias("s2"))))
+            level = level.withColumns({c: F.lit(0).cast("long") for c in ("below", "inside", "n_children", *(f"x{k}" for k in twice))})
+        sized.append(settle(level.select("tree_id", "id", "parent_id", "label", "child", "opens", "closes", (F.col("below") + 1).alias("size"), (F.col("opens") + F.col("inside") + F.col("closes")).alias("lines"), "n_children", *(_shape(k).alias(f"s{k}") for k in twice))))
     earlier = lambda c: F.coalesce(F.sum(c).over(siblings.orderBy("child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out, above = None, None
     for depth, level in enumerate(reversed(sized)):
         level = level.withColumns({"before": earlier("size"), "written": earlier("lines"), "depth": F.lit(depth)})
         if above is None:
-            led = level.withColumns({c: F.lit(0).cast("long") for c in ("from", "from_line")} | {f"{c}{k}": F.lit(0).cast("long") for c in "pq" for k in (1, 2)})
+            led = level.withColumns({c: F.lit(0).cast("long") for c in ("from", "from_line")} | {f"{c}{k}": F.lit(0).cast("long") for c in "pq" for k in twice})
         else:
-            led = level.join(above.select("tree_id", F.col("id").alias("parent_id"), (F.col("enter") + 1).alias("from"), (F.col("line") + F.col("opens")).alias("from_line"), *(F.col(f"{old}{k}").alias(f"{new}{k}") for old, new in (("l", "p"), ("e", "q")) for k in (1, 2))), TREE)
-        paths = {f"l{k}": F.xxhash64(F.lit(k), f"p{k}", "label") for k in (1, 2)} | {f"e{k}": F.xxhash64(F.lit(k), f"q{k}", "s1", "s2") for k in (1, 2)}
+            led = level.join(above.select("tree_id", F.col("id").alias("parent_id"), (F.col("enter") + 1).alias("from"), (F.col("line") + F.col("opens")).alias("from_line"), *(F.col(f"{old}{k}").alias(f"{new}{k}") for old, new in (("l", "p"), ("e", "q")) for k in twice)), TREE)
+        paths = {f"l{k}": F.xxhash64(F.lit(k), f"p{k}", "label") for k in twice} | {f"e{k}": F.xxhash64(F.lit(k), f"q{k}", "s1", "s2") for k in twice}
         above = settle(led.withColumns({"enter": F.col("from") + F.col("before"), "line": F.col("from_line") + F.col("written")} | paths).drop("from", "before", "from_line", "written", "p1", "p2", "q1", "q2"))
         out = above if out is None else out.unionByName(above)
     return out

@@ -47,14 +47,19 @@ DOT = (
 )
 
 
-def nodes(s: Store) -> DataFrame:
+def shown(s: Store) -> DataFrame:
     """The fine-grained graph of each trial, three levels of calls deep."""
+    return df.fine_grain(s.activation, s.evaluation, s.file_access, 3)
+
+
+def nodes(s: Store) -> DataFrame:
+    """The nodes of the graph with what is written of them."""
     no = lambda t: F.lit(None).cast(t)
     of_call = s.activation.select(F.lit("activation").alias("kind"), "id", "name", no("string").alias("value"), F.col("line").cast("long").alias("line"), F.col("start_checkpoint").cast("string").alias("checkpoint"))
     of_value = s.evaluation.join(s.code_component.select(F.col("id").alias("code_component_id"), "name", F.col("first_char_line").cast("long").alias("line")), "code_component_id", "left")
     of_value = of_value.select(F.lit("evaluation").alias("kind"), "id", "name", F.col("repr").alias("value"), "line", F.col("checkpoint").cast("string").alias("checkpoint"))
     of_file = s.file_access.select(F.lit("access").alias("kind"), "id", "name", no("string").alias("value"), no("long").alias("line"), no("string").alias("checkpoint"))
-    return ex.graph_nodes(df.fine_grain(s.activation, s.evaluation, s.file_access, 3), of_call.unionByName(of_value).unionByName(of_file))
+    return ex.graph_nodes(shown(s), of_call.unionByName(of_value).unionByName(of_file))
 
 
 def edges(s: Store, shown: DataFrame) -> DataFrame:
@@ -70,9 +75,9 @@ def edges(s: Store, shown: DataFrame) -> DataFrame:
 
 
 def dot(s: Store) -> DataFrame:
-    shown = nodes(s)
+    drawn = nodes(s)
     style = F.when(F.col("type") == "access", '[style="dashed"]').when(F.col("reference"), '[arrowhead="empty"]').otherwise("")
-    return ex.dot_document(shown, edges(s, shown).select("trial_id", "source", "target", style.alias("style")))
+    return ex.dot_document(drawn, edges(s, drawn).select("trial_id", "source", "target", style.alias("style")))
 
 
 def members(s: Store) -> DataFrame:
@@ -82,8 +87,8 @@ def members(s: Store) -> DataFrame:
 
 
 def prov(s: Store) -> DataFrame:
-    shown = nodes(s)
-    return ex.prov_document(shown, edges(s, shown), members(s))
+    drawn = nodes(s)
+    return ex.prov_document(drawn, edges(s, drawn), members(s))
 
 
 _LINE = "coalesce(line::VARCHAR, '0')"
@@ -119,9 +124,9 @@ query(
     "snk_10_part_sizes",
     TABLES,
     GRAPH + "SELECT t.trial_id, t.node, (SELECT count(*) FROM tree d WHERE d.trial_id = t.trial_id AND starts_with(d.route, t.route)) AS size FROM tree t WHERE letter = 'c_'",
-)(lambda s: ex.cluster_parts(nodes(s)).where("kind = 'activation'").select("trial_id", "node", "size"))
+)(lambda s: ex.cluster_parts(ex.graph_nodes(shown(s))).where("kind = 'activation'").select("trial_id", "node", "size"))
 query(
     "snk_10_parts",
     TABLES,
     GRAPH + "SELECT t.trial_id, t.node AS top, d.node FROM tree t JOIN tree d ON d.trial_id = t.trial_id AND starts_with(d.route, t.route) WHERE t.letter = 'c_' AND t.id IN (SELECT id FROM activation WHERE name = '1-URGENT')",
-)(lambda s: ex.part_of(nodes(s), s.activation.where("name = '1-URGENT'")))
+)(lambda s: ex.part_of(ex.graph_nodes(shown(s)), s.activation.where("name = '1-URGENT'")))
