@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineagraph.checkpoints import stored
 from lineagraph.operators.closure import ancestors
 
 
@@ -185,11 +186,29 @@ def codes_in_lines(component: DataFrame, first: int, last: int | None = None) ->
     return kept.select("id", "first_char_line") if last is None else kept.where(F.col("last_char_line") <= last).select("id", "first_char_line")
 
 
+#: As many pairs of a try statement and its handler go to one task.
+PAIRS_A_TASK = 4_000_000
+
+
 def handlers(component: DataFrame, tries: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """(try_id, handler_id): handlers at the column of a try statement that begin after it and within its lines."""
-    outer = component.where(F.col("type").isin(list(tries))).select(F.col("id").alias("try_id"), "first_char_column", F.col("first_char_line").alias("begin"), F.col("last_char_line").alias("end"))
+    """(try_id, handler_id): handlers at the column of a try statement that begin after it and within its lines.
+
+    Every such pair is asked for. Tries meet handlers line by line, so that no other pair is tried, and
+    the tries of a line with many pairs are dealt to several tasks, each with the line's handlers.
+    """
+    at = ["first_char_column", "line"]
+    lines = F.explode(F.expr("sequence(first_char_line + 1, last_char_line)"))
+    outer = component.where(F.col("type").isin(list(tries)) & (F.col("last_char_line") > F.col("first_char_line"))).select(F.col("id").alias("try_id"), "first_char_column", lines.alias("line"))
     inner = component.where(F.col("type").isin(list(kinds))).select(F.col("id").alias("handler_id"), "first_char_column", F.col("first_char_line").alias("line"))
-    return outer.join(inner, "first_char_column").where("line > begin and line <= end").select("try_id", "handler_id")
+    met = outer.groupBy(*at).agg(F.count("*").alias("n")).join(inner.groupBy(*at).agg(F.count("*").alias("m")), at)
+    met = stored(met.select(*at, F.ceil(F.col("n") * F.col("m") / PAIRS_A_TASK).cast("int").alias("parts"), (F.col("n") * F.col("m")).alias("pairs")))
+    total = met.agg(F.sum("pairs").alias("pairs")).first().pairs or 0
+    tasks = max(component.sparkSession.sparkContext.defaultParallelism, -(-total // PAIRS_A_TASK))
+    dealt = outer.join(met, at).select("try_id", *at, F.pmod(F.xxhash64("try_id"), F.col("parts")).cast("int").alias("part"))
+    shown = inner.join(met, at).select("handler_id", *at, F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    # a number of tasks that is named stays, where small inputs are put together otherwise
+    dealt, shown = (x.repartition(tasks, *at, "part") for x in (dealt, shown))
+    return dealt.hint("shuffle_hash").join(shown, [*at, "part"]).select("try_id", "handler_id")
 
 
 def called_definitions(calls: DataFrame, definitions: DataFrame) -> DataFrame:
