@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineagraph.checkpoints import stored
 from lineagraph.operators.closure import UNIONED, ancestors, graph_closure, settle
 from lineagraph.operators.reachability import reachability
 
@@ -70,21 +71,31 @@ def derivation_through_members(member: DataFrame, seeds: DataFrame, dependency:
     """(src, node, at): what each context (src, node, at) derives from, a collection by its members as of ``at``.
 
     The moment travels with the context, so a node is visited once per moment. Dependencies, if
-    given, lead to their source at the same moment.
+    given, lead to their source at the same moment. Only contexts that something leads on from take
+    part in the rounds; what all of them lead to is taken once, at the end.
     """
-    versions = settle(member_intervals(member))
-    edges = settle(dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node"))) if dependency is not None else None
-    seen = settle(seeds.select("src", "node", "at").distinct())
-    frontier = seen
-    while True:
-        inside = frontier.join(versions, F.col("node") == F.col("collection_id")).where("since <= at and (until is null or at < until)")
-        step = inside.select("src", F.col("member_id").alias("node"), "at")
-        if edges is not None:
-            step = step.unionByName(frontier.join(edges, "node").select("src", F.col("next_node").alias("node"), "at"))
-        frontier = settle(step.distinct().join(seen, ["src", "node", "at"], "left_anti"))
-        if not frontier.limit(1).count():
-            return seen
-        seen = settle(seen.unionByName(frontier))
+    keys = ["src", "node", "at"]
+    versions = stored(member_intervals(member))
+    edges = None if dependency is None else stored(dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node")).distinct())
+    leads = versions.select(F.col("collection_id").alias("node"))
+    leads = stored((leads if edges is None else leads.unionByName(edges.select("node"))).distinct())
+    onward = lambda rows, node: rows.join(leads.withColumnRenamed("node", node), node, "left_semi")
+
+    def steps(walk: DataFrame, versions: DataFrame, edges: DataFrame | None) -> DataFrame:
+        inside = walk.join(versions, F.col("node") == F.col("collection_id")).where("since <= at and (until is null or at < until)")
+        found = inside.select("src", F.col("member_id").alias("node"), "at")
+        return found if edges is None else found.unionByName(walk.join(edges, "node").select("src", F.col("next_node").alias("node"), "at"))
+
+    start = stored(seeds.select(*keys).distinct())
+    frontier = stored(onward(start, "node").select(*keys))
+    seen, rounds = frontier, 0
+    inner = stored(onward(versions, "member_id")), None if edges is None else stored(onward(edges, "next_node"))
+    while frontier.limit(1).count():
+        frontier = stored(steps(frontier, *inner).distinct().join(seen, keys, "left_anti"))
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % UNIONED == 0:
+            seen = stored(seen)
+    return start.unionByName(steps(seen, versions, edges)).distinct()
 
 
 def navigate(
