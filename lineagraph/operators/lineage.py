@@ -32,7 +32,7 @@ def members_at(member: DataFrame, contexts: DataFrame) -> DataFrame:
 def derivation(dependency: DataFrame, seeds: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(src, node, depth): what each seed (column id) derives from along all dependencies."""
     edges = dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node"))
-    return graph_closure(seeds.select(F.col("id").alias("src"), F.col("id").alias("node")), edges, most_rounds=most_rounds)
+    return graph_closure(seeds.select(F.col("id").alias("src"), F.col("id").alias("node")), edges, most_rounds=most_rounds, one_seed=True)
 
 
 def was_derived_from(dependency: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def slice_edges(dependency: DataFrame) -> DataFrame:
 
 def backward_slices(dependency: DataFrame, seeds: DataFrame) -> DataFrame:
     """(src, node): all evaluations that each seed (column id) derives from, itself included."""
-    return graph_closure(seeds.select(F.col("id").alias("src"), F.col("id").alias("node")), slice_edges(dependency)).select("src", "node")
+    return graph_closure(seeds.select(F.col("id").alias("src"), F.col("id").alias("node")), slice_edges(dependency), one_seed=True).select("src", "node")
 
 
 def slice_lines(dependency: DataFrame, seeds: DataFrame, evaluation: DataFrame, component: DataFrame) -> DataFrame:

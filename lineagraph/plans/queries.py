@@ -30,6 +30,8 @@ SLICE = "walk AS (SELECT id AS src, id AS node FROM evaluation UNION SELECT w.sr
 #: Queries that read the projected tables in many jobs: each of ``PROJECTED`` that they use is computed once.
 MANY_READS = {
     "lin_01_navigate", "lin_08_contributing_cells", "snk_08_prov_document", "snk_09_dot_document", "snk_10_part_sizes", "snk_10_parts", "lin_01_through_members",
+    "lin_01_derivation", "lin_03_derived_from_all", "lin_03_was_derived_from", "lin_04_derived_pairs", "lin_06_marked_edges", "lin_07_numbered_dependencies", "lin_07_named_dependencies", "lin_09_only_derived",
+    "rul_30_slices", "rul_31_slice_lines", "cbk_06_marked_code", "clu_05_loopless", "clu_09_bridged", "clu_09_propagated",
 }
 PROJECTED = ("evaluation", "activation", "dependency")
 
