@@ -13,8 +13,8 @@ the first one, a stretch of a document with the least of its firsts before all o
 a key of up to ``PAIRS_UP_TO``. Of more, a pair that is similar around this window either shares a
 shingle that stands in no more than so many of the documents that still wait, and is compared for
 that, or at least four in five of its shingles there are common ones: those documents are compared
-with further ones of the key in rounds, until none waits. So a passage that many documents share
-makes no pairs among them.
+with further ones of the key in rounds, until none waits; first with those that have the most common shingles
+there, as they are like the most others. So a passage that many documents share makes no pairs among them.
 
 Candidates are verified on the shingles of all their windows with shared keys: a passage has at
 least ``LEAST`` of them and a Jaccard similarity of 0.8 or more to its counterpart. At that similarity
@@ -237,6 +237,28 @@ def shingles_around(waiting: DataFrame, slices: DataFrame, least: int) -> DataFr
     return asked.join(slices, "doc").select("doc", "slice", "nodes").mapInArrow(tidy(run), "doc long, place long, h long")
 
 
+def common_around(nodes: DataFrame, common: DataFrame, least: int) -> DataFrame:
+    """(doc, place, n): the nodes (doc, place) that stand in a run, of ``least`` or more and in their reach, of which four in five
+    shingles are common ones (doc, place); n: how many more there are than these four in five at most, times five."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, nodes, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "nodes", "places"))):
+                at, places = np.array(nodes, np.int64), np.array(places, np.int64) + least
+                gain = np.full(int(at.max()) + 2 * least, -4)
+                gain[places[places < len(gain)]] = 1
+                upto = np.concatenate([[0], np.cumsum(gain)])
+                beside = np.arange(least)
+                begins, ends = upto[at[:, None] + 1 + beside], upto[at[:, None] + 1 + least + beside]
+                most = (np.maximum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - begins).max(1)
+                at, most = at[most >= 0], most[most >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(at), pa.array(most)], names=["doc", "place", "n"])
+
+    asked = nodes.groupBy("doc").agg(F.collect_set("place").alias("nodes"))
+    held = common.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    return asked.join(held, "doc").mapInArrow(tidy(run), "doc long, place long, n long")
+
+
 def linked_passages(members: DataFrame, slices: DataFrame, verify: Callable[[DataFrame], DataFrame], least: int = LEAST) -> DataFrame:
     """What ``verify`` finds for the pairs (doc, rep) of documents that the shared windows make candidates."""
     joined = stored(joined_windows(members.where(f"n > {PAIRS_UP_TO}"), least))
@@ -261,17 +283,20 @@ def linked_passages(members: DataFrame, slices: DataFrame, verify: Callable[[Dat
     pairs = few.select("doc", "other").unionByName(all_pairs(rare).select(F.col("v").alias("doc"), F.col("u").alias("other")))
     found.append(stored(verify(_in_order(pairs, "other").join(asked, ["doc", "rep"], "left_anti"))))
 
-    # common shingles by place, met by cells of ``least`` places
-    cell = lambda c, d: F.expr(f"{c} div {least} + {d}").alias("cell")
-    common = around.join(holders.where(f"n > {PAIRS_UP_TO}").select("h"), "h").select("doc", cell("place", 0), F.col("place").alias("at"))
-    cells = waiting.select("key", "doc", "place", F.explode(F.array(*(cell("place", d) for d in (-1, 0, 1)))).alias("cell"))
-    beside = cells.join(common, ["doc", "cell"]).where(f"abs(at - place) < {least}").groupBy("key", "doc", "place").agg(F.count("*").alias("n"))
-    waiting = stored(uncovered(beside.where(f"n >= {SIMILARITY} * {least}").select("key", "doc", "place"), found[2]))
-    leaders = LEADERS
+    common = around.join(holders.where(f"n > {PAIRS_UP_TO}").select("h"), "h").select("doc", "place")
+    clear = common_around(waiting.select("doc", "place").distinct(), common, least)
+    waiting = stored(uncovered(waiting.join(clear, ["doc", "place"]).select("key", "doc", "place", "n"), found[2]))
+    asked, leaders = stored(asked.unionByName(_in_order(pairs, "other")).distinct()), LEADERS
     while waiting.limit(1).count():
+        # who has the most common shingles in a run there is like the most others
+        held = waiting.groupBy("key", "doc").agg(F.max("n").alias("n"))
         part = F.pmod(F.xxhash64("doc"), F.lit(leaders))
-        chosen = waiting.groupBy("key", part.alias("part")).agg(F.min("doc").alias("rep")).select("key", "rep")
-        found.append(stored(verify(_in_order(waiting.select("key", "doc").distinct().join(chosen, "key"), "rep"))))
+        chosen = stored(held.groupBy("key", part.alias("part")).agg(F.max_by("doc", F.struct("n", F.negative("doc"))).alias("rep")).select("key", "rep"))
+        of_key = chosen.groupBy("key").agg(F.collect_list("rep").alias("reps"))  # as many as leaders at most
+        meets = held.join(of_key, "key").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("reps"))).alias("reps"))
+        pairs = stored(_in_order(meets.select("doc", F.explode("reps").alias("rep")), "rep").join(asked, ["doc", "rep"], "left_anti"))
+        found.append(stored(verify(pairs)))
+        asked = asked.unionByName(pairs)
         followers = waiting.join(chosen.withColumnRenamed("rep", "doc"), ["key", "doc"], "left_anti")  # who led leaves
         waiting = stored(uncovered(followers, found[-1]))
         leaders *= 2

@@ -100,3 +100,17 @@ def test_passages_behind_a_shorter_first_holder_are_found(docs):
         texts += [" ".join([*words(40), *middle, *words(40)]) for middle in (line, passage, passage)]
     got = {(r.doc_id, r.source_doc_id): (r.start_word, r.end_word) for r in repeated_passages(docs(texts)).collect()}
     assert got == {(i + 2, i + 1): (40, 96) for i in range(0, 60, 3)}
+
+
+def test_common_around_matches_brute_force(spark):
+    from lineagraph.llm.substring_dedup import common_around
+
+    rng = random.Random(6)
+    places = {d: sorted(rng.sample(range(200), rng.choice([60, 150, 190]))) for d in range(12)}
+    nodes = [(d, p) for d in places for p in range(0, 200, 3)]
+    got = {(r.doc, r.place): r.n for r in common_around(spark.createDataFrame(nodes, "doc long, place long"), spark.createDataFrame([(d, p) for d in places for p in places[d]], "doc long, place long"), 20).collect()}
+    for d, p in nodes:
+        held = set(places[d])
+        runs = (sum(1 if i in held else -4 for i in range(a, e)) for a in range(p - 19, p + 1) for e in range(max(p + 1, a + 20), p + 21))
+        most = max(runs)
+        assert got.get((d, p)) == (most if most >= 0 else None)
