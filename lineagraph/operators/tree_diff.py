@@ -8,10 +8,10 @@ digests from the roots down, in one join a level, and only forests that differ a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +43,48 @@ class _Forest:
         self.key_roots = sorted({first: i for i, first in enumerate(self.left)}.values())
 
 
-def edit_mapping(labels: Sequence, sizes: Sequence[int], other_labels: Sequence, other_sizes: Sequence[int]) -> tuple[int, list[tuple[int, int]]]:
-    """The least cost between two forests, given in pre-order, and matched places (Zhang and Shasha's algorithm).
+#: Forests of which one has up to so many nodes are compared cell by cell: rows of a few cells take longer to call than to fill.
+FEW_NODES = 128
 
-    Takes memory and time of the product of both sizes, time also of the products of their depths. Of
-    ways that cost the same, matching comes before taking out, and that before putting in, from the end.
-    """
-    a, b = _Forest(labels, sizes), _Forest(other_labels, other_sizes)
-    number = {label: i for i, label in enumerate(dict.fromkeys([*a.labels, *b.labels]))}
-    names, other = np.array([number[x] for x in a.labels]), np.array([number[x] for x in b.labels])
+
+def _few_rows(a: _Forest, b: _Forest, names: list[int], other: list[int]):
+    """As ``_array_rows``, cell by cell."""
+    apart = [[0] * b.n for _ in range(a.n)]
+    left_a, left_b = a.left, b.left
+
+    def forests(i: int, j: int, fill: bool) -> list[list[int]]:
+        first, first_b = left_a[i], left_b[j]
+        cost = [list(range(j - first_b + 2))]
+        for x in range(first, i + 1):
+            up, beside, trees, name, tree = cost[-1], cost[left_a[x] - first], apart[x], names[x], left_a[x] == first
+            last = up[0] + 1
+            row = [last]
+            for k, y in enumerate(range(first_b, j + 1)):
+                before = left_b[y] - first_b
+                if tree and not before:
+                    best = up[k] if name == other[y] else up[k] + UNLIKE
+                else:
+                    best = beside[before] + trees[y]
+                if up[k + 1] < best:
+                    best = up[k + 1] + 1
+                if last < best:
+                    best = last + 1
+                if fill and tree and not before:
+                    trees[y] = best
+                row.append(best)
+                last = best
+            cost.append(row)
+        return cost
+
+    forests.apart = apart
+    return forests
+
+
+def _array_rows(a: _Forest, b: _Forest, names: np.ndarray, other: np.ndarray):
+    """A function of two nodes for the costs between the forests that begin with their first leaves; ``apart`` holds
+    those between the subtrees of two nodes, once filled."""
     left_b = np.array(b.left)
-    apart = np.zeros((a.n, b.n), np.int32)  # between the subtrees of two nodes
+    apart = np.zeros((a.n, b.n), np.int32)
 
     def forests(i: int, j: int, fill: bool) -> np.ndarray:
         """Costs between the forests that begin with the first leaves of i and j, up to each node."""
@@ -78,30 +109,44 @@ def edit_mapping(labels: Sequence, sizes: Sequence[int], other_labels: Sequence,
                 apart[x, first_b : j + 1][whole] = cost[row, 1:][whole]
         return cost
 
+    forests.apart = apart
+    return forests
+
+
+def edit_mapping(labels: Sequence, sizes: Sequence[int], other_labels: Sequence, other_sizes: Sequence[int]) -> tuple[int, list[tuple[int, int]]]:
+    """The least cost between two forests, given in pre-order, and matched places (Zhang and Shasha's algorithm).
+
+    Takes memory and time of the product of both sizes, time also of the products of their depths. Of
+    ways that cost the same, matching comes before taking out, and that before putting in, from the end.
+    """
+    a, b = _Forest(labels, sizes), _Forest(other_labels, other_sizes)
+    number = {label: i for i, label in enumerate(dict.fromkeys([*a.labels, *b.labels]))}
+    names, other = [number[x] for x in a.labels], [number[x] for x in b.labels]
+    forests = _few_rows(a, b, names, other) if min(a.n, b.n) <= FEW_NODES else _array_rows(a, b, np.array(names), np.array(other))
     for i in a.key_roots:
         for j in b.key_roots:
-            forests(i, j, True)
+            whole = forests(i, j, True)
     pairs, todo = [], [(a.n - 1, b.n - 1)]
     while todo:
         i, j = todo.pop()
         cost, first, first_b = forests(i, j, False), a.left[i], b.left[j]
         x, y = i, j
         while x >= first and y >= first_b:
-            here = cost[x - first + 1, y - first_b + 1]
+            here = cost[x - first + 1][y - first_b + 1]
             if a.left[x] == first and b.left[y] == first_b:
-                if names[x] == other[y] and here == cost[x - first, y - first_b]:
+                if names[x] == other[y] and here == cost[x - first][y - first_b]:
                     pairs.append((x, y))
                     x, y = x - 1, y - 1
                     continue
-            elif here == cost[a.left[x] - first, b.left[y] - first_b] + apart[x, y]:
+            elif here == cost[a.left[x] - first][b.left[y] - first_b] + forests.apart[x][y]:
                 todo.append((x, y))
                 x, y = a.left[x] - 1, b.left[y] - 1
                 continue
-            if here == cost[x - first, y - first_b + 1] + 1:
+            if here == cost[x - first][y - first_b + 1] + 1:
                 x -= 1
             else:
                 y -= 1
-    return int(apart[-1, -1]), sorted((a.pre[x] - 1, b.pre[y] - 1) for x, y in pairs if a.pre[x])
+    return int(whole[-1][-1]), sorted((a.pre[x] - 1, b.pre[y] - 1) for x, y in pairs if a.pre[x])
 
 
 def _equal_ends(frontier: DataFrame, kids: DataFrame, at: str, name: str) -> DataFrame:
@@ -151,14 +196,19 @@ def tree_mapping(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     by_run = runs.join(tree.select("tree_id", "enter", "id"), "tree_id").where("enter >= a_from and enter < a_from + n").withColumn("b_at", F.col("b_from") + F.col("enter") - F.col("a_from")).join(theirs, ["other_id", "b_at"])
     side = lambda key, low, high, last: rest.join(tree.select(F.col("tree_id").alias(key), "id", "enter", "size", "label"), key).where(f"enter >= {low} and enter < {high}").select(*PAIR, F.lit(last).alias("is_other"), "id", "enter", "size", "label")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["is_other", "enter"])
-        mine, theirs_ = rows[~rows.is_other], rows[rows.is_other]
-        _, found = edit_mapping(mine.label.tolist(), mine["size"].tolist(), theirs_.label.tolist(), theirs_["size"].tolist())
-        i, j = (np.array([p[k] for p in found], dtype=int) for k in (0, 1))
-        return pd.DataFrame({"tree_id": rows.tree_id.iloc[0], "other_id": rows.other_id.iloc[0], "id": mine.id.to_numpy()[i], "other": theirs_.id.to_numpy()[j]})
-
-    by_cost = side("tree_id", "a_from", "a_to", False).unionByName(side("other_id", "b_from", "b_to", True)).groupBy(*PAIR).applyInPandas(compare, "tree_id long, other_id long, id long, other long")
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for tree_id, other_id, nodes in zip(*(batch.column(c).to_pylist() if c in PAIR else batch.column(c) for c in (*PAIR, "nodes"))):
+                last, ids, sizes, labels = (nodes.values.field(c).to_pylist() for c in ("is_other", "id", "size", "label"))
+                n = last.index(True)
+                _, found = edit_mapping(labels[:n], sizes[:n], labels[n:], sizes[n:])
+                out += [(tree_id, other_id, ids[i], ids[n + j]) for i, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=[*PAIR, "id", "other"])
+
+    sides = side("tree_id", "a_from", "a_to", False).unionByName(side("other_id", "b_from", "b_to", True))
+    listed = sides.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("is_other", "enter", "id", "size", "label"))).alias("nodes"))
+    by_cost = listed.mapInArrow(compare, "tree_id long, other_id long, id long, other long")
     together = stored(matched.unionByName(by_run.select(*PAIR, "id", "other")).unionByName(by_cost))
     gone = every.join(tree.select("tree_id", "id"), "tree_id").join(together.select(*PAIR, "id"), [*PAIR, "id"], "left_anti").select(*PAIR, "id", F.lit(None).cast("long").alias("other"))
     new = every.join(tree.select(F.col("tree_id").alias("other_id"), F.col("id").alias("other")), "other_id").join(together.select(*PAIR, "other"), [*PAIR, "other"], "left_anti").select(*PAIR, F.lit(None).cast("long").alias("id"), "other")

@@ -246,3 +246,23 @@ def test_empty(spark):
     assert tree.count() == 0
     mapping = td.tree_mapping(tree, spark.createDataFrame([(1, 2)], "tree_id long, other_id long"))
     assert mapping.count() == td.tree_distances(mapping).count() == td.merged_tree(tree, mapping).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_and_rows_give_one_mapping(monkeypatch, seed):
+    """Small forests are compared cell by cell, large ones by rows of arrays."""
+    rng = random.Random(seed)
+
+    def forest(n):
+        kids = {i: [] for i in range(n)}
+        for i in range(1, n):
+            kids[rng.choice([(i - 1) // 2, rng.randrange(i)])].append(i)
+        grown = lambda i: tuple(grown(k) for k in kids[i])
+        return flat((grown(0),), lambda: rng.choice("abc"))
+
+    for _ in range(20):
+        pair = (*forest(rng.randrange(1, 40)), *forest(rng.randrange(1, 40)))
+        monkeypatch.setattr(td, "FEW_NODES", 0)
+        by_rows = td.edit_mapping(*pair)
+        monkeypatch.setattr(td, "FEW_NODES", 1000)
+        assert td.edit_mapping(*pair) == by_rows
