@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagraph.checkpoints import settle
-from lineagraph.operators.closure import graph_closure
+from lineagraph.checkpoints import settle, stored
+from lineagraph.operators.closure import IDS_TOGETHER, graph_closure
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -34,17 +34,38 @@ def cycles(edges: DataFrame) -> DataFrame:
     return settle(around.join(around.groupBy("src").agg(F.min("node").alias("component")), "src").groupBy("node").agg(F.min("component").alias("component")))
 
 
-def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, chain, place): nodes of an acyclic graph in chains along its edges; a chain's last node has place 0, those before it -1, -2 and so on."""
-    chosen = edges.groupBy("node").agg(F.max("next_node").alias("next_node"))
-    links = chosen.groupBy("next_node").agg(F.min("node").alias("node"))
-    at = settle(nodes.join(links, "node", "left").select("node", F.coalesce("next_node", "node").alias("chain"), F.when(F.col("next_node").isNull(), 0).otherwise(-1).cast("long").alias("place")))
-    while True:  # each knows the node so many steps on; pointers double
-        on = at.select(F.col("node").alias("chain"), F.col("chain").alias("to"), F.col("place").alias("more"))
-        at = settle(at.join(on, "chain").select("node", F.col("to").alias("chain"), (F.col("place") + F.col("more")).alias("place"), (F.col("more") < 0).alias("moved")))
-        if not at.where("moved").limit(1).count():
-            return at.drop("moved")
-        at = at.drop("moved")
+def linked(edges: DataFrame) -> DataFrame:
+    """Edges (node, next_node) with ``link``: whether a chain goes along them, which is one edge at most into and out of a node."""
+    chosen = F.col("next_node") == F.max("next_node").over(Window.partitionBy("node"))
+    first = F.min(F.when(F.col("chosen"), F.col("node"))).over(Window.partitionBy("next_node"))
+    return edges.withColumn("chosen", chosen).withColumn("link", F.col("chosen") & (F.col("node") == first)).drop("chosen")
+
+
+def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, chain, place): nodes of an acyclic graph in chains along links (node, next_node); a chain's last node has place 0, those before it -1, -2 and so on.
+
+    Nodes that lead to the one before them in order make a run, found by a window; only the last nodes of
+    runs that lead on are followed further.
+    """
+    near = F.shiftright("node", IDS_TOGETHER) if nodes.schema["node"].dataType.typeName() in ("long", "integer") else F.xxhash64("node")
+    order = Window.partitionBy("near").orderBy("node")
+    at = nodes.join(links, "node", "left").withColumn("near", near)
+    at = at.withColumn("begins", F.coalesce(F.lag("node").over(order) != F.col("next_node"), F.lit(True)))
+    at = at.withColumn("run", F.max(F.when(F.col("begins"), F.col("node"))).over(order))
+    at = stored(at.select("node", "next_node", "begins", "run", (1 - F.row_number().over(Window.partitionBy("near", "run").orderBy("node"))).cast("long").alias("place")))
+    on = at.where("begins and next_node is not null").select(F.col("node").alias("end"), F.col("next_node").alias("node"))
+    on = settle(on.join(at.select("node", "run", "place"), "node").select(F.col("end").alias("node"), F.col("run").alias("chain"), (F.col("place") - 1).alias("place")))
+    if not on.limit(1).count():
+        return at.select("node", F.col("run").alias("chain"), "place")
+    while True:  # each knows the end of a run so many runs on; pointers double
+        further = on.select(F.col("node").alias("chain"), F.col("chain").alias("to"), F.col("place").alias("more"))
+        on = settle(on.join(further, "chain", "left").select("node", F.coalesce("to", "chain").alias("chain"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("to").isNotNull().alias("moved")))
+        moved = on.where("moved").limit(1).count()
+        on = on.drop("moved")
+        if not moved:
+            break
+    led = on.select(F.col("node").alias("run"), "chain", F.col("place").alias("more"))
+    return at.join(led, "run", "left").select("node", F.coalesce("chain", "run").alias("chain"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
 
 
 def _needed(stairs: DataFrame) -> DataFrame:
@@ -75,7 +96,10 @@ class Reachability:
     def labels(self, seeds: DataFrame) -> DataFrame:
         """(id, chain, since): the chains that each seed (column id) reaches, and from which place on."""
         at = self.located(seeds.select("id").distinct())
-        return at.select("id", "chain", F.col("place").alias("since")).unionByName(_with_reach(at, self.stairs).select("id", F.col("to").alias("chain"), "since"))
+        own = at.select("id", "chain", F.col("place").alias("since"))
+        if not self.stairs.limit(1).count():
+            return own
+        return own.unionByName(_with_reach(at, self.stairs).select("id", F.col("to").alias("chain"), "since"))
 
     def pairs(self, seeds: DataFrame, targets: DataFrame) -> DataFrame:
         """(id, target_id): each seed with each target, but itself, that it derives from."""
@@ -100,17 +124,29 @@ class Reachability:
         return pairs.join(met.select("id", "target_id", F.coalesce((F.col("place") >= F.col("since")) & (F.col("id") != F.col("target_id")), F.lit(False)).alias("derived")), ["id", "target_id"])
 
 
+def _placed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chains of an acyclic graph, and its edges with ``link``."""
+    edges = stored(linked(edges))
+    return stored(chains(nodes, edges.where("link").drop("link"))), edges
+
+
 def reachability(dependency: DataFrame) -> Reachability:
     """The index of a dependency table (dependent_id, dependency_id)."""
-    edges = settle(dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node")).where("node <> next_node").distinct())
+    edges = stored(dependency.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node")).where("node <> next_node").distinct())
     component = cycles(edges)
-    end = component.select(F.col("node").alias("next_node"), F.col("component").alias("next_component"))
-    between = edges.join(component, "node", "left").join(end, "next_node", "left")
-    between = settle(between.select(F.coalesce("component", "node").alias("node"), F.coalesce("next_component", "next_node").alias("next_node")).where("node <> next_node").distinct())
-    every = edges.select("node").unionByName(edges.select(F.col("next_node").alias("node"))).distinct().join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    placed = chains(every.select(F.col("component").alias("node")).distinct(), between)
+    between, every = edges, edges.select("node").unionByName(edges.select(F.col("next_node").alias("node"))).distinct()
+    if component.limit(1).count():
+        end = component.select(F.col("node").alias("next_node"), F.col("component").alias("next_component"))
+        between = edges.join(component, "node", "left").join(end, "next_node", "left")
+        between = between.select(F.coalesce("component", "node").alias("node"), F.coalesce("next_component", "next_node").alias("next_node")).where("node <> next_node").distinct()
+        every = stored(every.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        placed, between = _placed(every.select(F.col("component").alias("node")).distinct(), between)
+        places = settle(every.join(placed.withColumnRenamed("node", "component"), "component").select("node", "component", "chain", "place"))
+    else:
+        placed, between = _placed(every, between)
+        places = placed.select("node", F.col("node").alias("component"), "chain", "place")
     to = placed.select(F.col("node").alias("next_node"), F.col("chain").alias("to"), F.col("place").alias("since"))
-    direct = between.join(placed, "node").join(to, "next_node").where("chain <> to").select("chain", F.col("place").alias("upto"), "to", "since").distinct()
+    direct = between.where("not link").join(placed, "node").join(to, "next_node").where("chain <> to").select("chain", F.col("place").alias("upto"), "to", "since").distinct()
     direct = settle(_needed(direct))
     stairs = new = direct
     while new.limit(1).count():  # a round a chain that a way passes
@@ -118,4 +154,4 @@ def reachability(dependency: DataFrame) -> Reachability:
         step = step.where("first <> to").select(F.col("first").alias("chain"), F.col("from_upto").alias("upto"), "to", "since", F.lit(True).alias("new"))
         merged = settle(_needed(stairs.withColumn("new", F.lit(False)).unionByName(step)))
         stairs, new = merged.drop("new"), merged.where("new").drop("new")
-    return Reachability(settle(every.join(placed.withColumnRenamed("node", "component"), "component").select("node", "component", "chain", "place")), stairs)
+    return Reachability(places, stairs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineagraph.checkpoints import settle
 from lineagraph.operators.lineage import derivation
-from lineagraph.operators.reachability import chains
+from lineagraph.operators.reachability import chains, linked
 
 #: Longer values of a named lineage are replaced.
 LONG_VALUE = 20
@@ -109,7 +109,7 @@ def history_levels(trial: DataFrame, edges: DataFrame) -> DataFrame:
     newest = edges.groupBy("parent").agg(F.max("id").alias("newest"))
     placed = of.join(above, "parent", "left").join(newest, "parent", "left").withColumn("goes_on", F.coalesce((F.col("parent_script") == F.col("script")) & (F.col("newest") == F.col("id")), F.lit(False)))
     placed = settle(placed.select("id", "script", "parent", "goes_on"))
-    lines = chains(placed.select(F.col("id").alias("node")), placed.where("goes_on").select(F.col("id").alias("node"), F.col("parent").alias("next_node")))
+    lines = chains(placed.select(F.col("id").alias("node")), linked(placed.where("goes_on").select(F.col("id").alias("node"), F.col("parent").alias("next_node"))).where("link").drop("link"))
     begun = placed.where("not goes_on").select(F.col("id").alias("chain"), (F.row_number().over(Window.partitionBy("script").orderBy("id")) - 1).alias("lane"))
     scripts = placed.groupBy("script").agg(F.count("*").alias("n"), F.max("id").alias("newest"), F.sum(F.when(~F.col("goes_on"), 1).otherwise(0)).alias("lanes"))
     sized = scripts.withColumn("lanes", F.when(F.col("n") > 1, F.col("lanes")).otherwise(0))

@@ -73,3 +73,19 @@ def test_empty_tables(spark):
     assert index.pairs(spark.range(3), spark.range(3)).count() == 0
     assert [r.targets for r in index.counts(spark.range(3), spark.range(3)).collect()] == [0, 0, 0]
     assert index.counts(spark.range(0), spark.range(3)).count() == 0
+
+
+def test_runs_make_no_rounds(spark, monkeypatch):
+    """A path along neighbouring ids is one run; one in any order, over many blocks of ids, has the same places."""
+    from lineagraph.operators import reachability as r
+
+    settled, plain = [], r.settle
+    monkeypatch.setattr(r, "settle", lambda df: settled.append(df) or plain(df))
+    path = spark.range(1, 200).select(F.col("id").alias("dependent_id"), (F.col("id") - 1).alias("dependency_id"))
+    assert {x.node: (x.chain, x.place) for x in r.reachability(path).places.collect()} == {i: (0, -i) for i in range(200)}
+    assert len(settled) <= 4
+    ids = random.Random(7).sample(range(1 << 20), 60)
+    mixed = spark.createDataFrame(list(zip(ids[1:], ids)), "dependent_id long, dependency_id long")
+    links = mixed.select(F.col("dependent_id").alias("node"), F.col("dependency_id").alias("next_node"))
+    placed = r.chains(spark.createDataFrame([(i,) for i in ids], "node long"), links)
+    assert {x.node: (x.chain, x.place) for x in placed.collect()} == {n: (ids[0], -i) for i, n in enumerate(ids)}
