@@ -96,9 +96,10 @@ def evaluation_lines(evaluation: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def lines_of_activations(evaluation: DataFrame, component: DataFrame) -> DataFrame:
-    """Per activation the sorted distinct lines of its evaluations."""
-    lines = evaluation.select("activation_id", "code_component_id").distinct().join(code_lines(component).withColumnRenamed("id", "code_component_id"), "code_component_id")
-    return lines.groupBy("activation_id").agg(F.array_join(F.array_sort(F.collect_set("line")), ",").alias("lines"))
+    """Per activation the sorted distinct lines of its evaluations; their ranges are gathered, not a row a line."""
+    ranges = component.where("first_char_line <= last_char_line").select(F.col("id").alias("code_component_id"), F.sequence("first_char_line", "last_char_line").alias("lines"))
+    held = evaluation.select("activation_id", "code_component_id").join(ranges, "code_component_id").groupBy("activation_id").agg(F.collect_set("lines").alias("held"))
+    return held.select("activation_id", F.array_join(F.array_sort(F.array_distinct(F.flatten("held"))), ",").alias("lines"))
 
 
 def scopes(component: DataFrame) -> DataFrame:

@@ -100,3 +100,12 @@ def test_bridging_hidden_nodes(spark):
     dep = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "dependent_id long, dependency_id long")
     got = su.propagated(dep, spark.createDataFrame([(2,), (3,)], "id long"))
     assert [tuple(r) for r in got.collect()] == [(1, 4)]
+
+
+def test_lines_of_activations(spark):
+    """Ranges that overlap give each line once, and one that ends before it begins gives none, as in SQL."""
+    from lineagraph.operators import rules
+
+    evaluation = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 3), (2, 3), (3, 1)], "activation_id long, code_component_id long")
+    component = spark.createDataFrame([(1, 9, 11), (2, 10, 13), (3, 7, 5)], "id long, first_char_line int, last_char_line int")
+    assert {r.activation_id: r.lines for r in rules.lines_of_activations(evaluation, component).collect()} == {1: "9,10,11,12,13", 3: "9,10,11"}
