@@ -281,12 +281,13 @@ def linked_passages(members: DataFrame, slices: DataFrame, verify: Callable[[Dat
     holders = around.select("h", "doc").distinct().groupBy("h").agg(F.count("*").alias("n"))
     rare = around.join(holders.where(f"n > 1 and n <= {PAIRS_UP_TO}"), "h").select(F.col("h").alias("key"), F.col("doc").alias("node"))
     pairs = few.select("doc", "other").unionByName(all_pairs(rare).select(F.col("v").alias("doc"), F.col("u").alias("other")))
-    found.append(stored(verify(_in_order(pairs, "other").join(asked, ["doc", "rep"], "left_anti"))))
+    pairs = stored(_in_order(pairs, "other").join(asked, ["doc", "rep"], "left_anti"))
+    found.append(stored(verify(pairs)))
 
     common = around.join(holders.where(f"n > {PAIRS_UP_TO}").select("h"), "h").select("doc", "place")
     clear = common_around(waiting.select("doc", "place").distinct(), common, least)
     waiting = stored(uncovered(waiting.join(clear, ["doc", "place"]).select("key", "doc", "place", "n"), found[2]))
-    asked, leaders = stored(asked.unionByName(_in_order(pairs, "other")).distinct()), LEADERS
+    asked, leaders = asked.unionByName(pairs), LEADERS
     while waiting.limit(1).count():
         # who has the most common shingles in a run there is like the most others
         held = waiting.groupBy("key", "doc").agg(F.max("n").alias("n"))
@@ -427,6 +428,19 @@ def set_aside(known: DataFrame) -> DataFrame:
     return copies.unionByName(each.where("m <> other").select("doc", F.lit(None).cast("long").alias("rep"), "words"))
 
 
+def with_slices(pairs: DataFrame, slices: DataFrame) -> DataFrame:
+    """(doc, rep, own, other): the slices (doc, slice) of both documents of each pair (doc, rep). Where the ids of a side are
+    few, only their slices are shuffled; few pairs go to the slices."""
+    few = pairs.count() <= SENT_IDS
+
+    def asked(side: str, slice_: str) -> DataFrame:
+        all_of, ids = slices.select(F.col("doc").alias(side), F.col("slice").alias(slice_)), pairs.select(side).distinct()
+        return all_of.join(F.broadcast(ids), side, "left_semi") if few or ids.count() <= SENT_IDS else all_of
+
+    own = slices.withColumnRenamed("slice", "own").join(F.broadcast(pairs), "doc") if few else asked("doc", "own").join(pairs, "doc")
+    return own.join(asked("rep", "other"), "rep").select("doc", "rep", "own", "other")
+
+
 PASSAGE = ["doc_id", "source_doc_id", "start_word", "end_word", "source_start_word", "source_end_word"]
 
 
@@ -468,9 +482,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     slices = stored(asked.join(texts, "doc").select("doc", "spans", "text").mapInArrow(tidy(sliced), "doc long, slice binary"))
 
     def found(pairs: DataFrame) -> DataFrame:
-        own = pairs.join(slices.withColumnRenamed("slice", "own"), "doc")
-        both = own.join(slices.select(F.col("doc").alias("rep"), F.col("slice").alias("other")), "rep").select("doc", "rep", "own", "other")
-        return both.mapInArrow(tidy(verify), ", ".join(f"{c} long" for c in PASSAGE))
+        return with_slices(pairs, slices).mapInArrow(tidy(verify), ", ".join(f"{c} long" for c in PASSAGE))
 
     whole = copies.where(f"rep is not null and words >= {least_words}").select(F.col("doc").alias("doc_id"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.lit(0).cast("long").alias("source_start_word"), F.col("words").alias("source_end_word"))
     return without_covered(linked_passages(members, slices, found, least).distinct()).unionByName(whole)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from lineagraph.llm import substring_dedup
 from lineagraph.llm.substring_dedup import best_segments, compact_windows, interval_pairs, repeated_passages, window_keys
 
 
@@ -114,3 +115,15 @@ def test_common_around_matches_brute_force(spark):
         runs = (sum(1 if i in held else -4 for i in range(a, e)) for a in range(p - 19, p + 1) for e in range(max(p + 1, a + 20), p + 21))
         most = max(runs)
         assert got.get((d, p)) == (most if most >= 0 else None)
+
+
+def test_few_pairs_shuffle_only_their_slices(spark, monkeypatch, tmp_path):
+    spark.range(3000).selectExpr("id as doc", "cast(repeat(cast(id as string), 50) as binary) as slice").write.parquet(str(tmp_path / "slices"))
+    slices = spark.read.parquet(str(tmp_path / "slices"))
+    pairs = spark.createDataFrame([(7, 3), (9, 3), (2999, 9)], "doc long, rep long")
+    wanted = {(a, b, str(a).encode() * 50, str(b).encode() * 50) for a, b in ((7, 3), (9, 3), (2999, 9))}
+    for most in (200_000, 2, 0):  # pairs are sent, the ids of one side are, nothing is
+        monkeypatch.setattr(substring_dedup, "SENT_IDS", most)
+        found = substring_dedup.with_slices(pairs, slices)
+        assert {(r.doc, r.rep, bytes(r.own), bytes(r.other)) for r in found.collect()} == wanted
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == {200_000: 1, 2: 1, 0: 0}[most]
