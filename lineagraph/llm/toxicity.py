@@ -15,6 +15,7 @@ only to join labels.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineagraph.llm.common import crc_mod, documents, prepare, text_passes
+from lineagraph.llm.common import crc_mod, documents, prepare, text_passes, tidy
 
 #: Labelled rows that the classifier is fitted on at most, and lexicon entries that it keeps at most.
 TRAINING_ROWS = 8000
@@ -73,7 +74,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     out = np.zeros(CLASSES**3)
     for gram, n in counted.collect():  # CLASSES ** 3 rows at most
         out[gram] = n
@@ -191,7 +192,7 @@ def feature_counts(rows: DataFrame, trigrams: np.ndarray) -> DataFrame:
             some = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([counts[1][k] for k in some], pa.int64()), pa.array([counts[0][k] for k in some], pa.int64())], names=["feature", "toxic", "clean"])
 
-    each = rows.mapInArrow(run, "feature long, toxic long, clean long")
+    each = rows.mapInArrow(tidy(run), "feature long, toxic long, clean long")
     return each.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -225,26 +226,29 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
         for batch in batches:
             found = [model.evidence(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
+        model.memo.clear()
 
-    held = rows.where("fold = 0").select("text", "toxic").mapInArrow(seen, "a double, b double, toxic int").collect()  # a quarter of training_rows at most
+    held = rows.where("fold = 0").select("text", "toxic").mapInArrow(tidy(seen), "a double, b double, toxic int").collect()  # a quarter of training_rows at most
     if held:
         model.curve = _fit_curve(np.array([(r.a, r.b) for r in held]), np.array([float(r.toxic) for r in held]))
     return model
 
 
+def scored(model: ToxicityModel, text: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with a score column. The worker keeps the model until its next task, so its memo ends here."""
+    for batch in batches:
+        for part in text_passes(batch, text):
+            scores = pa.array([model.score(t) for t in part.column(text).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, "score"])
+    model.memo.clear()
+
+
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1) to the documents."""
     prepare(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != "score"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_passes(batch, text):
-                scores = pa.array([model.score(t) for t in part.column(text).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, "score"])
-
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(tidy(functools.partial(scored, model, text)), schema)
 
 
 def train_for(spark: SparkSession, sf_dir: str, docs: DataFrame) -> ToxicityModel:

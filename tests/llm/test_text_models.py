@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lineagraph.llm import toxicity as tox
 from lineagraph.llm.ngram_lm import PRIOR, EliasFano, NgramTrie, lm_scores
@@ -157,6 +158,13 @@ def test_scores_on_held_out_labels(spark, docs, odd_texts):
     assert tox.score(empty, tox.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_scoring_leaves_no_memo_behind():
+    model = tox.ToxicityModel(np.zeros((tox.CLASSES,) * 3, np.float32))
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three", None, "four"])], names=["text"])
+    assert [len(b.column("score")) for b in tox.scored(model, "text", [batch])] == [3]
+    assert not model.memo
+
+
 def test_near_duplicates_leave_one(docs, odd_texts):
     rng = random.Random(8)
     base = words(rng, 300)
