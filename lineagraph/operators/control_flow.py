@@ -4,7 +4,7 @@ A statement is in the body of the nearest header above it that begins further le
 ``except`` and ``finally`` go on with the header at their own column. A trial's statements go by in
 code order once, and what is remembered is the headers around the present one, however long the
 bodies are. Where an edge leads is often not known yet then: it leads to what comes after some header,
-and joins put the statements in once all is read.
+and the statements are put in at the end of the trial, or by joins once all is read if it has more edges than are held.
 
 Edges have these kinds: ``start`` (no source) and ``end`` (no target), ``next``, ``true`` and ``false`` from
 conditions, ``body``, ``back`` and ``exit`` of loops, ``exception`` from ``try`` to its handlers (to ``finally`` if it has none),
@@ -133,19 +133,47 @@ class Machine:
         self._go_on(self.module.last, END, 0, "end")
 
 
-def control_flow(statements: DataFrame) -> DataFrame:
-    """(trial_id, source, target, kind) of statements (trial_id, id, line, col, kind)."""
+#: Edges and places of a trial that are held at most; a trial with more is put together by joins.
+HELD = 50_000
+
+
+def resolved(edges: list[tuple], places: list[tuple]) -> set[tuple]:
+    """The edges (source, what, of, kind) of a whole trial once each, places replaced by what they lead to."""
+    on: dict[tuple, tuple] = {}
+    for what, of, to, to_of, how in reversed(places):  # what a place leads to is known after it, so its end is found before
+        while (step := on.get((to, to_of))) is not None:
+            to, to_of, how = *step[:2], step[2] if how == "next" else how
+        on[what, of] = to, to_of, how
+    out = set()
+    for source, what, of, kind in edges:
+        while (step := on.get((what, of))) is not None:
+            what, of, how = step
+            kind = how if kind == "next" else kind
+        if what in (END, LEAVE) and kind != "start":
+            kind = what
+        out.add((source, what, of, kind))
+    return out
+
+
+def control_flow(statements: DataFrame, held: int = HELD) -> DataFrame:
+    """(trial_id, source, target, kind) of statements (trial_id, id, line, col, kind); ``held``: edges and places of a trial in memory."""
+
+    known = (NODE, END, LEAVE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trial, machine = None, None
+        trial, machine, whole = None, None, True
 
         def taken(m: Machine, of_trial: int) -> list[tuple]:
-            out = [(of_trial, s, None, None, w, of, k) for s, w, of, k in m.edges] + [(of_trial, None, w, of, to, to_of, k) for w, of, to, to_of, k in m.places]
+            out = [(of_trial, s, None, None, w, of, k, False) for s, w, of, k in m.edges] + [(of_trial, None, w, of, to, to_of, k, False) for w, of, to, to_of, k in m.places]
             m.edges, m.places = [], []
             return out
 
+        def ended(m: Machine, of_trial: int, whole: bool) -> list[tuple]:
+            m.finish()
+            return [(of_trial, s, None, None, w, of, k, True) for s, w, of, k in resolved(m.edges, m.places)] if whole else taken(m, of_trial)
+
         def put(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=NAMES)
 
         for batch in batches:
@@ -153,32 +181,31 @@ def control_flow(statements: DataFrame) -> DataFrame:
             for t, id_, column, kind in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if machine is None or t != trial:
                     if machine is not None:
-                        machine.finish()
-                        rows += taken(machine, trial)
-                    trial, machine = t, Machine()
+                        rows += ended(machine, trial, whole)
+                    trial, machine, whole = t, Machine(), True
                 machine.step(id_, column, kind)
-            if machine is not None:
-                rows += taken(machine, trial)
+                if len(machine.edges) + len(machine.places) > held:
+                    whole = False
+                    rows += taken(machine, trial)
             yield put(rows)
         if machine is not None:
-            machine.finish()
-            yield put(taken(machine, trial))
+            yield put(ended(machine, trial, whole))
 
-    NAMES = ["trial_id", "source", "place", "of", "to", "to_of", "kind"]
+    NAMES = ["trial_id", "source", "place", "of", "to", "to_of", "kind", "whole"]
     order = statements.select("trial_id", "id", F.coalesce(F.col("col").cast("int"), F.lit(0)).alias("col"), "kind", "line").where("trial_id is not null").repartition("trial_id").sortWithinPartitions("trial_id", "line", "col", "id").drop("line")
-    found = stored(order.mapInArrow(run, "trial_id long, source long, place string, of long, to string, to_of long, kind string"))
-    known = (NODE, END, LEAVE)
+    found = stored(order.mapInArrow(run, "trial_id long, source long, place string, of long, to string, to_of long, kind string, whole boolean"))
     places = settle(found.where("place is not null").select("trial_id", "place", "of", "to", "to_of", F.col("kind").alias("how")))
     while places.where(~F.col("to").isin(*known)).limit(1).count():  # what comes after one may be what comes after another: pointers double
         on = places.select("trial_id", F.col("place").alias("to"), F.col("of").alias("to_of"), F.col("to").alias("next_to"), F.col("to_of").alias("next_of"), F.col("how").alias("next_how"))
         stepped = places.join(on, ["trial_id", "to", "to_of"], "left")
         how = F.when(F.col("how") == "next", F.coalesce("next_how", "how")).otherwise(F.col("how"))
         places = settle(stepped.select("trial_id", "place", "of", F.coalesce("next_to", "to").alias("to"), F.coalesce("next_of", "to_of").alias("to_of"), how.alias("how")))
-    edges = found.where("place is null").select("trial_id", "source", F.col("to").alias("place"), F.col("to_of").alias("of"), "kind")
+    edges = found.where("place is null and not whole").select("trial_id", "source", F.col("to").alias("place"), F.col("to_of").alias("of"), "kind")
     met = edges.join(places, ["trial_id", "place", "of"], "left").select("trial_id", "source", F.coalesce("to", "place").alias("to"), F.coalesce("to_of", "of").alias("to_of"), "kind", "how")
-    target = F.when(F.col("to") == NODE, F.col("to_of"))
+    target = F.when(F.col("to") == NODE, F.col("to_of")).alias("target")
     last = F.when(F.col("to").isin(END, LEAVE) & (F.col("kind") != "start"), F.col("to")).when((F.col("kind") == "next") & F.col("how").isNotNull(), F.col("how")).otherwise(F.col("kind"))
-    return met.select("trial_id", "source", target.alias("target"), last.alias("kind")).distinct()
+    ready = found.where("whole").select("trial_id", "source", target, "kind")  # each edge once
+    return ready.unionByName(met.select("trial_id", "source", target, last.alias("kind")).distinct())
 
 
 def function_boxes(statements: DataFrame) -> DataFrame:

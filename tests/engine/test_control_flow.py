@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lineagraph.operators.control_flow import control_flow, function_boxes
+from lineagraph.operators.control_flow import AFTER, NODE, control_flow, function_boxes, resolved
 
 SCHEMA = "trial_id long, id long, line long, col int, kind string"
 
@@ -153,6 +153,23 @@ def test_deep_nesting_and_long_chains(spark):
     assert sum(t == 2000 for _, t, _ in got) == 1001
 
 
+def test_trials_that_are_not_held_whole(spark):
+    draw, rows = random.Random(3), []
+    for trial in range(20):
+        made = Program(draw)
+        made.block(0, 4)
+        rows += [(trial, *r) for r in made.rows]
+    made = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, control_flow(made).collect()), key=str)
+    assert all(sorted(map(tuple, control_flow(made, held).collect()), key=str) == whole for held in (0, 15))
+
+
+def test_long_chains_of_places_are_followed_once():
+    n = 30_000
+    places = [(AFTER, i, AFTER, i + 1, "next") for i in range(n)] + [(AFTER, n, NODE, -1, "back")]
+    assert resolved([(i, AFTER, i, "next" if i % 2 else "true") for i in range(n)], places) == {(i, NODE, -1, "back" if i % 2 else "true") for i in range(n)}
+
+
 def test_boxes_and_empty(spark):
     rows = spark.createDataFrame(program("call", "function_def", "    call", "    function_def", "        call", "    call", "call"), SCHEMA)
     got = {(r.function_id, r.id) for r in function_boxes(rows).collect()}
