@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagraph.checkpoints import stored
 from lineagraph.operators.closure import ancestors, graph_closure
 
 
@@ -99,15 +100,23 @@ def bridged(dependency: DataFrame, hidden: DataFrame) -> DataFrame:
     An edge has the types of all dependencies on its ways through hidden nodes, in order and with
     commas, and is propagated if one of its ways has a hidden node. Loops are kept.
     """
-    edges, out = _edges(dependency), hidden.select(F.col("id").alias("hid"))
-    into = edges.join(out, F.col("next_node") == F.col("hid"), "left_semi").select("node", "next_node").distinct()
-    from_ = edges.join(out, F.col("node") == F.col("hid"), "left_semi").select(F.col("next_node").alias("node"), F.col("node").alias("next_node")).distinct()
-    shown = lambda c: edges.select(F.col(c).alias("node")).distinct().join(out, F.col("node") == F.col("hid"), "left_anti").select(F.col("node").alias("src"), "node")
-    ahead = graph_closure(shown("node"), into).select(F.col("src").alias("source"), "node")
-    behind = graph_closure(shown("next_node"), from_).select(F.col("src").alias("target"), F.col("node").alias("next_node"))
-    ways = ahead.join(edges, "node").join(behind, "next_node")
-    through = (F.col("node") != F.col("source")) | (F.col("next_node") != F.col("target"))
-    return ways.groupBy("source", "target").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.bool_or(through).alias("propagated"))
+    out = hidden.select(F.col("id").alias("hid")).distinct()
+    # both ends are marked once; a walk only begins at shown nodes beside a hidden one, and only hidden ones are reached
+    edges = _edges(dependency).where("node is not null and next_node is not null")
+    for end, mark in (("node", "from_hidden"), ("next_node", "to_hidden")):
+        edges = edges.join(out, F.col(end) == F.col("hid"), "left").withColumn(mark, F.col("hid").isNotNull()).drop("hid")
+    edges = stored(edges)
+    into = edges.where("to_hidden").select("node", "next_node").distinct()
+    from_ = edges.where("from_hidden").select(F.col("next_node").alias("node"), F.col("node").alias("next_node")).distinct()
+    begun = lambda of, c: edges.where(of).select(F.col(c).alias("node")).distinct().select(F.col("node").alias("src"), "node")
+    ahead = graph_closure(begun("to_hidden and not from_hidden", "node"), into).where("depth > 0").select(F.col("src").alias("source"), "node")
+    behind = graph_closure(begun("from_hidden and not to_hidden", "next_node"), from_).where("depth > 0").select(F.col("src").alias("target"), F.col("node").alias("next_node"))
+    columns = ["source", "next_node", "type", "to_hidden", "through"]
+    begins = edges.where("not from_hidden").select(F.col("node").alias("source"), "next_node", "type", "to_hidden", F.col("to_hidden").alias("through"))
+    begins = begins.unionByName(edges.where("from_hidden").join(ahead, "node").withColumn("through", F.lit(True)).select(*columns))
+    ways = begins.where("not to_hidden").select("source", F.col("next_node").alias("target"), "type", "through")
+    ways = ways.unionByName(begins.where("to_hidden").join(behind, "next_node").select("source", "target", "type", "through"))
+    return ways.groupBy("source", "target").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.bool_or("through").alias("propagated"))
 
 
 def joined_attributes(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

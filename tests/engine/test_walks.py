@@ -82,3 +82,32 @@ def test_a_call_counts_among_what_is_to_be_reached(spark):
     stop = spark.createDataFrame([(8, 4), (4, 1)], "src long, node long")
     got = {(r.src, r.node, r.at, r.is_call) for r in navigate(evaluation, dependency, start, member, called, stop_on=stop).collect()}
     assert got == {(8, 8, 8, False), (8, 7, 7, False), (8, 4, 4, True), (4, 4, 4, False), (4, 5, 5, True)}
+
+
+def test_bridged_walks_begin_beside_hidden_nodes_only(spark, monkeypatch):
+    """Random edges, cycles through hidden nodes included, against a search; shown edges are walked from nowhere."""
+    draw = random.Random(5)
+    edges = {(draw.randrange(30), draw.randrange(30), draw.choice("abc")) for _ in range(60)}
+    hid = {n for n in range(30) if n % 3 == 0}
+    seeded, closure = [], df.graph_closure
+    monkeypatch.setattr(df, "graph_closure", lambda seeds, *rest: seeded.append({r.node for r in seeds.collect()}) or closure(seeds, *rest))
+    dependency = spark.createDataFrame(list(edges), "dependent_id long, dependency_id long, type string")
+    got = {(r.source, r.target): (r.types, r.propagated) for r in df.bridged(dependency, spark.createDataFrame([(n,) for n in hid], "id long")).collect()}
+    wanted = {}
+    for source in {a for a, _, _ in edges} - hid:
+        seen, todo = {source}, [source]
+        while todo:
+            todo += [b for a, b, _ in edges if a == todo[0] and b in hid and b not in seen]
+            seen |= set(todo)
+            todo.pop(0)
+        ahead = [e for e in edges if e[0] in seen]
+        for target in {b for _, b, _ in edges} - hid:
+            back, todo = {target}, [target]
+            while todo:
+                todo += [a for a, b, _ in edges if b == todo[0] and a in hid and a not in back]
+                back |= set(todo)
+                todo.pop(0)
+            if ways := [e for e in ahead if e[1] in back]:
+                wanted[source, target] = ",".join(sorted({t for _, _, t in ways})), any((a, b) != (source, target) for a, b, _ in ways)
+    assert got == wanted
+    assert seeded == [{a for a, b, _ in edges if a not in hid and b in hid}, {b for a, b, _ in edges if a in hid and b not in hid}]
