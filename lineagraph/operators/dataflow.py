@@ -62,21 +62,29 @@ def one_cluster(activation: DataFrame, evaluation: DataFrame, own: DataFrame) ->
     return evaluation.select("trial_id", "id").join(itself, "id", "left_anti").join(main, "trial_id").select("trial_id", "id", "cluster_id")
 
 
-def coarse_grain(activation: DataFrame, evaluation: DataFrame, dependency: DataFrame, own: DataFrame, max_depth: int) -> DataFrame:
+def coarse_grain(activation: DataFrame, evaluation: DataFrame, dependency: DataFrame, own: DataFrame, max_depth: int, carried: tuple[str, ...] = ()) -> DataFrame:
     """(trial_id, id, cluster_id): the calls' evaluations, and those that they depend on or that depend
-    on them, each of these in the cluster of its activation if that is one."""
-    calls = calls_only(activation, max_depth)
+    on them, each of these in the cluster of its activation if that is one. With ``carried`` columns of
+    evaluations, only nodes that are evaluations."""
+    calls = stored(calls_only(activation, max_depth))
     clusters = calls.where("shape = 'cluster'").select("trial_id", F.col("id").alias("cluster_id"))
-    called = calls.where("cluster_id is not null").join(own.select(F.col("activation_id").alias("act"), F.col("id").alias("node")), F.col("id") == F.col("act"))
+    called = stored(calls.where("cluster_id is not null").join(own.select(F.col("activation_id").alias("act"), F.col("id").alias("node")), F.col("id") == F.col("act")).select("trial_id", "node", "cluster_id"))
     both = _edges(dependency).select("node", "next_node").unionByName(_edges(dependency).select(F.col("next_node").alias("node"), F.col("node").alias("next_node")))
-    near = called.select("node").join(both, "node").select(F.col("next_node").alias("id")).distinct()
-    beside = evaluation.select("id", F.col("activation_id").alias("cluster_id")).join(near, "id", "left_semi").join(called.select(F.col("node").alias("id")), "id", "left_anti")
-    return called.select("trial_id", F.col("node").alias("id"), "cluster_id").unionByName(beside.join(clusters, "cluster_id").select("trial_id", "id", "cluster_id"))
+    near = called.select("node").join(both, "node").select(F.col("next_node").alias("id")).distinct().join(called.select(F.col("node").alias("id")), "id", "left_anti")
+    own_of = evaluation.select("id", F.col("activation_id").alias("cluster_id"), *carried)
+    if not carried:
+        beside = own_of.join(near, "id", "left_semi")
+        return called.select("trial_id", F.col("node").alias("id"), "cluster_id").unionByName(beside.join(clusters, "cluster_id").select("trial_id", "id", "cluster_id"))
+    none = F.lit(None).cast("long")
+    marks = called.select(F.col("node").alias("id"), F.col("trial_id").alias("call_trial"), F.col("cluster_id").alias("call_cluster"), F.lit(True).alias("call")).unionByName(near.select("id", none.alias("call_trial"), none.alias("call_cluster"), F.lit(False).alias("call")))
+    met = own_of.join(marks, "id").join(clusters, "cluster_id", "left").where("call or trial_id is not null")
+    of = lambda a, b: F.when(F.col("call"), F.col(a)).otherwise(F.col(b)).alias(b)
+    return met.select(of("call_trial", "trial_id"), "id", of("call_cluster", "cluster_id"), *carried)
 
 
 def loopless(nodes: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """The nodes (trial_id, id, cluster_id) with at most one a code component: its least."""
-    of = nodes.join(evaluation.select("id", "code_component_id"), "id")
+    """The nodes (trial_id, id, cluster_id) with at most one a code component: its least. Nodes may carry code_component_id."""
+    of = nodes if "code_component_id" in nodes.columns else nodes.join(evaluation.select("id", "code_component_id"), "id")
     first = of.groupBy("trial_id", "code_component_id").agg(F.min_by(F.struct("id", "cluster_id"), "id").alias("n"))
     return first.select("trial_id", "n.id", "n.cluster_id")
 

@@ -106,7 +106,7 @@ query(
     "clu_05_loopless",
     "activation evaluation dependency",
     COARSE + "SELECT c.trial_id, min(c.id) AS id, arg_min(c.cluster_id, c.id) AS cluster_id FROM coarse c JOIN evaluation e ON e.id = c.id GROUP BY c.trial_id, e.code_component_id",
-)(lambda s: df.loopless(df.coarse_grain(s.activation, s.evaluation, s.dependency, own(s), 3), s.evaluation))
+)(lambda s: df.loopless(df.coarse_grain(s.activation, s.evaluation, s.dependency, own(s), 3, ("code_component_id",)), s.evaluation))
 query(
     "clu_09_bridged",
     "evaluation dependency",

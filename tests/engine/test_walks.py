@@ -111,3 +111,17 @@ def test_bridged_walks_begin_beside_hidden_nodes_only(spark, monkeypatch):
                 wanted[source, target] = ",".join(sorted({t for _, _, t in ways})), any((a, b) != (source, target) for a, b, _ in ways)
     assert got == wanted
     assert seeded == [{a for a, b, _ in edges if a not in hid and b in hid}, {b for a, b, _ in edges if a in hid and b not in hid}]
+
+
+def test_coarse_grain_carries_columns(spark):
+    draw = random.Random(7)
+    activation = spark.createDataFrame([(i // 20, i, None if i % 20 == 0 else i - 1 - draw.randrange(i % 20)) for i in range(100)], "trial_id long, id long, caller_id long")
+    evaluation = spark.createDataFrame([(i // 4 // 20, i, i // 4, draw.randrange(9)) for i in range(400)], "trial_id long, id long, activation_id long, code_component_id long")
+    dependency = spark.createDataFrame([(i, draw.randrange(400), "use") for i in range(400)], "dependent_id long, dependency_id long, type string")
+    # one call has no evaluation in the table
+    own = evaluation.groupBy("activation_id").agg(F.min("id").alias("id")).withColumn("id", F.when(F.col("activation_id") == 7, 9999).otherwise(F.col("id")))
+    plain = df.coarse_grain(activation, evaluation, dependency, own, 3)
+    with_component = df.coarse_grain(activation, evaluation, dependency, own, 3, ("code_component_id",))
+    joined = plain.join(evaluation.select("id", "code_component_id"), "id").select("trial_id", "id", "cluster_id", "code_component_id")
+    assert plain.count() == joined.count() + 1 and sorted(map(tuple, joined.collect())) == sorted(map(tuple, with_component.collect()))
+    assert sorted(map(tuple, df.loopless(plain, evaluation).collect())) == sorted(map(tuple, df.loopless(with_component, evaluation).collect()))
