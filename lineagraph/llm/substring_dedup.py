@@ -428,17 +428,29 @@ def set_aside(known: DataFrame) -> DataFrame:
     return copies.unionByName(each.where("m <> other").select("doc", F.lit(None).cast("long").alias("rep"), "words"))
 
 
-def with_slices(pairs: DataFrame, slices: DataFrame) -> DataFrame:
-    """(doc, rep, own, other): the slices (doc, slice) of both documents of each pair (doc, rep). Where the ids of a side are
-    few, only their slices are shuffled; few pairs go to the slices."""
-    few = pairs.count() <= SENT_IDS
-
-    def asked(side: str, slice_: str) -> DataFrame:
-        all_of, ids = slices.select(F.col("doc").alias(side), F.col("slice").alias(slice_)), pairs.select(side).distinct()
-        return all_of.join(F.broadcast(ids), side, "left_semi") if few or ids.count() <= SENT_IDS else all_of
-
-    own = slices.withColumnRenamed("slice", "own").join(F.broadcast(pairs), "doc") if few else asked("doc", "own").join(pairs, "doc")
-    return own.join(asked("rep", "other"), "rep").select("doc", "rep", "own", "other")
+def with_slices(pairs: DataFrame, slices: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(doc, rep, own, other): the slices (doc, slice) of both documents of each pair (doc, rep). Of a pair the smaller slice goes
+    to the larger one, so that long documents, which have many pairs, are not sent for each of these. Where the ids of a side are
+    few, only their slices are shuffled; few pairs go to the slices. ``sizes`` (doc, size) is made if it isn't given."""
+    sizes = slices.select("doc", F.octet_length("slice").alias("size")) if sizes is None else sizes
+    of = lambda c: sizes.select(F.col("doc").alias(c), F.col("size").alias(f"{c}_size"))
+    met = pairs.join(of("doc"), "doc").join(of("rep"), "rep").withColumn("stays", F.col("doc_size") > F.col("rep_size"))
+    by_side = lambda yes, no: F.when(F.col("stays"), F.col(yes)).otherwise(F.col(no))
+    sent = stored(met.select("stays", by_side("rep", "doc").alias("guest"), by_side("doc", "rep").alias("home")))
+    few = sent.count() <= SENT_IDS
+
+    def cut(side: str) -> DataFrame | None:
+        ids = sent.select(side).distinct()
+        return F.broadcast(ids) if few or ids.count() <= SENT_IDS else None
+
+    smaller, larger = (slices.select(F.col("doc").alias(side), F.col("slice").alias(c)) for side, c in (("guest", "smaller"), ("home", "larger")))
+    if few:
+        smaller = smaller.join(F.broadcast(sent), "guest")
+    else:
+        smaller = (smaller if (ids := cut("guest")) is None else smaller.join(ids, "guest")).join(sent, "guest")  # an id is there once
+    larger = larger if (ids := cut("home")) is None else larger.join(ids, "home", "left_semi")
+    named = (("home", "guest", "doc"), ("guest", "home", "rep"), ("larger", "smaller", "own"), ("smaller", "larger", "other"))
+    return smaller.join(larger, "home").select(*(by_side(yes, no).alias(c) for yes, no, c in named))
 
 
 PASSAGE = ["doc_id", "source_doc_id", "start_word", "end_word", "source_start_word", "source_end_word"]
@@ -480,9 +492,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if (ids := members.select("doc").distinct()).count() <= SENT_IDS:
         texts = texts.join(F.broadcast(ids), "doc", "left_semi")
     slices = stored(asked.join(texts, "doc").select("doc", "spans", "text").mapInArrow(tidy(sliced), "doc long, slice binary"))
+    sizes = stored(slices.select("doc", F.octet_length("slice").alias("size")))
 
     def found(pairs: DataFrame) -> DataFrame:
-        return with_slices(pairs, slices).mapInArrow(tidy(verify), ", ".join(f"{c} long" for c in PASSAGE))
+        return with_slices(pairs, slices, sizes).mapInArrow(tidy(verify), ", ".join(f"{c} long" for c in PASSAGE))
 
     whole = copies.where(f"rep is not null and words >= {least_words}").select(F.col("doc").alias("doc_id"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.lit(0).cast("long").alias("source_start_word"), F.col("words").alias("source_end_word"))
     return without_covered(linked_passages(members, slices, found, least).distinct()).unionByName(whole)

@@ -7,7 +7,6 @@ from lineagraph.checkpoints import CLEANUP, settle, stored
 from pyspark.sql import functions as F
 
 
-
 def shuffle_files(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}

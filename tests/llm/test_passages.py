@@ -127,3 +127,15 @@ def test_few_pairs_shuffle_only_their_slices(spark, monkeypatch, tmp_path):
         found = substring_dedup.with_slices(pairs, slices)
         assert {(r.doc, r.rep, bytes(r.own), bytes(r.other)) for r in found.collect()} == wanted
         assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == {200_000: 1, 2: 1, 0: 0}[most]
+
+
+def test_long_documents_are_not_sent_for_each_of_their_pairs(spark, monkeypatch):
+    """Two long slices with a hundred short partners each: the short ones are sent, whichever of the two comes first."""
+    slices = spark.createDataFrame([(d, b"x" * (9000 if d in (0, 500) else 20 + d % 7)) for d in range(501)], "doc long, slice binary")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 101)] + [(500, i) for i in range(101, 201)], "doc long, rep long")
+    kept = []
+    monkeypatch.setattr(substring_dedup, "stored", lambda df: kept.append(df) or df)
+    size = {r.doc: len(r.slice) for r in slices.collect()}
+    met = substring_dedup.with_slices(pairs, slices)
+    assert {(r.doc, r.rep, len(r.own), len(r.other)) for r in met.collect()} == {(r.doc, r.rep, size[r.doc], size[r.rep]) for r in pairs.collect()}
+    assert {r.home for r in kept[0].collect()} == {0, 500}
