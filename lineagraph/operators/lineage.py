@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagraph.checkpoints import stored
-from lineagraph.operators.closure import UNIONED, ancestors, graph_closure, settle
+from lineagraph.operators.closure import UNIONED, ancestors, graph_closure, settle  # noqa: F401 (tests count what it keeps)
 from lineagraph.operators.reachability import reachability
 
 
@@ -115,7 +115,7 @@ def navigate(
     A source leaves the walk once it has reached all it has in ``stop_on`` (src, node); its other contexts
     are then those of the rounds so far. A seed is not reached by standing at it.
     """
-    own = settle(evaluation.select("id", F.col("checkpoint").alias("own")))
+    own = stored(evaluation.select("id", F.col("checkpoint").alias("own")))
     kept = dependency if arguments else dependency.where("type <> 'argument'")
     blank = F.lit(None).cast(own.schema["own"].dataType)
     # what leads on from a node: with the next one's own moment, or with that of the context as long as a version holds
@@ -124,34 +124,34 @@ def navigate(
     if member is not None:
         versions = member_intervals(member).where("since is not null").select(F.col("collection_id").alias("node"), F.col("member_id").alias("next_node"), blank.alias("next_at"), "since", "until")
         ways = ways.unionByName(versions)
-    ways = settle(ways)
+    ways = stored(ways)
     keys = ["src", "node", "at"]
     start = seeds.select("src", F.col("node").alias("id")).distinct().join(own, "id")
-    frontier = settle(start.select("src", F.col("id").alias("node"), F.col("own").alias("at")))
+    frontier = stored(start.select("src", F.col("id").alias("node"), F.col("own").alias("at")))
     seen, rounds = frontier, 0
-    of_calls = None if called is None else settle(called.select(F.col("id").alias("node"), "call_id").join(own.withColumnRenamed("id", "call_id"), "call_id"))
+    of_calls = None if called is None else stored(called.select(F.col("id").alias("node"), "call_id").join(own.withColumnRenamed("id", "call_id"), "call_id"))
     made_calls = lambda walk: walk.join(of_calls, "node").select("src", F.col("call_id").alias("node"), F.col("own").alias("at")).distinct()
     calls = None  # no step goes on from them, so where all walk to the end they are made once
-    open_ = None if stop_on is None else settle(stop_on.select("src", "node").distinct())  # what is still to be reached
+    open_ = None if stop_on is None else stored(stop_on.select("src", "node").distinct())  # what is still to be reached
     asked = None if open_ is None else open_.select("src").distinct()
     while True:
         walk = frontier
         if open_ is not None:
             if rounds:
                 reached = frontier.select("src", "node") if calls is None else frontier.select("src", "node").unionByName(calls.select("src", "node"))
-                open_ = settle(open_.join(reached, ["src", "node"], "left_anti"))
-            walk = settle(walk.join(asked.join(open_, "src", "left_anti"), "src", "left_anti"))
+                open_ = stored(open_.join(reached, ["src", "node"], "left_anti"))
+            walk = stored(walk.join(asked.join(open_, "src", "left_anti"), "src", "left_anti"))
         if of_calls is not None and open_ is not None:
-            made = settle(made_calls(walk))
+            made = stored(made_calls(walk))
             calls = made if calls is None else calls.unionByName(made)
         step = walk.join(ways, "node").where("since is null or since <= at and (until is null or at < until)")
         step = step.select("src", F.col("next_node").alias("node"), F.when(F.col("since").isNull(), F.col("next_at")).otherwise(F.col("at")).alias("at"))
-        frontier = settle(step.distinct().join(seen, keys, "left_anti"))
+        frontier = stored(step.distinct().join(seen, keys, "left_anti"))
         if not frontier.limit(1).count():
             break
         seen, rounds = seen.unionByName(frontier), rounds + 1
         if rounds % UNIONED == 0:
-            seen = settle(seen)
+            seen = stored(seen)
     found = seen.withColumn("is_call", F.lit(False))
     if of_calls is None:
         return found
@@ -173,7 +173,7 @@ def contributing_cells(evaluation: DataFrame, dependency: DataFrame, component:
     """
     cell = ancestors(component, "id", "container_id").join(component.where(F.col("type") == cell_type).select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
     cell = cell.groupBy(F.col("node").alias("code_component_id")).agg(F.min_by("ancestor", "depth").alias("cell_id"))
-    inside = settle(evaluation.select("trial_id", "id", "code_component_id").join(cell, "code_component_id").select("trial_id", "id", "cell_id"))
+    inside = stored(evaluation.select("trial_id", "id", "code_component_id").join(cell, "code_component_id").select("trial_id", "id", "cell_id"))
 
     def whole(rows: DataFrame, value: str, named: str = "") -> DataFrame:
         # a value in a cell stands for the cell, as each leads to the other

@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagraph.checkpoints import settle
+from lineagraph.checkpoints import stored
 
 TREE = ["tree_id", "parent_id"]
 
 
 def _levels(nodes: DataFrame) -> list[DataFrame]:
     """Roots, their children, and so on. Nodes on or below a cycle are on no level."""
-    at = settle(nodes.where("parent_id is null"))
+    at = stored(nodes.where("parent_id is null"))
     levels = []
     while at.limit(1).count():
         levels.append(at)
-        at = settle(nodes.join(at.select("tree_id", F.col("id").alias("parent_id")), TREE))
+        at = stored(nodes.join(at.select("tree_id", F.col("id").alias("parent_id")), TREE))
     return levels
 
 
@@ -41,7 +41,7 @@ def numbered(nodes: DataFrame, alike: bool = True) -> DataFrame:
     """
     siblings = Window.partitionBy(*TREE)
     written = [F.col("opens").cast("long"), F.col("closes").cast("long")] if "opens" in nodes.columns else [F.lit(n).cast("long").alias(c) for c, n in (("opens", 1), ("closes", 0))]
-    nodes = settle(nodes.select("tree_id", "id", "parent_id", "label", *written, (F.row_number().over(siblings.orderBy("place", "id")) - 1).alias("child")))
+    nodes = stored(nodes.select("tree_id", "id", "parent_id", "label", *written, (F.row_number().over(siblings.orderBy("place", "id")) - 1).alias("child")))
     levels = _levels(nodes)
     if not levels:
         blank = {"size": "long", "lines": "long", "line": "long", "n_children": "long", "s1": "long", "s2": "long", "depth": "int", "enter": "long", "l1": "long", "l2": "long", "e1": "long", "e2": "long"}
@@ -54,7 +54,7 @@ def numbered(nodes: DataFrame, alike: bool = True) -> DataFrame:
             level = level.join(whole, ["tree_id", "id"], "left").na.fill(0, ["below", "inside", "n_children", *(f"x{k}" for k in twice)])
         else:
             level = level.withColumns({c: F.lit(0).cast("long") for c in ("below", "inside", "n_children", *(f"x{k}" for k in twice))})
-        sized.append(settle(level.select("tree_id", "id", "parent_id", "label", "child", "opens", "closes", (F.col("below") + 1).alias("size"), (F.col("opens") + F.col("inside") + F.col("closes")).alias("lines"), "n_children", *(_shape(k).alias(f"s{k}") for k in twice))))
+        sized.append(stored(level.select("tree_id", "id", "parent_id", "label", "child", "opens", "closes", (F.col("below") + 1).alias("size"), (F.col("opens") + F.col("inside") + F.col("closes")).alias("lines"), "n_children", *(_shape(k).alias(f"s{k}") for k in twice))))
     earlier = lambda c: F.coalesce(F.sum(c).over(siblings.orderBy("child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out, above = None, None
     for depth, level in enumerate(reversed(sized)):
@@ -64,19 +64,19 @@ def numbered(nodes: DataFrame, alike: bool = True) -> DataFrame:
         else:
             led = level.join(above.select("tree_id", F.col("id").alias("parent_id"), (F.col("enter") + 1).alias("from"), (F.col("line") + F.col("opens")).alias("from_line"), *(F.col(f"{old}{k}").alias(f"{new}{k}") for old, new in (("l", "p"), ("e", "q")) for k in twice)), TREE)
         paths = {f"l{k}": F.xxhash64(F.lit(k), f"p{k}", "label") for k in twice} | {f"e{k}": F.xxhash64(F.lit(k), f"q{k}", "s1", "s2") for k in twice}
-        above = settle(led.withColumns({"enter": F.col("from") + F.col("before"), "line": F.col("from_line") + F.col("written")} | paths).drop("from", "before", "from_line", "written", "p1", "p2", "q1", "q2"))
+        above = stored(led.withColumns({"enter": F.col("from") + F.col("before"), "line": F.col("from_line") + F.col("written")} | paths).drop("from", "before", "from_line", "written", "p1", "p2", "q1", "q2"))
         out = above if out is None else out.unionByName(above)
     return out
 
 
 def label_paths(nodes: DataFrame) -> DataFrame:
     """(tree_id, id, path): the labels from the root down, joined by slashes."""
-    nodes = settle(nodes.select("tree_id", "id", "parent_id", "label"))
-    at = settle(nodes.where("parent_id is null").select("tree_id", "id", F.col("label").alias("path")))
+    nodes = stored(nodes.select("tree_id", "id", "parent_id", "label"))
+    at = stored(nodes.where("parent_id is null").select("tree_id", "id", F.col("label").alias("path")))
     out = at
     while at.limit(1).count():
         above = at.select("tree_id", F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        at = settle(nodes.join(above, TREE).select("tree_id", "id", F.concat_ws("/", "above", "label").alias("path")))
+        at = stored(nodes.join(above, TREE).select("tree_id", "id", F.concat_ws("/", "above", "label").alias("path")))
         out = out.unionByName(at)
     return out
 
